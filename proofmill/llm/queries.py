@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proofmill.llm import chat, mixing, quality_rules, sharding
+from proofmill.llm import bpe, chat, mixing, quality_rules, sharding
 from proofmill.session import stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,5 +36,9 @@ def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES |= {f.__name__: f for f in (op2_bounded_ring_shards, op3_curriculum_mix, op5_perspective_rotation, op7_host_quality_rules)}
+def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES |= {f.__name__: f for f in (op2_bounded_ring_shards, op3_curriculum_mix, op5_perspective_rotation, op7_host_quality_rules, op10_forced_boundary_bpe)}
 SQL |= {"op3_curriculum_mix": mixing.SQL, "op5_perspective_rotation": chat.SQL, "op7_host_quality_rules": quality_rules.SQL}

@@ -115,13 +115,13 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(h, k))
 
 
-def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]], most: int = CHUNK_BYTES) -> DataFrame:
     """``df`` with the columns that ``make`` computes from runs of its text column."""
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 added = make(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
 
