@@ -192,7 +192,7 @@ class ByteBpe:
 
     def _flush(self, waiting: list[tuple[list[bytes], list[str]]]) -> None:
         here = set(chain.from_iterable(piece for _, piece in waiting))
-        if len(self.pretokens) + len(new := here - self.pretokens.keys()) > CACHE:
+        if len(self.pretokens) + len(new := here.difference(self.pretokens)) > CACHE:
             self.pretokens, new = {}, here
         known = self.pretokens
         known |= self.learn(list(new))
