@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proofmill.llm import bpe, chat, mixing, quality_rules, sharding
+from proofmill.llm import bpe, chat, mixing, nbsvm, pii, quality_rules, sharding, toxicity
 from proofmill.session import stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -36,9 +44,13 @@ def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES |= {f.__name__: f for f in (op2_bounded_ring_shards, op3_curriculum_mix, op5_perspective_rotation, op7_host_quality_rules, op10_forced_boundary_bpe)}
+QUERIES |= {f.__name__: f for f in (op1_naive_bayes_svm, op2_bounded_ring_shards, op3_curriculum_mix, op4_levenshtein_toxicity, op5_perspective_rotation, op7_host_quality_rules, op8_weak_supervision_pii, op10_forced_boundary_bpe)}
 SQL |= {"op3_curriculum_mix": mixing.SQL, "op5_perspective_rotation": chat.SQL, "op7_host_quality_rules": quality_rules.SQL}
