@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proofmill.llm import bpe, chat, mixing, nbsvm, pii, quality_rules, sharding, toxicity
+import corpus_pipeline
+from proofmill.llm import ann, bpe, chat, mixing, nbsvm, near_duplicates, pii, quality_rules, sharding, toxicity
 from proofmill.session import stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,11 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op6_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,9 +54,17 @@ def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
 def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_naive_bayes_svm, op2_bounded_ring_shards, op3_curriculum_mix, op4_levenshtein_toxicity, op5_perspective_rotation, op7_host_quality_rules, op8_weak_supervision_pii, op10_forced_boundary_bpe)}
+QUERIES |= {f.__name__: f for f in (op1_naive_bayes_svm, op2_bounded_ring_shards, op3_curriculum_mix, op4_levenshtein_toxicity, op5_perspective_rotation, op6_grouped_prefix_join, op7_host_quality_rules, op8_weak_supervision_pii, op9_adaptive_dimension_scan, op10_forced_boundary_bpe)}
 SQL |= {"op3_curriculum_mix": mixing.SQL, "op5_perspective_rotation": chat.SQL, "op7_host_quality_rules": quality_rules.SQL}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
