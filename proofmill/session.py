@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
+    # Workers import this package from where it lies.
+    os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parent.parent), *filter(None, [os.environ.get("PYTHONPATH")])])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("proofmill")
