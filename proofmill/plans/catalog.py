@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from proofmill.operators import corpus, edits
 from proofmill.session import table
+from proofmill.streaming import claims
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +28,102 @@ SQL["source_volume"] = """
 SELECT source, count(*) AS n_docs, count(text) AS n_texts, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars
 FROM documents GROUP BY source
 """
+
+
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES["paragraphs"] = paragraphs
+SQL["paragraphs"] = r"""
+WITH p AS (SELECT doc_id, u.i, trim(regexp_replace(u.p, '[ \t\n\v\f\r]+', ' ', 'g')) AS paragraph
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'i': i, 'p': x})) AS u FROM documents))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS unit, paragraph FROM p WHERE paragraph <> ''
+"""
+
+
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES["duplicate_groups"] = duplicate_groups
+SQL["duplicate_groups"] = r"""
+SELECT md5(lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\v\f\r]+', ' ', 'g')))) AS signature, min(doc_id) AS first_id, count(*) AS n, count(DISTINCT text) AS n_spellings
+FROM documents GROUP BY 1 HAVING count(*) > 1
+"""
+
+
+def revision_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.first_last(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "side", "text")
+
+
+QUERIES["revision_pairs"] = revision_pairs
+SQL["revision_pairs"] = """
+SELECT conv_id, turn, CASE WHEN up = 1 THEN 'original' ELSE 'current' END AS side, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down FROM conversations)
+WHERE up = 1 OR down = 1
+"""
+
+
+def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.usable_pairs(corpus.first_last(table(spark, sf_dir, "conversations"), "conv_id", "turn"), "conv_id")
+
+
+QUERIES["pair_outcomes"] = pair_outcomes
+SQL["pair_outcomes"] = """
+WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down FROM conversations),
+s AS (SELECT conv_id, max(CASE WHEN up = 1 THEN text END) AS before, max(CASE WHEN up > 1 AND down = 1 THEN text END) AS after FROM r GROUP BY conv_id)
+SELECT CASE WHEN before IS NULL THEN 'nothing submitted' WHEN after IS NULL THEN 'single revision' WHEN before = after THEN 'unchanged' ELSE 'usable' END AS outcome, count(*) AS n
+FROM s GROUP BY 1
+"""
+
+
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.hash_split(table(spark, sf_dir, "documents"), "source").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["split_sizes"] = split_sizes
+SQL["split_sizes"] = """
+WITH d AS (SELECT source, CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 100 AS place FROM documents)
+SELECT CASE WHEN place < 80 THEN 'train' WHEN place < 90 THEN 'eval' ELSE 'test' END AS split, source, count(*) AS n FROM d GROUP BY 1, 2
+"""
+
+
+def confirmation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    return corpus.rates(items, ["l_returnflag", "l_linestatus"], F.col("l_quantity") >= 25, F.col("l_discount") > 0.05)
+
+
+QUERIES["confirmation_rates"] = confirmation_rates
+SQL["confirmation_rates"] = """
+SELECT l_returnflag, l_linestatus, count(*) AS proposals, CAST(sum(CAST(l_quantity >= 25 AS INT)) AS BIGINT) AS confirmed,
+  CAST(sum(CAST(l_discount > 0.05 AS INT)) AS BIGINT) AS contradicted, CAST(sum(CAST(l_quantity >= 25 AS INT)) AS DOUBLE) / count(*) AS rate
+FROM lineitem GROUP BY 1, 2
+"""
+
+
+def claim_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return claims.holders(events, "user_id", "event_id", "event_type", "ts", "click", "event_id")
+
+
+QUERIES["claim_holders"] = claim_holders
+SQL["claim_holders"] = """
+SELECT user_id, event_type AS last_action, ts AS last_ts, CASE WHEN event_type = 'click' THEN event_id END AS holder
+FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+
+def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks propose edits in all documents; conflicts go by priority, and the kept edits are applied."""
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    proposed = edits.pattern_edits(sources, r" {2,}", " ", "spacing", 40).unionByName(edits.pattern_edits(sources, r"\.{2,}", ".", "stops", 20))
+    return edits.apply(edits.resolve(edits.sound(proposed, sources)), sources)
+
+
+QUERIES["applied_edits"] = applied_edits
+SQL["applied_edits"] = r"""
+SELECT doc_id AS file, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\.{2,}', '.', 'g') AS text,
+  CAST(len(regexp_extract_all(coalesce(text, ''), ' {2,}|\.{2,}')) AS INT) AS n_applied FROM documents
+"""
+FLAGSHIP = "confirmation_rates"
