@@ -29,8 +29,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes, in training order: a document's row once for each of its epochs."""
-    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("_size"))
-    return mixing.training_order(mixing.mix(sized, "_size")).select(*COLUMNS)
+    sized = docs.select(*COLUMNS, mixing.word_count(F.col("text")).alias("__pm_size"))
+    return mixing.training_order(mixing.mix(sized, "__pm_size")).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

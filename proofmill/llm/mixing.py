@@ -15,7 +15,8 @@ over 4096 windows.  Only sources are ever handled in one task.
 Defined results: a null text or one without words has size 0 and takes nothing.
 A null source is a source of its own, the last one.  Repeated rows follow each
 other and count each.  Empty table: empty result.  Further columns pass through
-``mix``; what it adds is in one struct column.
+``mix``; what it adds is in one
+struct column, under a name that starts with __pm_, which is reserved.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ MAX_EPOCHS = 2
 HEX_DIGITS = 3
 #: Weight over training time, as (time, relative weight) knots with straight lines between, by place in WEIGHTS: fading, rising, steady.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.75)), ((0.0, 1.0), (1.0, 1.0)))
-STRUCT = "_mix"
+STRUCT = "__pm_mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,16 +75,16 @@ def mix(docs: DataFrame, size: str, doc_id: str = "doc_id", source: str = "sourc
     goals = targets(cells.groupBy("src", "no_src").agg(F.sum("cell_size").alias("source_size")), weights, budget, max_epochs)
     earlier = W.partitionBy("src", "no_src").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0))).join(goals, ["src", "no_src"])
-    cells = cells.select(F.struct("src", "no_src", "cell").alias("_at"), F.struct("offset", "source_size", "target", "place").alias("_goal"))
+    cells = cells.select(F.struct("src", "no_src", "cell").alias("__pm_at"), F.struct("offset", "source_size", "target", "place").alias("__pm_goal"))
     at = F.struct(*key)
-    before = W.partitionBy("_at").orderBy(f"{STRUCT}.h", doc_id, f"{STRUCT}.size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = keyed.withColumn("_at", at).withColumn("_end", F.sum(f"{STRUCT}.size").over(before)).join(cells, "_at")
-    n, goal, total = F.col(f"{STRUCT}.size"), F.col("_goal.target"), F.col("_goal.source_size")
-    start = F.col("_goal.offset") + F.col("_end") - n
+    before = W.partitionBy("__pm_at").orderBy(f"{STRUCT}.h", doc_id, f"{STRUCT}.size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = keyed.withColumn("__pm_at", at).withColumn("__pm_end", F.sum(f"{STRUCT}.size").over(before)).join(cells, "__pm_at")
+    n, goal, total = F.col(f"{STRUCT}.size"), F.col("__pm_goal.target"), F.col("__pm_goal.source_size")
+    start = F.col("__pm_goal.offset") + F.col("__pm_end") - n
     middle = [(start + e * total).cast("double") + n / 2 for e in range(max_epochs)]
     epochs = sum((F.when(m <= goal, 1).otherwise(0) for m in middle[1:]), F.when(middle[0] <= goal, 1).otherwise(0))
     epochs = F.when(n > 0, epochs).otherwise(0)
-    curve = F.col("_goal.place") % len(curves)
+    curve = F.col("__pm_goal.place") % len(curves)
 
     def position(m: Column) -> Column:
         share = m / goal
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, size: str, doc_id: str = "doc_id", source: str = "sourc
 
 def training_order(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """What the mix takes, a row per epoch of a document, range-sorted by training position."""
-    return mixed.withColumn("_position", F.explode(f"{STRUCT}.positions")).orderBy("_position", doc_id)
+    return mixed.withColumn("__pm_position", F.explode(f"{STRUCT}.positions")).orderBy("__pm_position", doc_id)
 
 
 #: The targets and the words taken, in SQL over ``documents``.

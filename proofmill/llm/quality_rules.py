@@ -10,7 +10,7 @@ Defined results: a null or empty text has zeros for all measures and fails the
 rule on few words.  A null host is a group like any other in the counts, but is
 never rejected as a host.  Repeated rows count as often as they occur.  An empty
 table gives an empty result.  Further columns pass through; the measures come in
-one struct column, so names can't clash.
+one struct column, under a name that starts with __pm_, which is reserved.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 HOST_LIMIT = 0.5
 #: The prior counts as so many documents at least and at most.
 PRIOR_DOCS = (1.0, 10_000.0)
-STRUCT = "_quality"
+STRUCT = "__pm_quality"
 
 
 def measure_texts(texts: pa.Array) -> list[pa.Array]:
