@@ -12,19 +12,22 @@ the prefix.
   is shared; what they link is joined into components.
 * Pairs of groups of a run that aren't wholly in one component are counted over
   all shared prefix shingles and filtered by size and by position, then expanded
-  to their classes; pairs of classes of different components are verified by
-  exact intersection.
+  to their classes.  Pairs of classes of different components are held against
+  bitmaps of their sets, which bound the intersection from above, and those left
+  are verified by exact intersection.
 * While runs of more than ``RUN_PAIRS`` pairs would give more than
-  ``PAIRS_PER_CLASS`` pairs a class, these aren't expanded: their shingle is common, and goes to the end of the total order.  The groups with
-  such shingles are joined again under the new order, which is exact for pairs
-  among them; every pair missed before is such a pair.  When an order has no new
-  common shingle left, remaining runs are expanded whatever their size.
+  ``PAIRS_PER_CLASS`` pairs a class, these aren't expanded: their shingle is
+  common, and goes to the end of the total order.  The groups with such shingles
+  are joined again under the new order, which is exact for pairs among them;
+  every pair missed before is such a pair.  When an order has no new common
+  shingle left, remaining runs are expanded whatever their size.
 
 No run, class or group is gathered in a task: they stay rows, aggregated before
 the shuffle or joined.  Classes and members meet by joins; whole sets are only
-shuffled for classes in candidate pairs.  Ids of those classes are broadcast
-while they are at most ``BROADCAST_IDS``, which is checked; beyond, the texts are
-joined by shuffle.
+shuffled for classes in pairs that the bitmaps leave.  Ids of those classes are
+broadcast while they are at most ``BROADCAST_IDS``, and common shingles go to
+the tasks while they are at most ``BROADCAST_KEYS``, which is checked; beyond,
+both are joined by shuffle.
 
 Defined results: a text without words, empty or null, has no shingles and its
 own id as component.  A null id takes part in nothing and has a null component.
@@ -34,7 +37,7 @@ texts count as one node.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,7 @@ SHINGLE = 5
 RUN_PAIRS = 2000
 PAIRS_PER_CLASS = 10
 BROADCAST_IDS = 2_000_000
+BROADCAST_KEYS = 200_000
 MAX_ORDERS = 12
 
 
@@ -101,19 +105,68 @@ def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "n long, g long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(cls, whole) of the texts with these ids."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    picked = docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["cls"], "left_semi")
+def bitmap(s: np.ndarray) -> bytes:
+    """Which of two to four buckets per element a set of hashes fills."""
+    filled = np.zeros(max(16, 2 << (len(s) - 1).bit_length()), bool)
+    filled[(s & U64(len(filled) - 1)).astype(np.int64)] = True
+    return np.packbits(filled, bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = [s.view(np.int64) for s in _sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "whole"])
 
-    return picked.mapInArrow(run, "cls long, whole array<long>").dropDuplicates(["cls"])
+def bound(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """The most elements that two sets with these sizes and bitmaps can share: each bucket that only one fills holds an element that the other lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
+
+
+class Texts:
+    """The texts behind the classes, read again for what is asked of them.  ``unique`` says that no id repeats."""
+
+    def __init__(self, docs: DataFrame, unique: bool, k: int):
+        self.docs, self.unique, self.k = docs, unique, k
+
+    def made(self, ids: DataFrame, make: Callable[[list[np.ndarray]], list[pa.Array]], fields: str) -> DataFrame:
+        """(cls, fields) that ``make`` gives for the sets of the classes ``ids``."""
+        picked = self.docs.select("doc_id", "text").join(few(ids), self.docs["doc_id"] == ids["cls"], "left_semi")
+        schema, k = f"cls long, {fields}", self.k
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *make(list(_sets(part.column("text"), k)))], names=names)
+
+        out = picked.mapInArrow(run, schema)
+        return out if self.unique else out.dropDuplicates(["cls"])
+
+    def bitmaps(self, ids: DataFrame) -> DataFrame:
+        return self.made(ids, lambda sets: [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], "n long, bits binary")
+
+    def wholes(self, ids: DataFrame) -> DataFrame:
+        return self.made(ids, lambda sets: [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "whole array<long>")
+
+    def heads(self, ids: DataFrame, late: np.ndarray) -> DataFrame:
+        """(cls, n, g, prefix) under the order in which ``late`` comes last."""
+
+        def make(sets: list[np.ndarray]) -> list[pa.Array]:
+            first = [head(s, late) for s in sets]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(p, 14) for p in first], pa.int64()), pa.array([p.view(np.int64) for p in first], pa.list_(pa.int64()))]
+
+        return self.made(ids, make, "n long, g long, prefix array<long>")
+
+
+def head(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted set, were the hashes in ``late`` its last ones."""
+    behind = np.isin(s, late)
+    return np.concatenate((s[~behind], s[behind]))[: prefix_size(len(s))]
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids``, for broadcast if a count finds them few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def shared_runs(rows: DataFrame) -> DataFrame:
@@ -143,10 +196,28 @@ def fits(na: Column, nb: Column) -> Column:
     return 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps allow sets similar enough."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, ba, nb, bb = (batch.column(i).to_pylist() for i in range(2, 6))
+            stay = [9 * bound(*x) >= 4 * (x[0] + x[2]) for x in zip(na, ba, nb, bb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, bits: DataFrame, texts: Texts) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
-    left = sets.select(F.col("cls").alias("a"), F.col("whole").alias("wa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("whole").alias("wb"))
+    pairs = stash(promising(pairs, bits), "promising")
+    ids = stash(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "verified")
+    picked = stash(texts.wholes(ids), "sets")
+    left = picked.select(F.col("cls").alias("a"), F.col("whole").alias("wa"))
+    right = picked.select(F.col("cls").alias("b"), F.col("whole").alias("wb"))
     both = pairs.join(left, "a").join(right, "b")
     return both.filter(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
@@ -157,10 +228,10 @@ def possible(shared: Column, more: Column, na: Column, nb: Column, pa: Column, p
 
 
 class Join:
-    """The state of one join: the whole sets of its classes, and the components found so far."""
+    """The state of one join: the texts and bitmaps of its classes, and the components found so far."""
 
-    def __init__(self, sets: DataFrame, n_classes: int):
-        self.sets, self.n_classes = sets, n_classes
+    def __init__(self, texts: Texts, bits: DataFrame, n_classes: int):
+        self.texts, self.bits, self.n_classes = texts, bits, n_classes
         self.labels: DataFrame | None = None
 
     def label(self, df: DataFrame, cls: str, name: str) -> DataFrame:
@@ -173,7 +244,7 @@ class Join:
     def add(self, pairs: DataFrame) -> None:
         """Verify pairs (a, b) of classes and join what links."""
         pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stash(verify(pairs, self.sets), "found")
+        found = stash(verify(pairs, self.bits, self.texts), "found")
         if found.isEmpty():
             return
         known = found if self.labels is None else found.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -224,27 +295,26 @@ class Join:
         return None if final or late.isEmpty() else late.select("key", "grp")
 
 
-def reorder(classes: DataFrame, sets: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reorder(classes: DataFrame, texts: Texts, common: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and classes of one more order, in which the keys of ``common`` come last: (key, grp, n, pos), (cls, grp, n)."""
-    sets = stash(sets.join(classes.select("cls"), "cls", "left_semi"), "late-sets")
-    tokens = sets.select("cls", F.explode("whole").alias("key"))
-    own = tokens.join(common, "key", "left_semi").groupBy("cls").agg(F.collect_list("key").alias("late"))  # at most the set itself
-    both = sets.join(own, "cls", "left").select("cls", "whole", F.coalesce("late", F.array().cast("array<long>")).alias("late"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, heads, groups = [], [], [], []
-            for cls, whole, late in zip(*(batch.column(i) for i in range(3)), strict=True):
-                s = np.sort(np.array(whole.values, np.int64).view(U64))
-                behind = np.isin(s, np.array(late.values, np.int64).view(U64))
-                p = np.concatenate((s[~behind], s[behind]))[: prefix_size(len(s))]
-                ids.append(cls.as_py())
-                sizes.append(len(s))
-                heads.append(p.view(np.int64))
-                groups.append(digest(p, 14))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["cls", "n", "g", "prefix"])
-
-    made = stash(both.mapInArrow(run, "cls long, n long, g long, prefix array<long>"), "orders")
+    ids = classes.select("cls")
+    if common.count() <= BROADCAST_KEYS:
+        made = texts.heads(ids, np.array([r.key for r in common.collect()], np.int64).view(U64))
+    else:
+        sets = stash(texts.wholes(ids), "late-sets")
+        tokens = sets.select("cls", F.explode("whole").alias("key"))
+        own = tokens.join(common, "key", "left_semi").groupBy("cls").agg(F.collect_list("key").alias("late"))  # at most the set itself
+        both = sets.join(own, "cls", "left").select("cls", "whole", F.coalesce("late", F.array().cast("array<long>")).alias("late"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                wholes, lates = ([np.array(x.values, np.int64).view(U64) for x in batch.column(i)] for i in (1, 2))
+                heads = [head(np.sort(s), late) for s, late in zip(wholes, lates, strict=True)]
+                cols = [pa.array([len(s) for s in wholes], pa.int64()), pa.array([digest(p, 14) for p in heads], pa.int64()), pa.array([p.view(np.int64) for p in heads], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["cls", "n", "g", "prefix"])
+
+        made = both.mapInArrow(run, "cls long, n long, g long, prefix array<long>")
+    made = stash(made, "orders")
     groups = made.groupBy("n", "g").agg(F.min("cls").alias("grp"), F.first("prefix").alias("prefix"))
     classes = made.select("cls", "n", "g").join(groups.select("n", "g", "grp"), ["n", "g"]).select("cls", "grp", "n")
     return groups.select("grp", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "grp", "n", "pos"), classes
@@ -261,11 +331,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = prefixes(docs, k).groupBy("n", "g").agg(F.first("prefix").alias("prefix")).join(group_ids, ["n", "g"])
     rows = heads.select("grp", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "grp", "n", "pos")
     rows = stash(shared_runs(rows), "runs")
-    # Whole sets are read again for the classes that share a prefix shingle or a group with another.
+    # Bitmaps are made for the classes that share a prefix shingle or a group with another.
     alone = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("grp")
     partners = rows.select("grp").unionByName(alone).distinct()
     ids = stash(grouped.join(partners, "grp", "left_semi").select("cls"), "ids")
-    join, late = Join(stash(whole_sets(docs, ids, k), "sets"), grouped.count()), None
+    unique = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).isEmpty()
+    texts = Texts(docs, unique, k)
+    join, late = Join(texts, stash(texts.bitmaps(ids), "bitmaps"), grouped.count()), None
     for turn in range(MAX_ORDERS + 1):
         left = join.order(rows, grouped, turn, final=turn == MAX_ORDERS)
         if left is None:
@@ -279,7 +351,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             new = late.unionByName(fresh)
         late = stash(new, "late")
         again = grouped.join(left.select("grp").distinct(), "grp", "left_semi")
-        rows, grouped = reorder(again, join.sets, late)
+        rows, grouped = reorder(again, join.texts, late)
         grouped = stash(grouped, "grouped")
         rows = stash(shared_runs(rows), "runs")
     labelled = join.label(classes.select("n", "d1", "d2", "cls"), "cls", "component")
@@ -295,9 +367,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     found = near_duplicates(docs, doc_id, text)
     gone = stash(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    left = docs.join(few(gone), docs[doc_id] == gone["_gone"], "left_anti")
     again = stash(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter((F.col("times") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_again")), "again")
     if again.isEmpty():
         return left

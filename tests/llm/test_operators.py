@@ -137,9 +137,10 @@ def jaccard_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("run_pairs, per_class", [(2000, 4), (1, 0)])
-def test_near_duplicates(spark, docs, none, monkeypatch, run_pairs, per_class):
-    """Against all pairs; the second case sends every common shingle through further orders."""
+@pytest.mark.parametrize("run_pairs, per_class, keys", [(2000, 4, 1000), (1, 0, 1000), (1, 0, 0)])
+def test_near_duplicates(spark, docs, none, monkeypatch, run_pairs, per_class, keys):
+    """Against all pairs; the second case sends every common shingle through further orders, the third by shuffles."""
+    monkeypatch.setattr(near_duplicates, "BROADCAST_KEYS", keys)
     monkeypatch.setattr(near_duplicates, "RUN_PAIRS", run_pairs)
     monkeypatch.setattr(near_duplicates, "PAIRS_PER_CLASS", per_class)
     rng = random.Random(8)
@@ -160,6 +161,16 @@ def test_near_duplicates(spark, docs, none, monkeypatch, run_pairs, per_class):
         assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 5, 8, 9, 10, 11, 12, None}
 
 
+def test_bitmaps_bound_the_intersection():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, m, both = (int(x) for x in rng.integers(1, 200, 3))
+        x = rng.integers(0, 2**63, n + m + both).astype(np.uint64)
+        a, b = x[: n + both], x[n:]
+        most = near_duplicates.bound(len(a), near_duplicates.bitmap(a), len(b), near_duplicates.bitmap(b))
+        assert both <= most <= min(len(a), len(b))
+
+
 def test_pii_base_spans_equal_plain_patterns():
     plain = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
     digits = lambda s: re.sub("[^0-9]", "", s)
