@@ -29,6 +29,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 HOST_LIMIT = 0.5
 #: The prior counts as so many documents at least and at most.
 PRIOR_DOCS = (1.0, 10_000.0)
+#: Rejected hosts are broadcast while their names have at most so many bytes; beyond, they meet documents by shuffle.
+BROADCAST_BYTES = 64 << 20
 STRUCT = "__pm_quality"
 
 
@@ -103,11 +105,18 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) ->
     return both.select("host", "n", *[f"f_{k}" for k in names], *[f"r_{k}" for k in names], (rejected & F.col("host").isNotNull()).alias("host_rejected"))
 
 
+def rejected_hosts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
+    """(bad_host) of each rejected host, for broadcast if a sum of their bytes finds them few."""
+    bad = stash(host_verdicts(measured, host, limit).filter("host_rejected").select(F.col("host").alias("bad_host")), "bad-hosts")
+    size = bad.agg(F.sum(F.octet_length("bad_host") + 64)).first()[0] or 0
+    return F.broadcast(bad) if size <= BROADCAST_BYTES else bad
+
+
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per document: id, host, measures, ``base_failed``, ``host_rejected`` and ``kept``."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     measured = stash(measure(picked).select("doc_id", "host", STRUCT), "quality")
-    verdicts = host_verdicts(measured, "host", limit).filter("host_rejected").select(F.col("host").alias("bad_host"))
+    verdicts = rejected_hosts(measured, "host", limit)
     failed = base_failed()
     return measured.join(verdicts, F.col("host") == F.col("bad_host"), "left").select(
         "doc_id", "host", f"{STRUCT}.*", failed.alias("base_failed"), F.col("bad_host").isNotNull().alias("host_rejected"),
@@ -118,9 +127,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that the rules and the host verdicts keep, with their own columns."""
     slim = measure(docs.select(F.col(text).alias("text"), F.col(host).alias("host"))).select("host", STRUCT)
-    bad = stash(host_verdicts(slim, "host", limit).filter("host_rejected").select("host"), "bad-hosts")
+    bad = rejected_hosts(slim, "host", limit)
     good = measure(docs, text).filter(~base_failed()).drop(STRUCT)
-    return good.join(bad, good[host] == bad["host"], "left_anti")
+    return good.join(bad, good[host] == bad["bad_host"], "left_anti")
 
 
 WORD = r"[^\x20\x09-\x0D]+"
