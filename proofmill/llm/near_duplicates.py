@@ -106,8 +106,8 @@ def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Which of two to four buckets per element a set of hashes fills."""
-    filled = np.zeros(max(16, 2 << (len(s) - 1).bit_length()), bool)
+    """Which of two to four buckets per element, 64 at least, a set of hashes fills."""
+    filled = np.zeros(max(64, 2 << (len(s) - 1).bit_length()), bool)
     filled[(s & U64(len(filled) - 1)).astype(np.int64)] = True
     return np.packbits(filled, bitorder="little").tobytes()
 
@@ -122,6 +122,26 @@ def bound(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
+def most_shared(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """``bound`` for columns, with bitmaps as arrays of 64 buckets a value.
+
+    The larger bitmap is folded once; where that isn't enough, one set has more
+    than twice the elements of the other, and the result is null.
+    """
+
+    def folded(x: Column, other: Column) -> Column:
+        half = F.shiftright(F.size(x), 1)
+        lower, upper = F.slice(x, F.lit(1), half), F.slice(x, half + 1, half)
+        return F.when(F.size(x) > F.size(other), F.zip_with(lower, upper, lambda p, q: p.bitwiseOR(q))).otherwise(x)
+
+    def lacking(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, m: total + m)
+
+    x, y = folded(a, b), folded(b, a)
+    only_a, only_b = lacking(x, y), lacking(y, x)
+    return F.when(only_a.isNotNull() & only_b.isNotNull(), F.least(na - only_a, nb - only_b))
+
+
 class Texts:
     """The texts behind the classes, read again for what is asked of them.  ``unique`` says that no id repeats."""
 
@@ -143,7 +163,7 @@ class Texts:
         return out if self.unique else out.dropDuplicates(["cls"])
 
     def bitmaps(self, ids: DataFrame) -> DataFrame:
-        return self.made(ids, lambda sets: [pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], "n long, bits binary")
+        return self.made(ids, lambda sets: [pa.array([len(s) for s in sets], pa.int64()), pa.array([np.frombuffer(bitmap(s), np.int64) for s in sets], pa.list_(pa.int64()))], "n long, bits array<long>")
 
     def wholes(self, ids: DataFrame) -> DataFrame:
         return self.made(ids, lambda sets: [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "whole array<long>")
@@ -200,15 +220,8 @@ def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose bitmaps allow sets similar enough."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ba", "nb", "bb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, ba, nb, bb = (batch.column(i).to_pylist() for i in range(2, 6))
-            stay = [9 * bound(*x) >= 4 * (x[0] + x[2]) for x in zip(na, ba, nb, bb, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+    most = most_shared(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"))
+    return pairs.join(left, "a").join(right, "b").filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def verify(pairs: DataFrame, bits: DataFrame, texts: Texts) -> DataFrame:

@@ -1,0 +1,26 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from proofmill.llm.near_duplicates import bitmap, bound, most_shared
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (30, 40), (500, 520), (1000, 1030), (1000, 3000)])
+def test_columns_of_bitmaps_give_the_plain_bound(spark, sizes):
+    draw = np.random.default_rng(sum(sizes))
+    rows, common, plain = [], [], []
+    for shared in (0, min(sizes) // 2, min(sizes)):
+        pool = np.unique(draw.integers(0, 2**63, 4 * sum(sizes) + 8, np.uint64))
+        draw.shuffle(pool)
+        a, b = np.sort(pool[: sizes[0]]), np.sort(pool[sizes[0] - shared : sizes[0] - shared + sizes[1]])
+        rows.append((len(rows), len(a), np.frombuffer(bitmap(a), np.int64).tolist(), len(b), np.frombuffer(bitmap(b), np.int64).tolist()))
+        common.append(len(np.intersect1d(a, b)))
+        plain.append(bound(len(a), bitmap(a), len(b), bitmap(b)))
+    found = spark.createDataFrame(rows, "i int, na long, a array<long>, nb long, b array<long>").select("i", most_shared(F.col("na"), F.col("a"), F.col("nb"), F.col("b")).alias("most")).collect()
+    for r in found:
+        if r.most is None:
+            assert 2 * min(sizes) < max(sizes)
+        else:
+            assert common[r.i] <= r.most == plain[r.i]
+    if sizes[0] * 2 > sizes[1] and min(sizes) >= 500:
+        assert found[0].most < 0.6 * min(sizes)
