@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus, edits
+from proofmill.plans import review
 from proofmill.session import table
 from proofmill.streaming import claims
 
@@ -126,4 +127,6 @@ SQL["applied_edits"] = r"""
 SELECT doc_id AS file, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\.{2,}', '.', 'g') AS text,
   CAST(len(regexp_extract_all(coalesce(text, ''), ' {2,}|\.{2,}')) AS INT) AS n_applied FROM documents
 """
+QUERIES |= review.QUERIES
+SQL |= review.SQL
 FLAGSHIP = "confirmation_rates"
