@@ -16,14 +16,14 @@ def _step(edges: DataFrame, small: bool) -> DataFrame:
         out = moved.select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
     else:
         out = moved.filter(F.col("b") > F.col("a")).select(F.col("b").alias("x"), "m")
-    return out.filter(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
+    return out.filter(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b"))
 
 
 def _is_stars(edges: DataFrame) -> bool:
     """Every node has one link, and to a node without any."""
-    if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).isEmpty():
-        return False
-    return edges.join(edges.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").isEmpty()
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("x"), one.alias("up"), none.alias("down")).unionByName(edges.select(F.col("b").alias("x"), none.alias("up"), one.alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(F.col("up") + F.col("down") > 1).filter(F.col("up") > 0).isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -31,7 +31,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     links = links.filter(F.col("a") != F.col("b"))
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(rounds):
-        edges = stash(_step(_step(edges, small=False), small=True), "links")
+        edges = stash(_step(_step(edges, small=False), small=True).distinct(), "links")
         if _is_stars(edges):
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
