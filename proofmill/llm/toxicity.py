@@ -5,12 +5,14 @@ words begin with, whose documents are toxic far more often than not.  Its terms
 form a trie.  The Levenshtein automata of all terms, intersected with that trie,
 are run as one lazily determinised automaton: a state is a set of (trie node,
 edits so far), so a word that no term is near dies after a few letters.  Whole
-terms allow one edit from 5 letters and two from 9; stems must match exactly.
+terms allow one edit from 5 letters and two from 9, and fewer where their hits
+with edits occur in clean documents of the sample; stems must match exactly.
 
 Around every hit a window of ``WINDOW_WORDS`` words either side and the marks at
 the hit are read: quotation marks and reporting words speak for quotation,
-address words for abuse.  The sums of term weights by kind of hit are the
-features of a logistic regression, fitted to the same sample.
+address words for abuse.  The sums of term weights, less for each edit, by kind
+of hit are the features of a logistic regression, fitted to the same sample; no
+hit but a quoted one can lower a score.
 
 The sample has at most ``PER_CLASS`` rows of each class and the lexicon at most
 ``MAX_TERMS`` terms, documented bounds at any size of the input.  Scoring is one
@@ -41,6 +43,8 @@ LEAST_DOCS = 4
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 4
 WINDOW_WORDS = 6
+#: The part of a term's weight that is left with each edit.
+EDIT_SHARE = 0.8
 CACHE = 400_000
 WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 
@@ -52,16 +56,24 @@ QUOTES = "\"'“”‘’«»„"
 DEAD = -1
 
 
+def most_edits(term: str, stem: bool) -> int:
+    return 0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2
+
+
 class Lexicon:
-    """Terms with weights as the product of a trie with Levenshtein automata; ``stem`` terms match words that begin with them."""
+    """Terms with weights as the product of a trie with Levenshtein automata; ``stem`` terms match words that begin with them.
+
+    A term is (term, stem, weight), or has the most edits as a fourth.
+    """
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple]):
         self.children: list[dict[str, int]] = [{}]
         self.whole: dict[int, tuple[float, int]] = {}
         self.stem: dict[int, float] = {}
         self.reach = [0]
-        for term, stem, weight in terms:
-            edits, node = (0 if stem or len(term) < 5 else 1 if len(term) < 9 else 2), 0
+        self.names: dict[int, str] = {}
+        for term, stem, weight, *most in terms:
+            edits, node = most[0] if most else most_edits(term, stem), 0
             self.reach[0] = max(self.reach[0], edits)
             for c in term:
                 if c not in self.children[node]:
@@ -74,6 +86,7 @@ class Lexicon:
                 self.stem[node] = weight
             else:
                 self.whole[node] = (weight, edits)
+                self.names[node] = term
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -130,6 +143,22 @@ class Lexicon:
         whole = self.accept[state] if state != DEAD else None
         return whole if whole and (not stem or whole[1] == 0) else stem
 
+    def near(self, word: str) -> set[tuple[str, int]]:
+        """Every whole term near the word with its edits, if the word's hit has edits, also behind look-alike signs."""
+        out: set[tuple[str, int]] = set()
+        if not (found := self.match(word)) or not found[1]:
+            return out
+        for w in {word, word.translate(LOOKALIKE)}:
+            state = self.start
+            for c in w:
+                step = self.next[state].get(c)
+                state = self._step(state, c) if step is None else step
+                if state == DEAD:
+                    break
+            else:
+                out.update((self.names[n], e) for n, e in self.states[state] if n in self.whole and 0 < e <= self.whole[n][1])
+        return out
+
     def match(self, word: str) -> tuple[float, int] | None:
         """Weight and edits of the nearest term, also behind look-alike signs."""
         found = self._run(word)
@@ -153,11 +182,13 @@ class Lexicon:
         return out
 
 
-FEATURES = ("exact", "near", "quoted", "addressed", "kinds")
+FEATURES = ("hits", "addressed", "quoted", "kinds")
+#: Those that can only speak for abuse.
+FOR_ABUSE = tuple(name != "quoted" for name in FEATURES)
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
-    """Of one text: the weights of exact, near and quoted hits, the hits among address words, and the number of terms hit."""
+    """Of one text: the weights of hits, less for each edit, the hits among address words, the weights of quoted hits, and the number of terms hit."""
     low = text.lower()
     hits = lexicon.hits(set(WORD.findall(low)))
     if not hits:
@@ -172,7 +203,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
         near = words[max(0, i - WINDOW_WORDS) : i] + words[i + 1 : i + 1 + WINDOW_WORDS]
         marks = low[max(0, m.start() - 1) : m.start()] + low[m.end() : m.end() + 1]
         quoted = sum(c in QUOTES for c in marks) == 2 or len(REPORTING.intersection(near)) > 1
-        sums["quoted" if quoted else "near" if edits else "exact"] += weight
+        sums["quoted" if quoted else "hits"] += weight * EDIT_SHARE**edits
         sums["addressed"] += bool(ADDRESS.intersection(near)) and not quoted
     sums["kinds"] = float(len(hits))
     return tuple(float(np.log1p(max(0.0, sums[k]))) for k in FEATURES)
@@ -197,8 +228,40 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(run, "term string, stem boolean, p long, q long").groupBy("term", "stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
-def learn(rows: DataFrame) -> list[tuple[str, bool, float]]:
-    """At most MAX_TERMS terms of the labelled texts, without those that a kept stem covers."""
+def near_counts(rows: DataFrame, terms: list[tuple]) -> DataFrame:
+    """(term, edits, p, q) over the sample: toxic and other documents with a word so many edits from the term."""
+    made: list[Lexicon] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(Lexicon(terms))
+        for batch in batches:
+            out: list[tuple[str, int, int, int]] = []
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = set(WORD.findall((text or "").lower()))
+                out += [(term, edits, y, 1 - y) for term, edits in set().union(*(made[0].near(w) for w in words))]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["term", "edits", "p", "q"])
+
+    return rows.select("text", "label").mapInArrow(run, "term string, edits long, p long, q long").groupBy("term", "edits").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+
+def bound_edits(terms: list[tuple[str, bool, float]], near: dict[tuple[str, int], tuple[int, int]], sizes: dict[int, int]) -> list[tuple[str, bool, float, int]]:
+    """The terms with the edits up to which their near hits are evidence: none in clean documents, or the odds asked of terms."""
+    out = []
+    for term, stem, weight in terms:
+        edits = 0
+        while edits < most_edits(term, stem):
+            p, q = near.get((term, edits + 1), (0, 0))
+            if q and np.log((p + 0.5) / (sizes[1] + 1.0)) - np.log((q + 0.5) / (sizes[0] + 1.0)) < LEAST_ODDS:
+                break
+            edits += 1
+        out.append((term, stem, weight, edits))
+    return out
+
+
+def learn(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
+    """At most MAX_TERMS terms of the labelled texts with their edits, without those that a kept stem covers."""
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return []
@@ -215,7 +278,10 @@ def learn(rows: DataFrame) -> list[tuple[str, bool, float]]:
         if most < 0.6 * r.p and not any(r.term.startswith(s) for s in stems):
             stems[r.term] = r.odds
     terms = [(s, True, w) for s, w in stems.items()]
-    return terms + [(r.term, False, r.odds) for r in kept if not r.stem and not any(r.term.startswith(s) for s in stems)]
+    terms += [(r.term, False, r.odds) for r in kept if not r.stem and not any(r.term.startswith(s) for s in stems)]
+    # At most two rows a term.
+    near = {(r.term, r.edits): (r.p, r.q) for r in near_counts(rows, terms).collect()} if terms else {}
+    return bound_edits(terms, near, sizes)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05) -> np.ndarray:
@@ -229,7 +295,19 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05
     return w
 
 
-def add_features(docs: DataFrame, terms: list[tuple[str, bool, float]], text: str = "text", name: str = "hits") -> DataFrame:
+def supporting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``logistic`` with no weight below 0 for the features that can only speak for abuse."""
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.append(True, used)] = logistic(x[:, used], y)
+        wrong = np.where(FOR_ABUSE, w[1:], 0.0)
+        if wrong.min() >= 0:
+            return w
+        used[wrong.argmin()] = False
+
+
+def add_features(docs: DataFrame, terms: list[tuple], text: str = "text", name: str = "hits") -> DataFrame:
     made: list[Lexicon] = []
 
     def make(texts: pa.Array) -> list[pa.Array]:
@@ -246,7 +324,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     rows = stash(sample(picked, labels, label, per_class), "toxic-sample")
     terms = learn(rows)
     known = add_features(rows, terms).select("label", "hits").collect() if terms else []  # at most 2 * per_class rows of a few numbers
-    w = logistic(np.array([r.hits for r in known]), np.array([r.label for r in known], float)) if known else np.array([-30.0, *[0.0] * len(FEATURES)])
+    w = supporting(np.array([r.hits for r in known]), np.array([r.label for r in known], float)) if known else np.array([-30.0, *[0.0] * len(FEATURES)])
     scored = add_features(picked, terms)
     z = sum((F.get("hits", F.lit(i)) * float(x) for i, x in enumerate(w[1:])), F.lit(float(w[0])))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-z)))
