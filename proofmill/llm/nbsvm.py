@@ -7,7 +7,10 @@ class log-count ratio, counted over a labelled sample; on the scaled, normalised
 vectors a linear hinge-loss model is fitted by dual coordinate descent.  A
 sigmoid fitted to the margins gives a probability.
 
-The sample has at most ``PER_CLASS`` rows of each class, a documented bound, so
+The sample has at most ``PER_CLASS`` rows of each class, a documented bound, and
+its rows are weighted in the descent and the sigmoid so that the class balance is
+that of all labels.  Log-count ratios compare shares within each class, which the
+sampling leaves alone, so they are counted without weights.  With the bound,
 the counts (at most ``SPACE``) and the descent, in one task, have a bound too.
 Scoring is one pass over all texts without a shuffle.
 
@@ -83,15 +86,15 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sample_features(rows: DataFrame) -> DataFrame:
-    """(label, places) of the labelled texts."""
+    """(label, weight, places) of the labelled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 places = pa.array([f.astype(np.int32) for f in indicators(part.column("text"))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("label"), places], names=["label", "places"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("weight"), places], names=["label", "weight", "places"])
 
-    return rows.select("label", "text").mapInArrow(run, "label int, places array<int>")
+    return rows.select("label", "weight", "text").mapInArrow(run, "label int, weight double, places array<int>")
 
 
 def log_count_ratios(features: DataFrame) -> np.ndarray:
@@ -104,8 +107,12 @@ def log_count_ratios(features: DataFrame) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float, float]:
-    """Dual coordinate descent for the hinge loss on scaled, normalised indicators; then the slope of the sigmoid.  Gives weights, bias and slope."""
+def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = COST, epochs: int = EPOCHS, weight: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+    """Dual coordinate descent for the hinge loss on scaled, normalised indicators; then the slope of the sigmoid.  Gives weights, bias and slope.
+
+    Rows cost in proportion to ``weight``, on average ``cost``.
+    """
+    part = np.ones(len(rows)) if weight is None else weight / weight.mean()
     w, bias, alpha = np.zeros(SPACE), 0.0, np.zeros(len(rows))
     x = [r[f] / (np.sqrt(r[f] @ r[f]) or 1.0) for f in rows]
     diagonal = np.array([v @ v + 1.0 for v in x])
@@ -113,7 +120,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float =
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             grad = y[i] * (w[rows[i]] @ x[i] + bias) - 1
-            new = min(max(alpha[i] - grad / diagonal[i], 0.0), cost)
+            new = min(max(alpha[i] - grad / diagonal[i], 0.0), cost * part[i])
             if step := (new - alpha[i]) * y[i]:
                 w[rows[i]] += step * x[i]
                 bias += step
@@ -122,7 +129,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float =
     slope, t = 1.0, (y > 0).astype(float)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(slope * margin, -30, 30)))
-        grad, curve = margin @ (q - t) + 0.1 * slope, (margin**2 * q * (1 - q)).sum() + 0.1
+        grad, curve = margin @ (part * (q - t)) + 0.1 * slope, (part * margin**2 * q * (1 - q)).sum() + 0.1
         slope = min(20.0, max(0.1, slope - grad / curve))
     return w, bias, slope
 
@@ -136,12 +143,13 @@ def fit(rows: DataFrame) -> dict[str, np.ndarray | float] | None:
     r = log_count_ratios(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [], []
+        xs, ys, weights = [], [], []
         for batch in batches:
             xs += [np.array(x, np.int64) for x in batch.column("places").to_numpy(zero_copy_only=False)]
             ys += batch.column("label").to_pylist()
+            weights += batch.column("weight").to_pylist()
         order = sorted(range(len(xs)), key=lambda i: (ys[i], len(xs[i]), xs[i].tobytes()))
-        w, bias, slope = descend([xs[i] for i in order], 2.0 * np.array([ys[i] for i in order]) - 1, r)
+        w, bias, slope = descend([xs[i] for i in order], 2.0 * np.array([ys[i] for i in order]) - 1, r, weight=np.array([weights[i] for i in order]))
         yield pa.RecordBatch.from_pydict({"w": [w.tolist()], "bias": [bias], "slope": [slope]})
 
     # The bounded sample goes to one task.

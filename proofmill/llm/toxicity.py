@@ -14,7 +14,9 @@ address words for abuse.  The sums of term weights, less for each edit, by kind
 of hit are the features of a logistic regression, fitted to the same sample; no
 hit but a quoted one can lower a score.
 
-The sample has at most ``PER_CLASS`` rows of each class and the lexicon at most
+The sample has at most ``PER_CLASS`` rows of each class, weighted in the fit so
+that its class balance is that of all labels (odds of terms compare shares within
+each class, which the sampling leaves alone), and the lexicon at most
 ``MAX_TERMS`` terms, documented bounds at any size of the input.  Scoring is one
 pass over all texts without a shuffle.
 
@@ -284,23 +286,25 @@ def learn(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
     return bound_edits(terms, near, sizes)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05, weight: np.ndarray | None = None) -> np.ndarray:
+    total = len(y) if weight is None else weight.sum()
+    share = (np.ones(len(y)) if weight is None else weight) / total
     x = np.hstack([np.ones((len(x), 1)), x])
     w, keep = np.zeros(x.shape[1]), np.diag([0.0, *[ridge] * (x.shape[1] - 1)])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (q - y) / len(y) + keep @ w / len(y) * 10
-        h = (x * np.maximum(q * (1 - q), 1e-5)[:, None]).T @ x / len(y) + keep / len(y) * 10 + 1e-9 * np.eye(len(w))
+        grad = x.T @ (share * (q - y)) + keep @ w / total * 10
+        h = (x * np.maximum(q * (1 - q), 1e-5)[:, None] * share[:, None]).T @ x + keep / total * 10 + 1e-9 * np.eye(len(w))
         w -= np.clip(np.linalg.solve(h, grad), -2, 2)
     return w
 
 
-def supporting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def supporting(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """``logistic`` with no weight below 0 for the features that can only speak for abuse."""
     used = np.ones(x.shape[1], bool)
     while True:
         w = np.zeros(x.shape[1] + 1)
-        w[np.append(True, used)] = logistic(x[:, used], y)
+        w[np.append(True, used)] = logistic(x[:, used], y, weight=weight)
         wrong = np.where(FOR_ABUSE, w[1:], 0.0)
         if wrong.min() >= 0:
             return w
@@ -323,8 +327,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     picked = docs.select("doc_id", "text")
     rows = stash(sample(picked, labels, label, per_class), "toxic-sample")
     terms = learn(rows)
-    known = add_features(rows, terms).select("label", "hits").collect() if terms else []  # at most 2 * per_class rows of a few numbers
-    w = supporting(np.array([r.hits for r in known]), np.array([r.label for r in known], float)) if known else np.array([-30.0, *[0.0] * len(FEATURES)])
+    known = add_features(rows, terms).select("label", "weight", "hits").collect() if terms else []  # at most 2 * per_class rows of a few numbers
+    w = supporting(np.array([r.hits for r in known]), np.array([r.label for r in known], float), np.array([r.weight for r in known])) if known else np.array([-30.0, *[0.0] * len(FEATURES)])
     scored = add_features(picked, terms)
     z = sum((F.get("hits", F.lit(i)) * float(x) for i, x in enumerate(w[1:])), F.lit(float(w[0])))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-z)))

@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from proofmill.llm import toxicity
+from proofmill.llm import labelled, nbsvm, toxicity
 
 SF = "/root/testdata/sf0.01"
 MISSPELLED = "you patetic worthles disgustin idiiot stuppid"
@@ -23,3 +24,26 @@ def test_no_hit_speaks_against_abuse():
     x = np.array([[0.0, 0, 0, 0], [2, 0, 0, 1], [2, 1, 0, 3], [0, 0, 2, 1]] * 20)
     w = toxicity.supporting(x, np.array([0.0, 1, 0, 0] * 20))
     assert w[[1, 2, 4]].min() >= 0 > w[3]
+
+
+def test_sampled_rows_weigh_as_many_as_their_class_has(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "'a text' AS text")
+    labels = spark.range(900).selectExpr("id AS doc_id", "int(id % 10 = 0) AS toxic")
+    train = labels.filter(labelled.fold(F.col("doc_id")) != 1).groupBy("toxic").count().collect()
+    for per_class in (10, 10_000):
+        rows = labelled.sample(docs, labels, "toxic", per_class).groupBy("label").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("taken")).collect()
+        assert {r.label: round(r.n, 6) for r in rows} == {r.toxic: r["count"] for r in train}
+        assert all(r.taken == min(per_class, round(r.n)) for r in rows)
+
+
+def test_weights_stand_for_rows():
+    rng = np.random.default_rng(5)
+    y = (np.arange(400) % 2).astype(float)
+    x = np.abs(rng.standard_normal((400, 4)) + 1.5 * y[:, None])
+    weight = np.where(y == 0, 9, 1)
+    again = np.repeat(np.arange(400), weight)
+    assert np.allclose(toxicity.logistic(x, y, weight=weight), toxicity.logistic(x[again], y[again]), atol=1e-6)
+    rows = [np.array([0, 1 + int(i % 5)]) for i in range(400)]
+    equal, weighted = (nbsvm.descend(rows, 2 * y - 1, np.ones(nbsvm.SPACE), weight=w)[:2] for w in (None, weight.astype(float)))
+    margin = lambda m: (m[0][rows[0]].sum() / 2**0.5 + m[1])
+    assert margin(weighted) < -0.9 < margin(equal)
