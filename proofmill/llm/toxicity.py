@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
-The lexicon is learned from a labelled sample: words, and stems that several
-words begin with, whose documents are toxic far more often than not.  Its terms
+The lexicon is learned from a labelled sample: words, and stems that
+``STEM_WORDS`` words at least begin with, whose documents are toxic far more often than not.  Its terms
 form a trie.  The Levenshtein automata of all terms, intersected with that trie,
 are run as one lazily determinised automaton: a state is a set of (trie node,
 edits so far), so a word that no term is near dies after a few letters.  Whole
@@ -16,8 +16,8 @@ hit but a quoted one can lower a score.
 
 The sample has at most ``PER_CLASS`` rows of each class, weighted in the fit so
 that its class balance is that of all labels (odds of terms compare shares within
-each class, which the sampling leaves alone), and the lexicon at most
-``MAX_TERMS`` terms, documented bounds at any size of the input.  Scoring is one
+each class, which the sampling leaves alone), a documented bound at any size of
+the input; the lexicon has every term that the sample bears out.  Scoring is one
 pass over all texts without a shuffle.
 
 Defined results: null and empty texts have no hits and get the score of the
@@ -39,7 +39,6 @@ from proofmill.llm.textscan import add_columns
 from proofmill.session import stash
 
 PER_CLASS = 6000
-MAX_TERMS = 2000
 LEAST_ODDS = 3.5
 LEAST_DOCS = 4
 STEMS = (4, 5, 6, 7)
@@ -212,7 +211,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, stem, p, q, n_words) over the sample: toxic and other documents with the term, and for stems the distinct words."""
+    """(term, stem, p, q, n_words) over the sample: toxic and other documents with the term, and for stems the distinct words of toxic ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +226,11 @@ def term_counts(rows: DataFrame) -> DataFrame:
                     out[3].extend([1 - y] * len(terms))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["term", "stem", "p", "q"])
 
-    return rows.select("text", "label").mapInArrow(run, "term string, stem boolean, p long, q long").groupBy("term", "stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counted = stash(rows.select("text", "label").mapInArrow(run, "term string, stem boolean, p long, q long").groupBy("term", "stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter("p > 0"), "terms")
+    begins = F.explode(F.array(*[F.when(F.char_length("term") > k, F.substring("term", 1, k)) for k in STEMS]))
+    words = counted.filter(~F.col("stem")).select(begins.alias("term")).filter(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("n_words"))
+    stems = counted.filter("stem").join(words, "term")
+    return stems.unionByName(counted.filter(~F.col("stem")).withColumn("n_words", F.lit(1).cast("long")))
 
 
 def near_counts(rows: DataFrame, terms: list[tuple]) -> DataFrame:
@@ -262,25 +265,33 @@ def bound_edits(terms: list[tuple[str, bool, float]], near: dict[tuple[str, int]
     return out
 
 
+def choose(strong: list) -> list[tuple[str, bool, float]]:
+    """Terms of the rows (term, stem, p, odds): stems that no single word makes up nor another stem covers, and all words.
+
+    Words that a stem covers stay, for the hits with edits that a stem hasn't.
+    """
+    kept = sorted(strong, key=lambda r: (-r.odds, r.term, r.stem))
+    most: dict[str, int] = {}
+    for r in kept:
+        for k in STEMS:
+            if not r.stem and len(r.term) > k:
+                most[r.term[:k]] = max(r.p, most.get(r.term[:k], 0))
+    stems: dict[str, float] = {}
+    for r in sorted((r for r in kept if r.stem), key=lambda r: (len(r.term), r.term)):
+        # A stem stands for several words; if one word makes up nearly all of it, that word is the term.
+        if most.get(r.term, 0) < 0.6 * r.p and not any(r.term[:k] in stems for k in STEMS if k < len(r.term)):
+            stems[r.term] = r.odds
+    return [(s, True, w) for s, w in stems.items()] + [(r.term, False, r.odds) for r in kept if not r.stem]
+
+
 def learn(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
-    """At most MAX_TERMS terms of the labelled texts with their edits, without those that a kept stem covers."""
+    """The terms of the labelled texts with their edits; the sample alone bounds how many there are."""
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return []
     odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("q") + 0.5) / (sizes[0] + 1.0))
-    counted = stash(term_counts(rows).filter(F.col("p") >= 2), "terms")
-    strong = counted.withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (F.col("p") >= LEAST_DOCS))
-    kept = strong.orderBy(F.desc("odds"), "term", "stem").limit(MAX_TERMS).collect()
-    whole = {r.term: r.p for r in kept if not r.stem}
-    stems: dict[str, float] = {}
-    for r in sorted((r for r in kept if r.stem), key=lambda r: (len(r.term), r.term)):
-        others = [p for w, p in whole.items() if w.startswith(r.term)]
-        most = max(others, default=0)
-        # A stem stands for several words; if one word makes up nearly all of it, that word is the term.
-        if most < 0.6 * r.p and not any(r.term.startswith(s) for s in stems):
-            stems[r.term] = r.odds
-    terms = [(s, True, w) for s, w in stems.items()]
-    terms += [(r.term, False, r.odds) for r in kept if not r.stem and not any(r.term.startswith(s) for s in stems)]
+    counted = term_counts(rows).filter(F.col("p") >= LEAST_DOCS).withColumn("odds", odds)
+    terms = choose(counted.filter((F.col("odds") >= LEAST_ODDS) & (~F.col("stem") | (F.col("n_words") >= STEM_WORDS))).collect())
     # At most two rows a term.
     near = {(r.term, r.edits): (r.p, r.q) for r in near_counts(rows, terms).collect()} if terms else {}
     return bound_edits(terms, near, sizes)

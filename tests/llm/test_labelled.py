@@ -20,6 +20,18 @@ def test_edits_are_dropped_where_clean_documents_hold_them():
     assert [t[3] for t in toxicity.bound_edits(terms, near, {1: 100, 0: 1000})] == [1, 0, 1, 0]
 
 
+def test_stems_need_words_and_leave_misspelled_words_to_the_automata(spark):
+    words = [f"zorgen{x}" for x in ("aba", "ibi", "obo", "ubu", "ebe")]
+    texts = [(f"plain text {w}", 1) for w in words for _ in range(6)] + [("plain text", 0)] * 300
+    rows = spark.createDataFrame(texts, "text string, label int").repartition(3)
+    counted = {(r.term, r.stem): (r.p, r.q, r.n_words) for r in toxicity.term_counts(rows).collect()}
+    assert counted["zorg", True] == (30, 0, 5) and counted["zorgena", True] == (6, 0, 1) and counted["zorgenaba", False] == (6, 0, 1)
+    terms = toxicity.learn(rows)
+    assert [t[0] for t in terms if t[1]] == ["zorg"] and {t[0] for t in terms if not t[1]} == set(words)
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon.match("zorgenana")[1] == 0 and lexicon.match("zrogenaba")[1] == 2 and lexicon.match("sorgenobo")[1] == 1
+
+
 def test_no_hit_speaks_against_abuse():
     x = np.array([[0.0, 0, 0, 0], [2, 0, 0, 1], [2, 1, 0, 3], [0, 0, 2, 1]] * 20)
     w = toxicity.supporting(x, np.array([0.0, 1, 0, 0] * 20))
