@@ -1,8 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
 The lexicon is learned from a labelled sample: words, and stems that
-``STEM_WORDS`` words at least begin with, whose documents are toxic far more often than not.  Its terms
-form a trie.  The Levenshtein automata of all terms, intersected with that trie,
+``STEM_WORDS`` words at least begin with, whose documents are toxic far more
+often than not, or for frequent stems significantly more often.  Its terms form a
+trie.  The Levenshtein automata of all terms, intersected with that trie,
 are run as one lazily determinised automaton: a state is a set of (trie node,
 edits so far), so a word that no term is near dies after a few letters.  Whole
 terms allow one edit from 5 letters and two from 9, and fewer where their hits
@@ -43,6 +44,9 @@ LEAST_ODDS = 3.5
 LEAST_DOCS = 4
 STEMS = (4, 5, 6, 7)
 STEM_WORDS = 4
+#: Frequent stems of lower odds are terms too, if these are so many standard errors above 0.
+LEAST_STEM_ODDS = 2.0
+STEM_ERRORS = 5.0
 WINDOW_WORDS = 6
 #: The part of a term's weight that is left with each edit.
 EDIT_SHARE = 0.8
@@ -183,13 +187,13 @@ class Lexicon:
         return out
 
 
-FEATURES = ("hits", "addressed", "quoted", "kinds")
+FEATURES = ("hits", "addressed", "quoted", "kinds", "weak")
 #: Those that can only speak for abuse.
 FOR_ABUSE = tuple(name != "quoted" for name in FEATURES)
 
 
 def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
-    """Of one text: the weights of hits, less for each edit, the hits among address words, the weights of quoted hits, and the number of terms hit."""
+    """Of one text: the weights of hits, less for each edit, the hits among address words, the weights of quoted hits, the number of terms hit, and the weights of stems with odds under LEAST_ODDS, which count nowhere else."""
     low = text.lower()
     hits = lexicon.hits(set(WORD.findall(low)))
     if not hits:
@@ -204,9 +208,12 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
         near = words[max(0, i - WINDOW_WORDS) : i] + words[i + 1 : i + 1 + WINDOW_WORDS]
         marks = low[max(0, m.start() - 1) : m.start()] + low[m.end() : m.end() + 1]
         quoted = sum(c in QUOTES for c in marks) == 2 or len(REPORTING.intersection(near)) > 1
+        if weight < LEAST_ODDS:
+            sums["weak"] += weight * (not quoted)
+            continue
         sums["quoted" if quoted else "hits"] += weight * EDIT_SHARE**edits
         sums["addressed"] += bool(ADDRESS.intersection(near)) and not quoted
-    sums["kinds"] = float(len(hits))
+    sums["kinds"] = float(sum(weight >= LEAST_ODDS for weight, _ in hits.values()))
     return tuple(float(np.log1p(max(0.0, sums[k]))) for k in FEATURES)
 
 
@@ -265,10 +272,17 @@ def bound_edits(terms: list[tuple[str, bool, float]], near: dict[tuple[str, int]
     return out
 
 
+def errors(p: int, q: int) -> float:
+    """The standard error of log odds."""
+    return float(np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)))
+
+
 def choose(strong: list) -> list[tuple[str, bool, float]]:
-    """Terms of the rows (term, stem, p, odds): stems that no single word makes up nor another stem covers, and all words.
+    """Terms of the rows (term, stem, p, q, odds): stems that no single word makes up nor another stem covers, and all words.
 
-    Words that a stem covers stay, for the hits with edits that a stem hasn't.
+    Words that a stem covers stay, for the hits with edits that a stem hasn't.  Of
+    nested stems with odds under LEAST_ODDS the most significant is taken; where a
+    word begins with several stems, the longest is its hit.
     """
     kept = sorted(strong, key=lambda r: (-r.odds, r.term, r.stem))
     most: dict[str, int] = {}
@@ -277,11 +291,15 @@ def choose(strong: list) -> list[tuple[str, bool, float]]:
             if not r.stem and len(r.term) > k:
                 most[r.term[:k]] = max(r.p, most.get(r.term[:k], 0))
     stems: dict[str, float] = {}
-    for r in sorted((r for r in kept if r.stem), key=lambda r: (len(r.term), r.term)):
+    for r in sorted((r for r in kept if r.stem and r.odds >= LEAST_ODDS), key=lambda r: (len(r.term), r.term)):
         # A stem stands for several words; if one word makes up nearly all of it, that word is the term.
         if most.get(r.term, 0) < 0.6 * r.p and not any(r.term[:k] in stems for k in STEMS if k < len(r.term)):
             stems[r.term] = r.odds
-    return [(s, True, w) for s, w in stems.items()] + [(r.term, False, r.odds) for r in kept if not r.stem]
+    weak: dict[str, float] = {}
+    for r in sorted((r for r in kept if r.stem and r.odds < LEAST_ODDS), key=lambda r: (-r.odds / errors(r.p, r.q), r.term)):
+        if most.get(r.term, 0) < 0.6 * r.p and not any(r.term.startswith(s) or s.startswith(r.term) for s in weak):
+            weak[r.term] = r.odds
+    return [(s, True, w) for s, w in (stems | weak).items()] + [(r.term, False, r.odds) for r in kept if not r.stem]
 
 
 def learn(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
@@ -291,7 +309,9 @@ def learn(rows: DataFrame) -> list[tuple[str, bool, float, int]]:
         return []
     odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("q") + 0.5) / (sizes[0] + 1.0))
     counted = term_counts(rows).filter(F.col("p") >= LEAST_DOCS).withColumn("odds", odds)
-    terms = choose(counted.filter((F.col("odds") >= LEAST_ODDS) & (~F.col("stem") | (F.col("n_words") >= STEM_WORDS))).collect())
+    error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    frequent = F.col("stem") & (F.col("odds") >= LEAST_STEM_ODDS) & (F.col("odds") >= STEM_ERRORS * error)
+    terms = choose(counted.filter(((F.col("odds") >= LEAST_ODDS) | frequent) & (~F.col("stem") | (F.col("n_words") >= STEM_WORDS))).collect())
     # At most two rows a term.
     near = {(r.term, r.edits): (r.p, r.q) for r in near_counts(rows, terms).collect()} if terms else {}
     return bound_edits(terms, near, sizes)

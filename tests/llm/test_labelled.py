@@ -32,8 +32,15 @@ def test_stems_need_words_and_leave_misspelled_words_to_the_automata(spark):
     assert lexicon.match("zorgenana")[1] == 0 and lexicon.match("zrogenaba")[1] == 2 and lexicon.match("sorgenobo")[1] == 1
 
 
+def test_frequent_stems_of_lower_odds_are_terms(spark):
+    ends = [f"{a}{b}" for a in "aeiou" for b in "klmnprst"]
+    texts = [(f"plain text quibb{e}", 1) for e in ends] + [(f"plain text quibb{e}", 0) for e in ends[::2]] + [("plain text", 1)] * 20 + [("plain text", 0)] * 400
+    terms = toxicity.learn(spark.createDataFrame(texts, "text string, label int").repartition(3))
+    assert [(t[0], t[1]) for t in terms] == [("quib", True)] and 2 <= terms[0][2] < toxicity.LEAST_ODDS
+
+
 def test_no_hit_speaks_against_abuse():
-    x = np.array([[0.0, 0, 0, 0], [2, 0, 0, 1], [2, 1, 0, 3], [0, 0, 2, 1]] * 20)
+    x = np.array([[0.0, 0, 0, 0, 0], [2, 0, 0, 1, 0], [2, 1, 0, 3, 0], [0, 0, 2, 1, 0]] * 20)
     w = toxicity.supporting(x, np.array([0.0, 1, 0, 0] * 20))
     assert w[[1, 2, 4]].min() >= 0 > w[3]
 
