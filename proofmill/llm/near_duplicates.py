@@ -240,6 +240,11 @@ def possible(shared: Column, more: Column, na: Column, nb: Column, pa: Column, p
     return 9 * (shared + more + F.least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)
 
 
+def tint(grp: Column, low: Column, high: Column) -> Column:
+    """What a group's pairs are skipped by: the component of a pure group, or a mixed group itself, whatever the signs of the ids."""
+    return F.struct((low == high).alias("pure"), F.when(low == high, low).otherwise(grp).alias("id"))
+
+
 class Join:
     """The state of one join: the texts and bitmaps of its classes, and the components found so far."""
 
@@ -281,7 +286,7 @@ class Join:
         # A group is pure if its classes are in one component.
         labelled = stash(self.label(classes, "cls", "comp"), "labelled")
         of = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        of = of.select("grp", (F.col("low") == F.col("high")).alias("pure"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("grp")).alias("tint"))
+        of = of.select("grp", (F.col("low") == F.col("high")).alias("pure"), tint(F.col("grp"), F.col("low"), F.col("high")).alias("tint"))
         tinted = rows.join(of.select("grp", "tint"), "grp")
         tints = tinted.groupBy("key", "tint").agg(F.count(F.lit(1)).alias("m"))
         runs = stash(tints.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).filter(F.col("pairs") > 0), "open")
