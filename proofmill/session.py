@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The shared folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one, and that on a local master only."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='proofmill-')}"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -47,7 +51,27 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     The lineage ends there, so what follows survives lost executors without
     repeating the work, and joins plan with real sizes.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proofmill/{label}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_dir(df.sparkSession)}/proofmill/{label}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[tuple[Callable[[DataFrame, str], DataFrame], Callable[[DataFrame, str], DataFrame]]]:
+    """Two forms of ``stash``: tables of the first are deleted at the end of the block, those of the second stay.
+
+    What a block returns must be built on tables that stay.
+    """
+    folder = f"{shared_dir(spark)}/proofmill/scratch-{uuid.uuid4().hex}"
+
+    def passing(df: DataFrame, label: str) -> DataFrame:
+        return _written(df, f"{folder}/{label}-{uuid.uuid4().hex}")
+
+    try:
+        yield passing, stash
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
