@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
-from proofmill.session import stash
+from pyspark.sql import DataFrame, functions as F
 
 
 def _step(edges: DataFrame, small: bool) -> DataFrame:
@@ -26,12 +26,15 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(F.col("up") + F.col("down") > 1).filter(F.col("up") > 0).isEmpty()
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of every node with a link; the component is its smallest node.  Links have columns a and b."""
+def components(links: DataFrame, stash: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(node, component) of every node with a link; the component is its smallest node.  Links have columns a and b.
+
+    ``stash`` cuts the lineage.  Every round of both stars brings nodes nearer to
+    their least one, so the rounds end; their number grows with the logarithm of
+    the nodes, whatever the length of a chain.
+    """
     links = links.filter(F.col("a") != F.col("b"))
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    for _ in range(rounds):
-        edges = stash(_step(_step(edges, small=False), small=True).distinct(), "links")
-        if _is_stars(edges):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _is_stars(edges):
+        edges = stash(_step(_step(edges, small=False), small=True).distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

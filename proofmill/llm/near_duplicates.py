@@ -1,63 +1,81 @@
 """N-gram Jaccard join with grouped prefixes, and the components of its links.
 
 Two texts link when their sets of 5-word shingles have a Jaccard similarity of
-at least 0.8.  Shingles are 64-bit hashes; all sets are sorted by one total
-order, so linked sets share one of their first ``n - ceil(0.8 n) + 1`` shingles,
-the prefix.
-
-* Texts with equal sets are one class.  Classes with equal prefixes and sizes
-  are one group; only groups are indexed, once each.
+at least 0.8.  Shingles are 64-bit hashes.
+
+* Texts with equal sets are one class, named by the digests of the set.  The
+  head of a set is its smallest hashes: all of a small set, three tenths of a
+  large one.  Classes with equal heads and sizes are one group, and only groups
+  are indexed, once each.
+* Linked sets share so many of their heads (``least_shared``) that the rarest
+  shared one is among the first ``prefix_size`` of each head in a global order,
+  by the number of groups that hold the shingle and then by the shingle.  These
+  are the prefixes.  Counts are taken over all groups; a shingle that no other
+  group holds links nothing and isn't indexed.
 * Groups that share a prefix shingle meet in a run.  Stars come first: each group
-  of a run with the run's groups of smallest hash, where about half of the prefix
-  is shared; what they link is joined into components.
-* Pairs of groups of a run that aren't wholly in one component are counted over
-  all shared prefix shingles and filtered by size and by position, then expanded
-  to their classes.  Pairs of classes of different components are held against
-  bitmaps of their sets, which bound the intersection from above, and those left
-  are verified by exact intersection.
-* While runs of more than ``RUN_PAIRS`` pairs would give more than
-  ``PAIRS_PER_CLASS`` pairs a class, these aren't expanded: their shingle is
-  common, and goes to the end of the total order.  The groups with such shingles
-  are joined again under the new order, which is exact for pairs among them;
-  every pair missed before is such a pair.  When an order has no new common
-  shingle left, remaining runs are expanded whatever their size.
-
-No run, class or group is gathered in a task: they stay rows, aggregated before
-the shuffle or joined.  Classes and members meet by joins; whole sets are only
-shuffled for classes in pairs that the bitmaps leave.  Ids of those classes are
-broadcast while they are at most ``BROADCAST_IDS``, and common shingles go to
-the tasks while they are at most ``BROADCAST_KEYS``, which is checked; beyond,
-both are joined by shuffle.
+  of a run with one group of it.  What they link is joined into components, and
+  only groups of a run in different components are paired.  Pairs are filtered by
+  size and by their places in the prefixes, expanded to classes, and verified by
+  exact intersection of whole sets.
+
+Nothing is gathered in a task: groups, runs and classes stay rows, aggregated
+before the shuffle or joined, and skewed joins are split by Spark.  Whole sets
+are made again only for classes in pairs.  Pairs of one run grow with the square
+only of its *components*; a shingle that many unlinked groups have is late in
+the order, and remains in the prefix of those alone that consist of such ones.
+Rows to be picked are broadcast while a count finds them at most
+``BROADCAST_ROWS``, and joined by shuffle beyond.
 
 Defined results: a text without words, empty or null, has no shingles and its
 own id as component.  A null id takes part in nothing and has a null component.
-Repeated rows are one class and get a row each; repeated ids with different
-texts count as one node.  An empty table gives an empty result.
+Repeated rows are one class and get a row each.  Rows that repeat an id with
+different texts are one document: each text keeps its links, and all rows of the
+id get the smallest id that any of them reaches.  Very long texts are hashed in
+runs of about a megabyte.  Ties need no rule: the components don't depend on
+order.  Further columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from proofmill.llm.components import components
-from proofmill.llm.textscan import LOWER, U64, WINDOW, Words, mix, shingles, slices
-from proofmill.session import stash
+from proofmill.llm.textscan import LOWER, U64, WINDOW, mix, shingles, slices, word_hashes
+from proofmill.session import scratch
 
 SHINGLE = 5
-RUN_PAIRS = 2000
-PAIRS_PER_CLASS = 10
-BROADCAST_IDS = 2_000_000
-BROADCAST_KEYS = 200_000
-MAX_ORDERS = 12
+WHOLE_HEAD = 32
+BROADCAST_ROWS = 2_000_000
+STARS = 2
+Stash = Callable[[DataFrame, str], DataFrame]
+
+
+def head_size(n: int) -> int:
+    """How many smallest hashes of a set of ``n`` are its head."""
+    return min(n, max(WHOLE_HEAD, (3 * n + 9) // 10))
+
+
+def shared_heads(n: int, m: int) -> int:
+    """How many shingles the heads of linked sets of these sizes share at least: of the common ones, those beyond a head are at most the larger rest."""
+    return (4 * (n + m) + 8) // 9 - max(n - head_size(n), m - head_size(m))
 
 
+def least_shared(n: int) -> int:
+    """The least of ``shared_heads`` over all sizes that can link with ``n``: it is near one of the ends or near equal sizes, by rounding at most."""
+    low, high = (4 * n + 4) // 5, 5 * n // 4
+    near = {m for end in (low, n, high) for m in range(end - 8, end + 9) if low <= m <= high}
+    return max(1, min(shared_heads(n, m) for m in near))
+
+
+@functools.lru_cache(1 << 16)
 def prefix_size(n: int) -> int:
-    """How many first shingles two sets with similarity 0.8 must share one of."""
-    return n - (4 * n + 4) // 5 + 1
+    """How many first shingles of a head of a set of ``n``, in the global order, are its prefix."""
+    return head_size(n) - least_shared(n) + 1
 
 
 def digest(h: np.ndarray, salt: int) -> int:
@@ -66,328 +84,192 @@ def digest(h: np.ndarray, salt: int) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    words = Words(texts)
-    h = words.hashes(LOWER)
-    for i in range(words.n_docs):
-        yield shingles(h[words.bounds[i] : words.bounds[i + 1]], k)
-
-
-def set_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, d1, d2, g): size and digests of each set, and the digest of its prefix."""
+def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    for h in word_hashes(texts, LOWER):
+        yield shingles(h, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = list(_sets(part.column("text"), k))
-                cols = [[len(s) for s in sets], [digest(s, 10) for s in sets], [digest(s, 12) for s in sets], [digest(s[: prefix_size(len(s))], 14) if len(s) else 0 for s in sets]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n", "d1", "d2", "g"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, d1 long, d2 long, g long")
+def longs(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def prefixes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(n, g, prefix) of each text, once per group in a task."""
+def set_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, h, n, d1, d2, g, prefix, head): size and digests of each set, digest and parts of its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                found = {}
-                for s in _sets(part.column("text"), k):
-                    if len(s):
-                        p = s[: prefix_size(len(s))]
-                        found[len(s), digest(p, 14)] = p.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
-                    names=["n", "g", "prefix"],
-                )
-
-    return docs.select("text").mapInArrow(run, "n long, g long, prefix array<long>")
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """Which of two to four buckets per element, 64 at least, a set of hashes fills."""
-    filled = np.zeros(max(64, 2 << (len(s) - 1).bit_length()), bool)
-    filled[(s & U64(len(filled) - 1)).astype(np.int64)] = True
-    return np.packbits(filled, bitorder="little").tobytes()
-
-
-def bound(na: int, a: bytes, nb: int, b: bytes) -> int:
-    """The most elements that two sets with these sizes and bitmaps can share: each bucket that only one fills holds an element that the other lacks."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-
-
-def most_shared(na: Column, a: Column, nb: Column, b: Column) -> Column:
-    """``bound`` for columns, with bitmaps as arrays of 64 buckets a value.
-
-    The larger bitmap is folded once; where that isn't enough, one set has more
-    than twice the elements of the other, and the result is null.
-    """
-
-    def folded(x: Column, other: Column) -> Column:
-        half = F.shiftright(F.size(x), 1)
-        lower, upper = F.slice(x, F.lit(1), half), F.slice(x, half + 1, half)
-        return F.when(F.size(x) > F.size(other), F.zip_with(lower, upper, lambda p, q: p.bitwiseOR(q))).otherwise(x)
-
-    def lacking(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda total, m: total + m)
-
-    x, y = folded(a, b), folded(b, a)
-    only_a, only_b = lacking(x, y), lacking(y, x)
-    return F.when(only_a.isNotNull() & only_b.isNotNull(), F.least(na - only_a, nb - only_b))
-
-
-class Texts:
-    """The texts behind the classes, read again for what is asked of them.  ``unique`` says that no id repeats."""
-
-    def __init__(self, docs: DataFrame, unique: bool, k: int):
-        self.docs, self.unique, self.k = docs, unique, k
-
-    def made(self, ids: DataFrame, make: Callable[[list[np.ndarray]], list[pa.Array]], fields: str) -> DataFrame:
-        """(cls, fields) that ``make`` gives for the sets of the classes ``ids``."""
-        picked = self.docs.select("doc_id", "text").join(few(ids), self.docs["doc_id"] == ids["cls"], "left_semi")
-        schema, k = f"cls long, {fields}", self.k
-        names = [f.split()[0] for f in schema.split(", ")]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *make(list(_sets(part.column("text"), k)))], names=names)
-
-        out = picked.mapInArrow(run, schema)
-        return out if self.unique else out.dropDuplicates(["cls"])
-
-    def bitmaps(self, ids: DataFrame) -> DataFrame:
-        return self.made(ids, lambda sets: [pa.array([len(s) for s in sets], pa.int64()), pa.array([np.frombuffer(bitmap(s), np.int64) for s in sets], pa.list_(pa.int64()))], "n long, bits array<long>")
-
-    def wholes(self, ids: DataFrame) -> DataFrame:
-        return self.made(ids, lambda sets: [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "whole array<long>")
+            for part in slices(batch, "text"):
+                sets = list(sets_of(part.column("text"), k))
+                heads = [s[: head_size(len(s))] for s in sets]
+                cols = [[len(s) for s in sets], [digest(s, 10) for s in sets], [digest(s, 12) for s in sets], [digest(s, 14) for s in heads], [len(s) for s in heads], [prefix_size(len(s)) if len(s) else 0 for s in sets]]
+                cols = [part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in cols), longs(heads)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "d1", "d2", "g", "f", "k", "head"])
 
-    def heads(self, ids: DataFrame, late: np.ndarray) -> DataFrame:
-        """(cls, n, g, prefix) under the order in which ``late`` comes last."""
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, g long, f long, k long, head array<long>")
 
-        def make(sets: list[np.ndarray]) -> list[pa.Array]:
-            first = [head(s, late) for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(p, 14) for p in first], pa.int64()), pa.array([p.view(np.int64) for p in first], pa.list_(pa.int64()))]
 
-        return self.made(ids, make, "n long, g long, prefix array<long>")
+def prefixes(sized: DataFrame) -> DataFrame:
+    """(n, g, f, key, rank): the prefix shingles of each group that another group's head holds too, with their ranks in the head."""
+    heads = sized.groupBy("n", "g", "f", "k").agg(F.first("head").alias("head"))
+    tokens = heads.select("n", "g", "f", "k", F.explode("head").alias("key"))
+    counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    of = Window.partitionBy("n", "g", "f", "k")
+    ranked = tokens.join(counts, "key").withColumn("r", F.row_number().over(of.orderBy("held", "key"))).withColumn("s", F.count(F.lit(1)).over(of))
+    # Shingles that no other group holds come first in the order.
+    return ranked.select("n", "g", "f", "k", "key", (F.col("f") - F.col("s") + F.col("r")).alias("rank")).filter("rank <= k").drop("k")
 
 
-def head(s: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """The prefix of a sorted set, were the hashes in ``late`` its last ones."""
-    behind = np.isin(s, late)
-    return np.concatenate((s[~behind], s[behind]))[: prefix_size(len(s))]
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, for broadcast if a count finds them few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, for broadcast if a count finds them few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def possible(x: str, y: str) -> Column:
+    """Whether groups with n, f and rank in ``x`` and ``y`` can link, if the shingle at these ranks is their first shared one."""
+    nx, ny, fx, fy, rx, ry = (F.col(f"{side}.{c}") for c in ("n", "f", "rank") for side in (x, y))
+    shared = 1 + F.least(fx - rx, fy - ry)
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * (shared + F.greatest(nx - fx, ny - fy)) >= 4 * (nx + ny))
 
 
-def shared_runs(rows: DataFrame) -> DataFrame:
-    """The rows (key, grp, n, pos) whose key another row has too."""
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, stash: Stash) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, by whole sets made from one text of each class."""
+    pairs = stash(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    rows = stash(classes.join(ids, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "picked")
+    texts = docs.join(few(rows), ["doc_id", "h"]).groupBy("cls").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_shared = None, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            keys = table.column("key").to_numpy()
-            equal = keys[1:] == keys[:-1]
-            shared = np.append(False, equal) | np.append(equal, False)
-            shared[0] |= held is not None and held_shared
-            last = len(keys) - 1
-            yield from table.slice(0, last).filter(pa.array(shared[:last])).to_batches()
-            held, held_shared = table.slice(last).to_batches()[0], bool(shared[last])
-        if held is not None and held_shared:
-            yield held
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
-
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("cls"), longs(list(sets_of(part.column("text"), k)))], names=["cls", "whole"])
 
-def fits(na: Column, nb: Column) -> Column:
-    """Sizes of sets that can be similar enough."""
-    return 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
+    sets = stash(texts.select("cls", "text").mapInArrow(run, "cls long, whole array<long>"), "sets")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("whole").alias("wa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("whole").alias("wb")), "b")
+    return stash(both.filter(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b"), "links")
 
 
-def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose bitmaps allow sets similar enough."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    most = most_shared(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"))
-    return pairs.join(left, "a").join(right, "b").filter(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+def tint(grp: Column, low: Column, high: Column) -> Column:
+    """What a group's pairs are skipped by: the component of a pure group, or a mixed group itself, whatever the signs of the ids."""
+    return F.struct((low == high).alias("pure"), F.when(low == high, low).otherwise(grp).alias("id"))
 
 
-def verify(pairs: DataFrame, bits: DataFrame, texts: Texts) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    pairs = stash(promising(pairs, bits), "promising")
-    ids = stash(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "verified")
-    picked = stash(texts.wholes(ids), "sets")
-    left = picked.select(F.col("cls").alias("a"), F.col("whole").alias("wa"))
-    right = picked.select(F.col("cls").alias("b"), F.col("whole").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
+def tinted(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of runs that hold more than one tint, each with its own."""
+    of = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).select("grp", tint(F.col("grp"), F.col("low"), F.col("high")).alias("tint"))
+    out = rows.join(of, "grp")
+    least = out.groupBy("key").agg(F.min("tint").alias("least"), F.max("tint").alias("most")).filter("least <> most").select("key")
+    return out.join(least, "key")
 
 
-def possible(shared: Column, more: Column, na: Column, nb: Column, pa: Column, pb: Column) -> Column:
-    """Whether sets of sizes na and nb can be similar enough that share so many prefix shingles, the last at pa and pb, and ``more`` before those at most."""
-    return 9 * (shared + more + F.least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb)
+def stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each group of a run with one group of it, if they differ in tint and can link."""
+    centers = rows.groupBy("key").agg(F.min_by(F.struct("grp", "n", "f", "rank", "tint"), F.xxhash64("grp", F.lit(turn))).alias("c")).select("key", "c.*")
+    met = rows.alias("x").join(centers.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.tint") != F.col("y.tint")) & possible("x", "y"))
+    return met.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
 
 
-def tint(grp: Column, low: Column, high: Column) -> Column:
-    """What a group's pairs are skipped by: the component of a pure group, or a mixed group itself, whatever the signs of the ids."""
-    return F.struct((low == high).alias("pure"), F.when(low == high, low).otherwise(grp).alias("id"))
+def crossings(rows: DataFrame) -> DataFrame:
+    """(ga, gb): all groups of a run that differ in tint and can link, met by pairs of tints."""
+    tints = rows.select("key", "tint").distinct()
+    of = tints.alias("s").join(tints.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.tint") < F.col("t.tint")))
+    of = of.select("s.key", F.col("s.tint").alias("ta"), F.col("t.tint").alias("tb")).alias("of")
+    met = of.join(rows.alias("x"), (F.col("of.key") == F.col("x.key")) & (F.col("of.ta") == F.col("x.tint")))
+    met = met.join(rows.alias("y"), (F.col("of.key") == F.col("y.key")) & (F.col("of.tb") == F.col("y.tint")) & possible("x", "y"))
+    return met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct()
 
 
-class Join:
-    """The state of one join: the texts and bitmaps of its classes, and the components found so far."""
-
-    def __init__(self, texts: Texts, bits: DataFrame, n_classes: int):
-        self.texts, self.bits, self.n_classes = texts, bits, n_classes
-        self.labels: DataFrame | None = None
-
-    def label(self, df: DataFrame, cls: str, name: str) -> DataFrame:
-        """``df`` with the component of a class so far."""
-        if self.labels is None:
-            return df.withColumn(name, F.col(cls))
-        at = self.labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-        return df.join(at, df[cls] == at["_node"], "left").withColumn(name, F.coalesce("_component", cls)).drop("_node", "_component")
-
-    def add(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) of classes and join what links."""
-        pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stash(verify(pairs, self.bits, self.texts), "found")
-        if found.isEmpty():
-            return
-        known = found if self.labels is None else found.unionByName(self.labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.labels = components(known)
-
-    def order(self, rows: DataFrame, classes: DataFrame, turn: int, final: bool) -> DataFrame | None:
-        """Join groups under one order.  ``rows``: (key, grp, n, pos) of shared prefix shingles; ``classes``: (cls, grp, n).
-
-        Gives the common shingles whose runs weren't expanded, with their groups, or None.
-        """
-        # Stars: of each run, and of the classes of each group.
-        seeds = [F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp", F.lit(100 * turn + i))) for i in range(4 if turn else 1)]
-        center = rows.groupBy("key").agg(F.array_distinct(F.array(*seeds)).alias("c")).withColumn("c", F.explode("c"))
-        star = rows.join(center, "key").filter((F.col("grp") != F.col("c.grp")) & fits(F.col("n"), F.col("c.n")))
-        star = star.groupBy("grp", F.col("c.grp").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("na"), F.first("c.n").alias("nb"), F.max("pos").alias("pa"), F.max("c.pos").alias("pb"))
-        # The center of another run may be another, so shared shingles of the prefix may be uncounted; half of what is wanted is asked for here, and misses are met below.
-        star = star.filter(F.col("shared") * 2 >= F.least(F.col("pa"), F.col("pb")) + 1).select(F.col("grp").alias("a"), F.col("other").alias("b"))
-        inner = classes.filter(F.col("cls") != F.col("grp")).select(F.col("cls").alias("a"), F.col("grp").alias("b"))
-        self.add(star.unionByName(inner))
-
-        # A group is pure if its classes are in one component.
-        labelled = stash(self.label(classes, "cls", "comp"), "labelled")
-        of = labelled.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        of = of.select("grp", (F.col("low") == F.col("high")).alias("pure"), tint(F.col("grp"), F.col("low"), F.col("high")).alias("tint"))
-        tinted = rows.join(of.select("grp", "tint"), "grp")
-        tints = tinted.groupBy("key", "tint").agg(F.count(F.lit(1)).alias("m"))
-        runs = stash(tints.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).filter(F.col("pairs") > 0), "open")
-        common, most = F.col("pairs") > RUN_PAIRS, runs.agg(F.sum(F.when(F.col("pairs") > RUN_PAIRS, F.col("pairs")))).first()[0] or 0
-        final = final or most <= PAIRS_PER_CLASS * self.n_classes
-        tinted = stash(tinted.join(runs.select("key", (F.lit(not final) & common).alias("late")), "key"), "tinted")
-        late = tinted.filter("late")
-        x, y = (tinted.filter(~F.col("late")).alias(k) for k in "xy")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.grp") < F.col("y.grp")) & (F.col("x.tint") != F.col("y.tint")) & fits(F.col("x.n"), F.col("y.n")))
-        met = met.groupBy(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).agg(
-            F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb")
-        )
-        # Shared shingles of runs that aren't expanded are uncounted: as many as both have, at most.
-        held = late.groupBy("grp").agg(F.count(F.lit(1)).alias("late"))
-        met = met.join(held.select(F.col("grp").alias("ga"), F.col("late").alias("la")), "ga", "left").join(held.select(F.col("grp").alias("gb"), F.col("late").alias("lb")), "gb", "left")
-        more = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-        pairs = met.filter(possible(F.col("shared"), more, F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))).select("ga", "gb")
-        side = lambda c, g, k: labelled.select(F.col("cls").alias(c), F.col("grp").alias(g), F.col("comp").alias(k))
-        across = pairs.join(side("a", "ga", "ka"), "ga").join(side("b", "gb", "kb"), "gb").filter(F.col("ka") != F.col("kb")).select("a", "b")
-        mixed = labelled.join(of.filter(~F.col("pure")), "grp", "left_semi")
-        u, v = mixed.alias("u"), mixed.alias("v")
-        within = u.join(v, (F.col("u.grp") == F.col("v.grp")) & (F.col("u.cls") < F.col("v.cls")) & (F.col("u.comp") != F.col("v.comp"))).select(F.col("u.cls").alias("a"), F.col("v.cls").alias("b"))
-        self.add(across.unionByName(within))
-        return None if final or late.isEmpty() else late.select("key", "grp")
-
-
-def reorder(classes: DataFrame, texts: Texts, common: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and classes of one more order, in which the keys of ``common`` come last: (key, grp, n, pos), (cls, grp, n)."""
-    ids = classes.select("cls")
-    if common.count() <= BROADCAST_KEYS:
-        made = texts.heads(ids, np.array([r.key for r in common.collect()], np.int64).view(U64))
-    else:
-        sets = stash(texts.wholes(ids), "late-sets")
-        tokens = sets.select("cls", F.explode("whole").alias("key"))
-        own = tokens.join(common, "key", "left_semi").groupBy("cls").agg(F.collect_list("key").alias("late"))  # at most the set itself
-        both = sets.join(own, "cls", "left").select("cls", "whole", F.coalesce("late", F.array().cast("array<long>")).alias("late"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                wholes, lates = ([np.array(x.values, np.int64).view(U64) for x in batch.column(i)] for i in (1, 2))
-                heads = [head(np.sort(s), late) for s, late in zip(wholes, lates, strict=True)]
-                cols = [pa.array([len(s) for s in wholes], pa.int64()), pa.array([digest(p, 14) for p in heads], pa.int64()), pa.array([p.view(np.int64) for p in heads], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["cls", "n", "g", "prefix"])
-
-        made = both.mapInArrow(run, "cls long, n long, g long, prefix array<long>")
-    made = stash(made, "orders")
-    groups = made.groupBy("n", "g").agg(F.min("cls").alias("grp"), F.first("prefix").alias("prefix"))
-    classes = made.select("cls", "n", "g").join(groups.select("n", "g", "grp"), ["n", "g"]).select("cls", "grp", "n")
-    return groups.select("grp", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "grp", "n", "pos"), classes
+def link(docs: DataFrame, k: int, stash: Stash) -> DataFrame:
+    """(doc_id, h, n, cls, comp) per row of ``docs`` (doc_id, h, text): classes and their components; null without shingles or id."""
+    sized = stash(set_sizes(docs, k), "sized")
+    known = sized.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = known.groupBy("n", "d1", "d2", "g").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    groups = classes.groupBy("n", "g").agg(F.min("cls").alias("grp"))
+    grouped = stash(classes.join(groups, ["n", "g"]).select("cls", "grp"), "grouped")
+    rows = stash(prefixes(known).join(groups, ["n", "g"]).select("key", "grp", "n", "f", "rank"), "prefixes")
+
+    # Links within groups: with the group's first class; the rest is met below.
+    inner = grouped.filter("cls <> grp").select(F.col("cls").alias("a"), F.col("grp").alias("b"))
+    labels, links = None, None
+
+    def labelled(df: DataFrame) -> DataFrame:
+        if labels is None:
+            return df.withColumn("comp", F.col("cls"))
+        at = labels.select(F.col("node").alias("cls"), "component")
+        return df.join(at, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+
+    for turn in range(STARS + 1):
+        members = stash(labelled(grouped), "labelled")
+        open_rows = stash(tinted(rows, members), "open")
+        if turn < STARS:
+            pairs = stars(open_rows, turn)
+            pairs = pairs if turn else pairs.unionByName(inner)
+        else:
+            met = stash(crossings(open_rows), "crossings")
+            x, y = (members.select(F.col("cls").alias(c), F.col("grp").alias(g), F.col("comp").alias(m)) for c, g, m in (("a", "ga", "ka"), ("b", "gb", "kb")))
+            across = met.join(x, "ga").join(y, "gb").filter("ka <> kb").select("a", "b")
+            mixed = members.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("grp")
+            mixed = members.join(mixed, "grp")
+            within = mixed.alias("u").join(mixed.alias("v"), (F.col("u.grp") == F.col("v.grp")) & (F.col("u.cls") < F.col("v.cls")) & (F.col("u.comp") != F.col("v.comp")))
+            pairs = across.unionByName(within.select(F.col("u.cls").alias("a"), F.col("v.cls").alias("b")))
+        found = verify(pairs, classes, docs, k, stash)
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            labels = components(links, stash)
+    at = labelled(classes).select("n", "d1", "d2", "cls", "comp")
+    slim = sized.select("doc_id", "h", "n", "d1", "d2")
+    of = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    none = F.lit(None).cast("long")
+    rest = slim.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "h", "n", none.alias("cls"), none.alias("comp"))
+    return slim.filter(of).join(at, ["n", "d1", "d2"]).select("doc_id", "h", "n", "cls", "comp").unionByName(rest)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (equal sets) and component_id."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sized = stash(set_sizes(docs, k), "sized")
-    known = sized.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stash(known.groupBy("n", "d1", "d2", "g").agg(F.min("doc_id").alias("cls")), "classes")
-    group_ids = classes.groupBy("n", "g").agg(F.min("cls").alias("grp"))
-    grouped = stash(classes.join(group_ids, ["n", "g"]).select("cls", "grp", "n"), "grouped")
-    heads = prefixes(docs, k).groupBy("n", "g").agg(F.first("prefix").alias("prefix")).join(group_ids, ["n", "g"])
-    rows = heads.select("grp", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "grp", "n", "pos")
-    rows = stash(shared_runs(rows), "runs")
-    # Bitmaps are made for the classes that share a prefix shingle or a group with another.
-    alone = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).select("grp")
-    partners = rows.select("grp").unionByName(alone).distinct()
-    ids = stash(grouped.join(partners, "grp", "left_semi").select("cls"), "ids")
-    unique = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1).isEmpty()
-    texts = Texts(docs, unique, k)
-    join, late = Join(texts, stash(texts.bitmaps(ids), "bitmaps"), grouped.count()), None
-    for turn in range(MAX_ORDERS + 1):
-        left = join.order(rows, grouped, turn, final=turn == MAX_ORDERS)
-        if left is None:
-            break
-        new = left.select("key").distinct()
-        if late is not None:
-            fresh = new.join(late, "key", "left_anti")
-            if fresh.isEmpty():
-                join.order(rows, grouped, turn, final=True)
-                break
-            new = late.unionByName(fresh)
-        late = stash(new, "late")
-        again = grouped.join(left.select("grp").distinct(), "grp", "left_semi")
-        rows, grouped = reorder(again, join.texts, late)
-        grouped = stash(grouped, "grouped")
-        rows = stash(shared_runs(rows), "runs")
-    labelled = join.label(classes.select("n", "d1", "d2", "cls"), "cls", "component")
-    at = labelled.select(F.col("n").alias("_n"), F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "cls", "component")
-    out = sized.join(at, (sized["n"] == at["_n"]) & (sized["d1"] == at["_d1"]) & (sized["d2"] == at["_d2"]) & (sized["n"] > 0) & sized["doc_id"].isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
+    """One row per row of ``docs``: doc_id, n_shingles, class_id (the smallest id with an equal set) and component_id."""
+    with scratch(docs.sparkSession) as (stash, keep):
+        found = stash(link(_texts(docs, doc_id, text), k, stash), "found")
+        known = found.filter(F.col("cls").isNotNull())
+        # Documents are joined to components by id; an id in several components joins these.
+        ids = known.groupBy("doc_id").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("doc_id")
+        bridges = known.join(ids, "doc_id").select(F.col("comp").alias("b"), F.col("doc_id"))
+        ends = bridges.groupBy("doc_id").agg(F.min("b").alias("a"))
+        bridges = stash(bridges.join(ends, "doc_id").filter("a <> b").select("a", "b").distinct(), "bridges")
+        joined = known.select(F.col("comp"), "doc_id")
+        if not bridges.isEmpty():
+            at = components(bridges, stash).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+            found = found.join(at, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole")
+            joined = found.filter(F.col("cls").isNotNull()).select("comp", "doc_id")
+        first = joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        same = known.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+        out = found.filter(F.col("cls").isNotNull()).join(first, "comp").join(same, "cls").select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+        alone = found.filter(F.col("cls").isNull()).select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+        return keep(out.unionByName(alone.withColumnRenamed("n", "n_shingles")), "near-duplicates")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component: one document of each group, with its own columns.
+    """The rows of ``docs`` less those that another row of their component stands for.
 
-    Rows with a null id stay.  Of rows that repeat an id, one stays.
+    Components are those of texts: of each, the row with the smallest id stays
+    (of rows that are repeated whole, one).  Rows with a null id or without words
+    stay, and so do the other texts of a repeated id.
     """
-    found = near_duplicates(docs, doc_id, text)
-    gone = stash(found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(few(gone), docs[doc_id] == gone["_gone"], "left_anti")
-    again = stash(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter((F.col("times") > 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_again")), "again")
+    with scratch(docs.sparkSession) as (stash, keep):
+        found = stash(link(_texts(docs, doc_id, text), SHINGLE, stash).filter(F.col("cls").isNotNull()), "found")
+        best = found.groupBy("comp").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+        gone = found.join(best, "comp").filter((F.col("doc_id") != F.col("best.doc_id")) | (F.col("h") != F.col("best.h")))
+        gone = keep(gone.select(F.col("doc_id").alias("__pm_id"), F.col("h").alias("__pm_h")).distinct(), "gone")
+        again = found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+        again = keep(again.select(F.col("doc_id").alias("__pm_id"), F.col("h").alias("__pm_h")), "again")
+    at = lambda other: (docs[doc_id].cast("long") == other["__pm_id"]) & (F.xxhash64(docs[text]) == other["__pm_h"])
+    left = docs.join(few(gone), at(gone), "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(again, left[doc_id] == again["_again"], "left_semi").dropDuplicates([doc_id])
-    return left.join(again, left[doc_id] == again["_again"], "left_anti").unionByName(once)
+    once = left.join(few(again), at(again), "left_semi").dropDuplicates([doc_id, text])
+    return left.join(few(again), at(again), "left_anti").unionByName(once)

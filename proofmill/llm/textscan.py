@@ -115,6 +115,31 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(windows(h, k))
 
 
+def word_hashes(column: pa.Array, fold: np.ndarray = AS_IS) -> Iterator[np.ndarray]:
+    """The hashes of each text's words.  A text beyond a slice is hashed in runs of its words, so that its memory is that of the hashes; a word isn't cut."""
+    at, data = buffers(column)
+    if at[-1] <= CHUNK_BYTES:
+        words = Words(column)
+        h = words.hashes(fold)
+        yield from (h[words.bounds[i] : words.bounds[i + 1]] for i in range(words.n_docs))
+        return
+    for first, last in zip(at[:-1], at[1:], strict=True):
+        runs = [np.zeros(0, U64)]
+        while first < last:
+            end = min(first + CHUNK_BYTES, last)
+            if end < last:
+                gaps = np.flatnonzero(~IS_WORD[data[first:end]])
+                if len(gaps):
+                    end = first + gaps[-1] + 1
+                else:
+                    more = (~IS_WORD[data[end:last]]).argmax()
+                    end = end + more + 1 if not IS_WORD[data[end + more]] else last
+            run = data[first:end]
+            runs.append(Words(pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(run)], np.int64)), pa.py_buffer(run))).hashes(fold))
+            first = end
+        yield np.concatenate(runs)
+
+
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]], most: int = CHUNK_BYTES) -> DataFrame:
     """``df`` with the columns that ``make`` computes from runs of its text column."""
     schema = T.StructType([*df.schema.fields, *fields])
