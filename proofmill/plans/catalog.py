@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus, edits
-from proofmill.plans import review
+from proofmill.plans import review, scoring  # noqa: F401  they register their queries
+from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 from proofmill.streaming import claims
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "source_volume"
+FLAGSHIP = "score_by_check"
 
 
 def source_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +124,3 @@ SQL["applied_edits"] = r"""
 SELECT doc_id AS file, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\.{2,}', '.', 'g') AS text,
   CAST(len(regexp_extract_all(coalesce(text, ''), ' {2,}|\.{2,}')) AS INT) AS n_applied FROM documents
 """
-QUERIES |= review.QUERIES
-SQL |= review.SQL
-FLAGSHIP = "confirmation_rates"

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus, ordered
+from proofmill.plans.registry import query
 from proofmill.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Register a query under its function's name beside its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, highest FROM (SELECT *, max(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM lineitem)
 WHERE l_partkey < highest
@@ -110,17 +95,6 @@ def metric_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.sum((F.col("l_quantity") >= 25).cast("long")).alias("confirmed"))
 
 
-@query("""
-SELECT d.source, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS good, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad, count(*) AS n
-FROM documents d JOIN labels l USING (doc_id) GROUP BY 1 HAVING count(*) >= 3
-""")
-def score_by_editor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts by source, for sources with three at least."""
-    judged = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    verdict = lambda v: F.sum(F.when(F.col("quality") == v, 1).otherwise(0)).alias("good" if v else "bad")
-    return judged.groupBy("source").agg(verdict(1), verdict(0), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
-
-
 @query(r"""
 SELECT md5(line) AS signature, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
   SELECT doc_id, lower(trim(regexp_replace(l, '[ \t\n\v\f\r]+', ' ', 'g'))) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL))
