@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus, edits
-from proofmill.plans import review, scoring  # noqa: F401  they register their queries
+from proofmill.plans import papers, review, scoring  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 from proofmill.streaming import claims

@@ -142,16 +142,6 @@ def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 
-@query("""
-SELECT lang, count(*) AS n_docs, count(l.doc_id) AS n_labelled, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1
-""")
-def corpus_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").withColumn("labelled", F.lit(1))
-    both = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
-    total = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
-    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count("labelled").alias("n_labelled"), total("quality").alias("good"), total("toxic").alias("toxic"))
-
-
 @query("""
 SELECT user_id, event_id AS claim, ts FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1
 """)
