@@ -1,48 +1,154 @@
-"""Span edits: invariants, overlap resolution by priority, and verified application."""
+"""Span edits: invariants, duplicates, overlaps by priority, ids, selections, and verified application.
+
+Spans are half-open and count code points.  Every table of edits has file, start,
+end, before, after, check_id and priority; further columns are kept.
+"""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 FIELDS = ["file", "start", "end", "before", "after", "check_id", "priority"]
+CONTEXT = 40
+
+
+def piece(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
+
+
+def well_formed(edits: DataFrame) -> DataFrame:
+    """``edits`` with ``fault``: why an edit may not be made, or null.
+
+    Columns tier, confidence, external and checked count where they are there.
+    """
+    start, end = F.col("start"), F.col("end")
+    fault = F.when((start < 0) | (end < start), "span").when(F.length("before") != end - start, "length").when(F.col("before") == F.col("after"), "no change")
+    if "tier" in edits.columns:
+        auto = F.col("tier") == "auto"
+        fault = fault.when(auto & F.col("external") & ~F.col("checked"), "unchecked evidence").when(auto & (F.col("confidence") == "uncertain"), "uncertain")
+    return edits.withColumn("fault", fault)
 
 
 def sound(edits: DataFrame, sources: DataFrame, file: str = "file") -> DataFrame:
     """Edits whose span holds ``before`` in its source and that change something."""
     both = edits.join(sources.select(file, "text"), file)
-    at = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    at = piece(F.col("text"), F.col("start"), F.col("end"))
     return both.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("before") != F.col("after")) & (at == F.col("before"))).drop("text")
 
 
+class Claims:
+    """Text that edits have claimed: disjoint spans in order, and points of insertion.
+
+    A span is free of other spans and holds no point.  A point may be at a span's
+    edge but not inside, and points don't exclude one another.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.points: list[int] = []
+
+    def claim(self, start: int, end: int) -> bool:
+        if start == end:
+            i = bisect.bisect_left(self.starts, start)
+            if i and start < self.ends[i - 1]:
+                return False
+            bisect.insort(self.points, start)
+            return True
+        i = bisect.bisect_left(self.ends, start + 1)
+        if i < len(self.starts) and self.starts[i] < end:
+            return False
+        p = bisect.bisect_left(self.points, start)
+        if p < len(self.points) and self.points[p] < end:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def resolve(edits: DataFrame) -> DataFrame:
-    """Pairwise non-overlapping edits of each file: smaller priority first, then position; a zero-width edit claims one character."""
+    """``edits`` with ``kept``: the first of equal ones (span and result), and of overlapping ones that with the smaller priority, then the first.
+
+    Duplicates are dropped before the shuffle to their file; a file's edits are one
+    group, as long as the file has edits.  Of equal edits the smallest check stays.
+    """
+    keys = ["file", "start", "end", "after"]
+    best = edits.groupBy(*keys).agg(F.min(F.struct("priority", *[c for c in edits.columns if c not in (*keys, "priority")])).alias("best"))
+    once = best.select("file", "start", "end", "after", "best.*").select(*edits.columns)
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[tuple[int, int]] = []
-        keep = []
-        for i, r in rows.sort_values(["priority", "start", "end", "after"], kind="stable").iterrows():
-            s, e = int(r["start"]), max(int(r["end"]), int(r["start"]) + 1)
-            if all(e <= a or b <= s for a, b in taken):
-                taken.append((s, e))
-                keep.append(i)
-        return rows.loc[keep].sort_values(["start", "end"])
+        rows = rows.sort_values(["priority", "start", "end", "after"], kind="stable")
+        claims = Claims()
+        return rows.assign(kept=[claims.claim(s, e) for s, e in zip(rows["start"].tolist(), rows["end"].tolist(), strict=True)])
+
+    schema = edits.schema.simpleString()[len("struct<") : -1]
+    return once.groupBy("file").applyInPandas(pick, f"{schema}, kept: boolean".replace(":", " "))
+
+
+def numbered(kept: DataFrame, sources: DataFrame) -> DataFrame:
+    """Kept edits with ids by position in their file, their line, and 40 characters on both sides."""
+    place = F.row_number().over(W.partitionBy("file").orderBy("start", "end", "after"))
+    both = kept.withColumn("id", F.concat(F.lit("E"), F.when(place < 1000, F.lpad(place.cast("string"), 3, "0")).otherwise(place.cast("string")))).join(sources.select("file", "text"), "file")
+    text, start, end = F.col("text"), F.col("start"), F.col("end")
+    head = piece(text, F.lit(0), start)
+    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+    low = F.greatest(start - CONTEXT, F.lit(0))
+    return both.withColumns({"line": line, "context_before": piece(text, low, start), "context_after": piece(text, end, end + CONTEXT)}).drop("text")
+
 
-    return edits.groupBy("file").applyInPandas(pick, edits.schema)
+def anchor(before: Column, at: Column, after: Column) -> Column:
+    """A fingerprint that finds an edit again when its file has moved."""
+    return F.substring(F.sha2(F.concat_ws("\0", before, at, after).cast("binary"), 256), 1, 16)
+
+
+def accepted(edits: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Automatic edits that weren't reverted, and suggested ones that were accepted; ``decisions``: file, id, decision."""
+    both = edits.join(decisions.select("file", "id", "decision"), ["file", "id"], "left")
+    auto = F.col("tier") == "auto"
+    return both.filter((auto & ~F.coalesce(F.col("decision") == "reverted", F.lit(False))) | (~auto & (F.col("decision") == "accepted")))
 
 
 def apply(edits: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file, text, n_applied): non-overlapping sound edits spliced in; files without edits stay."""
+    """(file, text, n_applied): non-overlapping sound edits spliced in; files without edits stay.
+
+    The pieces between edits and the edits' own texts are an array that is joined
+    once, so a file costs its length and not its length for every edit.
+    """
     spans = edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "after"))).alias("spans"))
     both = sources.select("file", "text").join(spans, "file", "left")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("spans", zero, lambda acc, s: F.struct(s["end"].cast("int").alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["after"]).alias("out")))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    parts = F.transform("spans", lambda s, i: F.concat(piece(F.col("text"), F.when(i > 0, F.get(F.col("spans"), i - 1)["end"]).otherwise(0), s["start"]), s["after"]))
+    tail = F.substring(F.col("text"), F.element_at("spans", -1)["end"] + 1, F.length("text"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
     return both.select("file", text.alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_applied"))
 
 
+def stale(edits: DataFrame, sources: DataFrame) -> DataFrame:
+    """Edits whose source no longer holds ``before`` at their span."""
+    both = edits.join(sources.select("file", "text"), "file", "left")
+    return both.filter(~F.coalesce(piece(F.col("text"), F.col("start"), F.col("end")) == F.col("before"), F.lit(False))).drop("text")
+
+
+def inside(edits: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file, span, edits, whole): ids of the edits that lie in each span of a file, and the first of those that rewrite it.
+
+    A range join within files: both sides are dealt by file.  ``spans``: file, span, from, to.
+    """
+    within = spans.alias("s").join(edits.alias("e"), (F.col("s.file") == F.col("e.file")) & (F.col("s.from") <= F.col("e.start")) & (F.col("e.end") <= F.col("s.to")), "left")
+    rewrites = F.col("e.check_id").isin("FMT-REF-01", "BIB-ANNEXB-01")
+    return within.groupBy("s.file", "s.span").agg(F.array_sort(F.collect_list("e.id")).alias("edits"), F.coalesce(F.min(F.when(rewrites, F.col("e.id"))), F.lit("")).alias("whole"))
+
+
+def override(fields: DataFrame, entries: DataFrame) -> DataFrame:
+    """All of ``entries`` and those of ``fields`` that lie in none of them."""
+    f, e = fields.alias("f"), entries.alias("e")
+    outside = f.join(e, (F.col("f.file") == F.col("e.file")) & (F.col("e.start") <= F.col("f.start")) & (F.col("f.end") <= F.col("e.end")), "left_anti")
+    return entries.unionByName(outside)
+
+
 def pattern_edits(sources: DataFrame, pattern: str, after: str, check_id: str, priority: int) -> DataFrame:
     """Proposals: every match of a pattern in the sources, in code points."""
     import re
@@ -56,3 +162,10 @@ def pattern_edits(sources: DataFrame, pattern: str, after: str, check_id: str, p
 
     kind = sources.schema["file"].dataType.simpleString()
     return sources.select("file", "text").mapInPandas(run, f"file {kind}, start int, end int, before string, after string, check_id string, priority int")
+
+
+def word_spans(sources: DataFrame) -> DataFrame:
+    """(file, i, word, start, end) of the pieces between single spaces."""
+    words = sources.select("file", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
+    ends = F.aggregate("w", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w) + 1)))
+    return words.select("file", F.posexplode(F.arrays_zip("w", ends.alias("at"))).alias("i", "z")).filter("z.w is not null").select("file", "i", F.col("z.w").alias("word"), F.col("z.at").alias("start"), (F.col("z.at") + F.length("z.w")).alias("end"))

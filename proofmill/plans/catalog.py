@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from proofmill.operators import corpus, edits
-from proofmill.plans import papers, review, scoring  # noqa: F401  they register their queries
+from proofmill.operators import corpus
+from proofmill.plans import edits as _edits, papers, review, scoring  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 from proofmill.streaming import claims
@@ -110,17 +110,3 @@ SQL["claim_holders"] = """
 SELECT user_id, event_type AS last_action, ts AS last_ts, CASE WHEN event_type = 'click' THEN event_id END AS holder
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """
-
-
-def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two checks propose edits in all documents; conflicts go by priority, and the kept edits are applied."""
-    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
-    proposed = edits.pattern_edits(sources, r" {2,}", " ", "spacing", 40).unionByName(edits.pattern_edits(sources, r"\.{2,}", ".", "stops", 20))
-    return edits.apply(edits.resolve(edits.sound(proposed, sources)), sources)
-
-
-QUERIES["applied_edits"] = applied_edits
-SQL["applied_edits"] = r"""
-SELECT doc_id AS file, regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\.{2,}', '.', 'g') AS text,
-  CAST(len(regexp_extract_all(coalesce(text, ''), ' {2,}|\.{2,}')) AS INT) AS n_applied FROM documents
-"""
