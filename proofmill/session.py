@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
@@ -63,15 +65,19 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[tuple[Callable[[DataFrame, str], DataFrame], Callable[[DataFrame, str], DataFrame]]]:
     """Two forms of ``stash``: tables of the first are deleted at the end of the block, those of the second stay.
 
-    What a block returns must be built on tables that stay.
+    What a block returns must be built on tables that stay.  Within the block the
+    shuffle files of a query go when it ends, as its result is written then.
     """
     folder = f"{shared_dir(spark)}/proofmill/scratch-{uuid.uuid4().hex}"
 
     def passing(df: DataFrame, label: str) -> DataFrame:
         return _written(df, f"{folder}/{label}-{uuid.uuid4().hex}")
 
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")
     try:
         yield passing, stash
     finally:
+        spark.conf.set(FILE_CLEANUP, before)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
