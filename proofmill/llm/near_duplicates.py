@@ -3,26 +3,27 @@
 Two texts link when their sets of 5-word shingles have a Jaccard similarity of
 at least 0.8.  Shingles are 64-bit hashes.
 
-* Texts with equal sets are one class, named by the digests of the set.  The
-  head of a set is its smallest hashes: all of a small set, three tenths of a
-  large one.  Classes with equal heads and sizes are one group, and only groups
-  are indexed, once each.
-* Linked sets share so many of their heads (``least_shared``) that the rarest
-  shared one is among the first ``prefix_size`` of each head in a global order,
-  by the number of groups that hold the shingle and then by the shingle.  These
-  are the prefixes.  Counts are taken over all groups; a shingle that no other
-  group holds links nothing and isn't indexed.
+* Texts with equal sets are one class, named by the digests of the set.
+* The head of a set is its smallest hashes: all of a small set, a quarter of a
+  large one.  Linked sets share at least ``least_shared`` of their heads, so a
+  class stays only if so many shingles of its head are in other heads.
+* Whole sets of the classes that stay are put in one global order, by the number
+  of these sets that hold a shingle, then by the shingle.  Linked sets share one
+  of the first ``prefix_size``, the prefix.  A shingle that no other set holds
+  comes first and isn't indexed, so a set with many such has no prefix at all.
+  Classes with identical prefixes and sizes are one group, indexed once.
 * Groups that share a prefix shingle meet in a run.  Stars come first: each group
-  of a run with one group of it.  What they link is joined into components, and
-  only groups of a run in different components are paired.  Pairs are filtered by
-  size and by their places in the prefixes, expanded to classes, and verified by
-  exact intersection of whole sets.
+  of a run with the one of it that has the fewest shingles of its own, which is
+  nearest to what the run's copies were made from.  What they link is joined into
+  components, and only groups of a run in different components are paired.  Pairs
+  are filtered by size and by their places in the prefixes, expanded to classes,
+  and verified by exact intersection of whole sets.
 
 Nothing is gathered in a task: groups, runs and classes stay rows, aggregated
-before the shuffle or joined, and skewed joins are split by Spark.  Whole sets
-are made again only for classes in pairs.  Pairs of one run grow with the square
-only of its *components*; a shingle that many unlinked groups have is late in
-the order, and remains in the prefix of those alone that consist of such ones.
+before the shuffle or joined, and skewed joins are split by Spark.  Pairs of one
+run grow with the square only of its *components* of similar size and place; a
+shingle that many unlinked sets have is late in the order, and remains in the
+prefix of those alone that consist of such ones.
 Rows to be picked are broadcast while a count finds them at most
 ``BROADCAST_ROWS``, and joined by shuffle beyond.
 
@@ -50,6 +51,7 @@ from proofmill.session import scratch
 
 SHINGLE = 5
 WHOLE_HEAD = 32
+HEAD_SHARE = 4
 BROADCAST_ROWS = 2_000_000
 STARS = 2
 Stash = Callable[[DataFrame, str], DataFrame]
@@ -57,7 +59,7 @@ Stash = Callable[[DataFrame, str], DataFrame]
 
 def head_size(n: int) -> int:
     """How many smallest hashes of a set of ``n`` are its head."""
-    return min(n, max(WHOLE_HEAD, (3 * n + 9) // 10))
+    return min(n, max(WHOLE_HEAD, -(-n // HEAD_SHARE)))
 
 
 def shared_heads(n: int, m: int) -> int:
@@ -65,6 +67,7 @@ def shared_heads(n: int, m: int) -> int:
     return (4 * (n + m) + 8) // 9 - max(n - head_size(n), m - head_size(m))
 
 
+@functools.lru_cache(1 << 16)
 def least_shared(n: int) -> int:
     """The least of ``shared_heads`` over all sizes that can link with ``n``: it is near one of the ends or near equal sizes, by rounding at most."""
     low, high = (4 * n + 4) // 5, 5 * n // 4
@@ -72,10 +75,9 @@ def least_shared(n: int) -> int:
     return max(1, min(shared_heads(n, m) for m in near))
 
 
-@functools.lru_cache(1 << 16)
-def prefix_size(n: int) -> int:
-    """How many first shingles of a head of a set of ``n``, in the global order, are its prefix."""
-    return head_size(n) - least_shared(n) + 1
+def prefix_size(n: Column) -> Column:
+    """How many first shingles of a set of ``n``, in a global order, linked sets must share one of."""
+    return n - F.floor((4 * n + 4) / 5) + 1
 
 
 def digest(h: np.ndarray, salt: int) -> int:
@@ -97,56 +99,77 @@ def longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def set_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, h, n, d1, d2, g, prefix, head): size and digests of each set, digest and parts of its head."""
+    """(doc_id, h, n, d1, d2, least, head): size and digests of each set, its head, and how many of the head linked sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(sets_of(part.column("text"), k))
-                heads = [s[: head_size(len(s))] for s in sets]
-                cols = [[len(s) for s in sets], [digest(s, 10) for s in sets], [digest(s, 12) for s in sets], [digest(s, 14) for s in heads], [len(s) for s in heads], [prefix_size(len(s)) if len(s) else 0 for s in sets]]
-                cols = [part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in cols), longs(heads)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "d1", "d2", "g", "f", "k", "head"])
+                cols = [[len(s) for s in sets], [digest(s, 10) for s in sets], [digest(s, 12) for s in sets], [least_shared(len(s)) if len(s) else 0 for s in sets]]
+                cols = [part.column("doc_id"), part.column("h"), *(pa.array(c, pa.int64()) for c in cols), longs([s[: head_size(len(s))] for s in sets])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n", "d1", "d2", "least", "head"])
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, g long, f long, k long, head array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, least long, head array<long>")
 
 
-def prefixes(sized: DataFrame) -> DataFrame:
-    """(n, g, f, key, rank): the prefix shingles of each group that another group's head holds too, with their ranks in the head."""
-    heads = sized.groupBy("n", "g", "f", "k").agg(F.first("head").alias("head"))
-    tokens = heads.select("n", "g", "f", "k", F.explode("head").alias("key"))
+def held_by_others(tokens: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` whose key another row has too, with ``held``, how many have it.  Counts come first, so that no key is gathered."""
     counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    of = Window.partitionBy("n", "g", "f", "k")
-    ranked = tokens.join(counts, "key").withColumn("r", F.row_number().over(of.orderBy("held", "key"))).withColumn("s", F.count(F.lit(1)).over(of))
-    # Shingles that no other group holds come first in the order.
-    return ranked.select("n", "g", "f", "k", "key", (F.col("f") - F.col("s") + F.col("r")).alias("rank")).filter("rank <= k").drop("k")
-
-
-def few(rows: DataFrame) -> DataFrame:
-    """``rows``, for broadcast if a count finds them few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return tokens.join(counts, "key")
 
 
-def possible(x: str, y: str) -> Column:
-    """Whether groups with n, f and rank in ``x`` and ``y`` can link, if the shingle at these ranks is their first shared one."""
-    nx, ny, fx, fy, rx, ry = (F.col(f"{side}.{c}") for c in ("n", "f", "rank") for side in (x, y))
-    shared = 1 + F.least(fx - rx, fy - ry)
-    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * (shared + F.greatest(nx - fx, ny - fy)) >= 4 * (nx + ny))
+def with_partners(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes so many of whose head's shingles are in other heads that they may link with one."""
+    heads = known.groupBy("n", "d1", "d2").agg(F.first("head").alias("head"))
+    tokens = heads.select("d1", F.explode("head").alias("key"))
+    # Two classes with one first digest would count together, and stay.
+    shared = held_by_others(tokens).groupBy("d1").agg(F.count(F.lit(1)).alias("shared"))
+    return classes.join(shared, "d1").filter("shared >= least").drop("shared")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, stash: Stash) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough, by whole sets made from one text of each class."""
-    pairs = stash(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    rows = stash(classes.join(ids, "cls", "left_semi").select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "picked")
+def whole_sets(classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(cls, n, whole) of each class, made from one text of it."""
+    rows = classes.select("cls", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"))
     texts = docs.join(few(rows), ["doc_id", "h"]).groupBy("cls").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("cls"), longs(list(sets_of(part.column("text"), k)))], names=["cls", "whole"])
+                sets = list(sets_of(part.column("text"), k))
+                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([len(s) for s in sets], pa.int64()), longs(sets)], names=["cls", "n", "whole"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, n long, whole array<long>")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(cls, n, own, key, rank): the prefix shingles of each set that another set holds too, with their ranks; ``own`` counts those that none does, which come first."""
+    of = Window.partitionBy("cls", "n")
+    ranked = held_by_others(sets.select("cls", "n", F.explode("whole").alias("key")))
+    ranked = ranked.withColumn("r", F.row_number().over(of.orderBy("held", "key"))).withColumn("own", F.col("n") - F.count(F.lit(1)).over(of))
+    return ranked.select("cls", "n", "own", "key", (F.col("own") + F.col("r")).alias("rank")).filter(F.col("rank") <= prefix_size(F.col("n")))
 
-    sets = stash(texts.select("cls", "text").mapInArrow(run, "cls long, whole array<long>"), "sets")
+
+def same_prefixes(kept: DataFrame, stash: Stash) -> DataFrame:
+    """(cls, grp): classes with identical prefixes and sizes go by the least of them."""
+    prefix = F.xxhash64("n", "own", F.array_sort(F.collect_list(F.struct("rank", "key"))))
+    shapes = stash(kept.groupBy("cls", "n", "own").agg(prefix.alias("p")), "shapes")
+    least = shapes.groupBy("n", "own", "p").agg(F.min("cls").alias("grp"))
+    return shapes.join(least, ["n", "own", "p"]).select("cls", "grp")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, for broadcast if a count finds them few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def possible(nx: Column, ny: Column, rest_x: Column, rest_y: Column) -> Column:
+    """Whether sets of these sizes can link that have so many shingles after their first shared one."""
+    return (5 * F.least(nx, ny) >= 4 * F.greatest(nx, ny)) & (9 * (1 + F.least(rest_x, rest_y)) >= 4 * (nx + ny))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, stash: Stash) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough."""
+    pairs = stash(pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("whole").alias("wa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("whole").alias("wb")), "b")
     return stash(both.filter(9 * F.size(F.array_intersect("wa", "wb")) >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b"), "links")
 
@@ -165,19 +188,25 @@ def tinted(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def stars(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each group of a run with one group of it, if they differ in tint and can link."""
-    centers = rows.groupBy("key").agg(F.min_by(F.struct("grp", "n", "f", "rank", "tint"), F.xxhash64("grp", F.lit(turn))).alias("c")).select("key", "c.*")
-    met = rows.alias("x").join(centers.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.tint") != F.col("y.tint")) & possible("x", "y"))
+    """(a, b): each group of a run with one group of it, if they differ in tint and can link.  In the first turn that is the one with the smallest share of shingles of its own."""
+    by = F.struct(F.col("own") / F.col("n") if turn == 0 else F.lit(0.0), F.xxhash64("grp", F.lit(turn)))
+    centers = rows.groupBy("key").agg(F.min_by(F.struct("grp", "n", "rest", "tint"), by).alias("c")).select("key", "c.*")
+    fits = possible(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"))
+    met = rows.alias("x").join(centers.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.tint") != F.col("y.tint")) & fits)
     return met.select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
 
 
 def crossings(rows: DataFrame) -> DataFrame:
-    """(ga, gb): all groups of a run that differ in tint and can link, met by pairs of tints."""
-    tints = rows.select("key", "tint").distinct()
-    of = tints.alias("s").join(tints.alias("t"), (F.col("s.key") == F.col("t.key")) & (F.col("s.tint") < F.col("t.tint")))
+    """(ga, gb): all groups of a run that differ in tint and can link.  Tints meet first, by what is best for a link among their groups, then the groups of those that can."""
+    best = rows.groupBy("key", "tint").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    s, t = best.alias("s"), best.alias("t")
+    near = (5 * F.col("s.high") >= 4 * F.col("t.low")) & (5 * F.col("t.high") >= 4 * F.col("s.low"))
+    enough = 9 * (1 + F.least("s.rest", "t.rest")) >= 4 * (F.col("s.low") + F.col("t.low"))
+    of = s.join(t, (F.col("s.key") == F.col("t.key")) & (F.col("s.tint") < F.col("t.tint")) & near & enough)
     of = of.select("s.key", F.col("s.tint").alias("ta"), F.col("t.tint").alias("tb")).alias("of")
     met = of.join(rows.alias("x"), (F.col("of.key") == F.col("x.key")) & (F.col("of.ta") == F.col("x.tint")))
-    met = met.join(rows.alias("y"), (F.col("of.key") == F.col("y.key")) & (F.col("of.tb") == F.col("y.tint")) & possible("x", "y"))
+    fits = possible(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"))
+    met = met.join(rows.alias("y"), (F.col("of.key") == F.col("y.key")) & (F.col("of.tb") == F.col("y.tint")) & fits)
     return met.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct()
 
 
@@ -185,11 +214,14 @@ def link(docs: DataFrame, k: int, stash: Stash) -> DataFrame:
     """(doc_id, h, n, cls, comp) per row of ``docs`` (doc_id, h, text): classes and their components; null without shingles or id."""
     sized = stash(set_sizes(docs, k), "sized")
     known = sized.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = known.groupBy("n", "d1", "d2", "g").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
+    classes = known.groupBy("n", "d1", "d2", "least").agg(F.min(F.struct("doc_id", "h")).alias("rep"))
     classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    groups = classes.groupBy("n", "g").agg(F.min("cls").alias("grp"))
-    grouped = stash(classes.join(groups, ["n", "g"]).select("cls", "grp"), "grouped")
-    rows = stash(prefixes(known).join(groups, ["n", "g"]).select("key", "grp", "n", "f", "rank"), "prefixes")
+    sets = stash(whole_sets(stash(with_partners(known, classes), "partners"), docs, k), "sets")
+    kept = stash(prefixes(sets), "kept")
+    grouped = stash(same_prefixes(kept, stash), "grouped")
+    reps = grouped.filter("cls = grp").select("cls")
+    rows = kept.join(reps, "cls").select("key", F.col("cls").alias("grp"), "n", "own", (F.col("n") - F.col("rank")).alias("rest"))
+    rows = stash(rows, "prefixes")
 
     # Links within groups: with the group's first class; the rest is met below.
     inner = grouped.filter("cls <> grp").select(F.col("cls").alias("a"), F.col("grp").alias("b"))
@@ -204,6 +236,8 @@ def link(docs: DataFrame, k: int, stash: Stash) -> DataFrame:
     for turn in range(STARS + 1):
         members = stash(labelled(grouped), "labelled")
         open_rows = stash(tinted(rows, members), "open")
+        if 0 < turn < STARS and open_rows.isEmpty():
+            continue
         if turn < STARS:
             pairs = stars(open_rows, turn)
             pairs = pairs if turn else pairs.unionByName(inner)
@@ -215,7 +249,7 @@ def link(docs: DataFrame, k: int, stash: Stash) -> DataFrame:
             mixed = members.join(mixed, "grp")
             within = mixed.alias("u").join(mixed.alias("v"), (F.col("u.grp") == F.col("v.grp")) & (F.col("u.cls") < F.col("v.cls")) & (F.col("u.comp") != F.col("v.comp")))
             pairs = across.unionByName(within.select(F.col("u.cls").alias("a"), F.col("v.cls").alias("b")))
-        found = verify(pairs, classes, docs, k, stash)
+        found = verify(pairs, sets, stash)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = components(links, stash)
