@@ -31,27 +31,9 @@ def first_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return ranked.withColumn("side", role).filter(F.col("side").isNotNull()).drop("_up", "_down")
 
 
-def hash_split(rows: DataFrame, key: str, cuts: tuple[tuple[str, int], ...] = (("train", 80), ("eval", 90), ("test", 100))) -> DataFrame:
-    """A split by key, never by row: the first 8 hex digits of the key's MD5 modulo 100."""
-    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % 100
-    out = None
-    for name, below in cuts:
-        out = F.when(place < below, name) if out is None else out.when(place < below, name)
-    return rows.withColumn("split", out)
-
-
 def rates(judged: DataFrame, by: list[str], confirmed: Column, contradicted: Column) -> DataFrame:
     """Proposals, confirmations and contradictions by key, each rate beside its denominator; no proposals give a rate of 0."""
     out = judged.groupBy(*by).agg(
         F.count(F.lit(1)).alias("proposals"), F.sum(confirmed.cast("long")).alias("confirmed"), F.sum(contradicted.cast("long")).alias("contradicted")
     )
     return out.withColumn("rate", F.coalesce(F.try_divide(F.col("confirmed"), F.col("proposals")), F.lit(0.0)))
-
-
-def usable_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Why a key has no usable before/after pair: nothing, one side only, or equal sides."""
-    side = rows.groupBy(key).agg(
-        F.max(F.when(F.col("side") == "original", F.col("text"))).alias("before"), F.max(F.when(F.col("side") == "current", F.col("text"))).alias("after")
-    )
-    outcome = F.when(F.col("before").isNull(), "nothing submitted").when(F.col("after").isNull(), "single revision").when(F.col("before") == F.col("after"), "unchanged").otherwise("usable")
-    return side.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus
-from proofmill.plans import edits as _edits, papers, review, scoring  # noqa: F401  they register their queries
+from proofmill.plans import dataset, edits, papers, review, scoring  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 from proofmill.streaming import claims
@@ -28,18 +28,6 @@ FROM documents GROUP BY source
 """
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-QUERIES["paragraphs"] = paragraphs
-SQL["paragraphs"] = r"""
-WITH p AS (SELECT doc_id, u.i, trim(regexp_replace(u.p, '[ \t\n\v\f\r]+', ' ', 'g')) AS paragraph
-  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'i': i, 'p': x})) AS u FROM documents))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS unit, paragraph FROM p WHERE paragraph <> ''
-"""
-
-
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -63,30 +51,6 @@ WHERE up = 1 OR down = 1
 """
 
 
-def pair_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.usable_pairs(corpus.first_last(table(spark, sf_dir, "conversations"), "conv_id", "turn"), "conv_id")
-
-
-QUERIES["pair_outcomes"] = pair_outcomes
-SQL["pair_outcomes"] = """
-WITH r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS up, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS down FROM conversations),
-s AS (SELECT conv_id, max(CASE WHEN up = 1 THEN text END) AS before, max(CASE WHEN up > 1 AND down = 1 THEN text END) AS after FROM r GROUP BY conv_id)
-SELECT CASE WHEN before IS NULL THEN 'nothing submitted' WHEN after IS NULL THEN 'single revision' WHEN before = after THEN 'unchanged' ELSE 'usable' END AS outcome, count(*) AS n
-FROM s GROUP BY 1
-"""
-
-
-def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.hash_split(table(spark, sf_dir, "documents"), "source").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES["split_sizes"] = split_sizes
-SQL["split_sizes"] = """
-WITH d AS (SELECT source, CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 100 AS place FROM documents)
-SELECT CASE WHEN place < 80 THEN 'train' WHEN place < 90 THEN 'eval' ELSE 'test' END AS split, source, count(*) AS n FROM d GROUP BY 1, 2
-"""
-
-
 def confirmation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     return corpus.rates(items, ["l_returnflag", "l_linestatus"], F.col("l_quantity") >= 25, F.col("l_discount") > 0.05)
