@@ -1,23 +1,10 @@
-"""Order-sensitive operators: gaps in numbering, order violations, sessions, merged spans and newest rows by key."""
+"""Order-sensitive operators: order of first uses, numbering by position, sessions, merged spans and newest rows by key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def falls_below_maximum(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows whose value is below the largest value before them in their key, with that value as ``highest``; rows of equal order go by value."""
-    before = W.partitionBy(key).orderBy(order, value).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("highest", F.max(value).over(before)).filter(F.col(value) < F.col("highest"))
-
-
-def gaps(rows: DataFrame, key: str, number: str, first: int = 1) -> DataFrame:
-    """(key, after, found) where the distinct numbers of a key don't follow one another or don't begin at ``first``."""
-    w = W.partitionBy(key).orderBy(number)
-    steps = rows.select(key, number).distinct().withColumn("after", F.coalesce(F.lag(number).over(w), F.lit(first - 1)).cast("long"))
-    return steps.filter(F.col(number) != F.col("after") + 1).select(key, "after", F.col(number).cast("long").alias("found"))
-
-
 def appearance(rows: DataFrame, key: str, item: str, ts: str, tie: str) -> DataFrame:
     """Items of each key in the order of their first row: (key, item, place).  First rows are aggregated before the window."""
     first = rows.groupBy(key, item).agg(F.min(F.struct(ts, tie)).alias("_first"))
@@ -47,12 +34,36 @@ def merged_spans(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return grouped.groupBy(key, "_span").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_span")
 
 
-def unanimous(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, answer, n) of keys whose non-null values are all equal."""
-    out = rows.groupBy(key).agg(F.min(value).alias("answer"), F.max(value).alias("_other"), F.count(value).alias("n"))
-    return out.filter(F.col("answer") == F.col("_other")).drop("_other")
+def out_of_order(rows: DataFrame, key: str, number: str, *order: str) -> DataFrame:
+    """(key, number, highest): first uses of a number after a higher one's.  Later uses don't count; first uses are a partial minimum before the window."""
+    first = rows.groupBy(key, number).agg(F.min(F.struct(*order)).alias("_first"))
+    before = W.partitionBy(key).orderBy("_first").rowsBetween(W.unboundedPreceding, -1)
+    return first.withColumn("highest", F.max(number).over(before)).filter(F.col(number) < F.col("highest")).select(key, number, "highest")
+
+
+def misnumbered(rows: DataFrame, key: str, number: str, *order: str, most: int = 5) -> DataFrame:
+    """(key, number, expected): entries whose number isn't their place, the first ``most`` of each key."""
+    of = W.partitionBy(key)
+    placed = rows.withColumn("expected", F.row_number().over(of.orderBy(*order))).filter(F.col(number) != F.col("expected"))
+    return placed.withColumn("_n", F.row_number().over(of.orderBy("expected"))).filter(F.col("_n") <= most).select(key, number, "expected")
+
+
+def unanimous(rows: DataFrame, key: str, value: str, least: int = 3) -> DataFrame:
+    """(key, answer, votes): the answer on which all of at least ``least`` votes agree, else null; a null vote is none."""
+    out = rows.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("votes"))
+    return out.select(key, F.when((F.col("votes") >= least) & (F.col("low") == F.col("high")), F.col("low")).alias("answer"), "votes")
+
+
+def reordered(listed: DataFrame, cited: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item, pos, place, moved): where each listed item belongs, cited ones in order of citation, then the rest as listed.  ``listed``: key, item, pos; ``cited``: key, item, rank."""
+    both = listed.join(cited, [key, item], "left")
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("rank").asc_nulls_last(), "pos"))
+    now = F.row_number().over(W.partitionBy(key).orderBy("pos"))
+    return both.select(key, item, "pos", place.alias("place"), (place != now).alias("moved"))
 
 
-def next_weekday(day: Column, weekday: str) -> Column:
-    """The given weekday on or after a date."""
-    return F.next_day(F.date_sub(day, 1), weekday)
+def next_id(rows: DataFrame, key: str, name: str, prefix: str) -> DataFrame:
+    """(key, next_id): one more than the greatest number after ``prefix``, with three digits at least."""
+    number = F.regexp_extract(name, f"^{prefix}([0-9]+)$", 1)
+    greatest = F.coalesce(F.max(F.expr("1") * F.when(number != "", number.cast("int"))), F.lit(0)) + 1
+    return rows.groupBy(key).agg(F.concat(F.lit(prefix), F.when(greatest < 1000, F.lpad(greatest.cast("string"), 3, "0")).otherwise(greatest.cast("string"))).alias("next_id"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus
-from proofmill.plans import dataset, edits, papers, review, scoring  # noqa: F401  they register their queries
+from proofmill.plans import dataset, desk, edits, papers, review, scoring  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
-from proofmill.streaming import claims
 
 FLAGSHIP = "score_by_check"
 
@@ -62,15 +61,3 @@ SELECT l_returnflag, l_linestatus, count(*) AS proposals, CAST(sum(CAST(l_quanti
   CAST(sum(CAST(l_discount > 0.05 AS INT)) AS BIGINT) AS contradicted, CAST(sum(CAST(l_quantity >= 25 AS INT)) AS DOUBLE) / count(*) AS rate
 FROM lineitem GROUP BY 1, 2
 """
-
-
-def claim_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return claims.holders(events, "user_id", "event_id", "event_type", "ts", "click", "event_id")
-
-
-QUERIES["claim_holders"] = claim_holders
-SQL["claim_holders"] = """
-SELECT user_id, event_type AS last_action, ts AS last_ts, CASE WHEN event_type = 'click' THEN event_id END AS holder
-FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
-"""
