@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def tidy(text: Column) -> Column:
@@ -10,25 +10,21 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def paragraphs(docs: DataFrame, doc_id: str, text: str, sep: str = r"\n") -> DataFrame:
-    """(doc, unit, paragraph): tidied, empty ones dropped, numbered from 1 among those kept."""
-    kept = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), sep), tidy), lambda p: p != "")
-    return docs.select(F.col(doc_id), F.posexplode(kept).alias("unit", "paragraph")).withColumn("unit", F.col("unit") + 1)
-
-
 def duplicate_groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Groups of at least two texts that are equal once tidied and lower-cased: first id, rows, distinct spellings."""
     key = F.md5(F.lower(tidy(F.col(text))).cast("binary"))
-    return docs.groupBy(key.alias("signature")).agg(F.min(doc_id).alias("first_id"), F.count(F.lit(1)).alias("n"), F.countDistinct(text).alias("n_spellings")).filter(F.col("n") > 1)
+    spelt = docs.groupBy(key.alias("signature"), F.sha2(F.col(text).cast("binary"), 256).alias("spelling")).agg(F.min(doc_id).alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return spelt.groupBy("signature").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.count("spelling").alias("n_spellings")).filter(F.col("n") > 1)
 
 
 def first_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Per key the first row as ``original`` and the last as ``current``; a key with one row has only an original."""
-    w = W.partitionBy(key)
-    up, down = w.orderBy(*[F.col(o) for o in order]), w.orderBy(*[F.col(o).desc() for o in order])
-    ranked = rows.withColumn("_up", F.row_number().over(up)).withColumn("_down", F.row_number().over(down))
-    role = F.when(F.col("_up") == 1, "original").when(F.col("_down") == 1, "current")
-    return ranked.withColumn("side", role).filter(F.col("side").isNotNull()).drop("_up", "_down")
+    rest = [c for c in rows.columns if c != key and c not in order]
+    row = F.struct(*order, *rest)
+    ends = rows.groupBy(key).agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count(F.lit(1)).alias("n"))
+    side = lambda name, c: F.struct(F.lit(name).alias("side"), F.col(c).alias("row"))
+    both = F.when(F.col("n") > 1, F.array(side("original", "first"), side("current", "last"))).otherwise(F.array(side("original", "first")))
+    return ends.select(key, F.explode(both).alias("s")).select(key, "s.side", "s.row.*").select(*rows.columns, "side")
 
 
 def rates(judged: DataFrame, by: list[str], confirmed: Column, contradicted: Column) -> DataFrame:

@@ -15,7 +15,7 @@ PIECES = [
     ["\\author{A. Alpha, CERN}\n", "\\author{Anna Alpha, CERN}\n"],
     ["\\begin{abstract}We cite \\cite{a}.\\end{abstract}\n", "\\begin{abstract}Short.\\end{abstract}\n"],
     ["\\section{1. Beam}\n", "\\section{Beam}\n"],
-    ["At 5 MeV and 3GHz, see \\cite{a} \\cite{b} and [1], [2].\n", "At 7~MeV or 8 mev, as Figure 3 and Tab. 2 show \\cite{ c, a}.\n", "In 2 ghz, from equation (4), Smith et al have \\cite{d}.\n"],
+    ["At 5 MeV and 3GHz, see \\cite{a} \\cite{b} and [1], [2].\n", "At 7~MeV or 8 mev, as Figure 3 and Tab. 2 show \\cite{ c, a}.\n", "In 2 ghz, from equation (4), Smith et al have \\cite{d}, \\cite{a,b}.\n"],
     ["\\includegraphics[width=1]{fig/%k.png}\\caption{Fig. 1. A beam}\n", "\\includegraphics{two}\\caption{Figure 1: A beam.}\n", ""],
     ["\\begin{thebibliography}{9}\n\\bibitem{a} A. Alpha, \\url{doi:10.1/%k}\n\\bibitem[x]{b} B. Beta, in Proc. X, unpublished\n\\end{thebibliography}\n", "\\begin{thebibliography}{9}\n\\bibitem{b} \\url{https://doi.org/10.1/%k}\n\\bibitem{a} DOI: 10.1/%k, submitted to X\n\\end{thebibliography}\n", "\\bibliographystyle{plain}\\bibliography{refs, more}\n"],
 ]
