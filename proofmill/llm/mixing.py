@@ -10,7 +10,10 @@ reaches the middle of that interval.  Documents are range-sorted by position.
 
 Running sums come in two levels: windows over (source, cell of the hash), and
 the sums of whole cells before; so a source with a third of all rows is spread
-over 4096 windows.  Only sources are ever handled in one task.
+over 4096 windows, and one without ids over as many as it has sizes, times 16.
+Rows that tie follow by a hash of all their columns, so reruns agree.  An id that
+many rows repeat with other texts isn't split.  Only the list of sources, with a
+number each, is handled in one task: it must be bounded, as for names of corpora.
 
 Defined results: a null text or one without words has size 0 and takes nothing.
 A null source is a source of its own, the last one.  Repeated rows follow each
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from proofmill.llm.textscan import quoted
 from proofmill.session import stash
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -32,6 +36,7 @@ HEX_DIGITS = 3
 #: Weight over training time, as (time, relative weight) knots with straight lines between, by place in WEIGHTS: fading, rising, steady.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.75)), ((0.0, 1.0), (1.0, 1.0)))
 STRUCT = "__pm_mix"
+NO_ID = "d41d8cd98f00b204e9800998ecf8427e"  # the MD5 of nothing
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +74,11 @@ def targets(sums: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs
 def mix(docs: DataFrame, size: str, doc_id: str = "doc_id", source: str = "source", weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, curves=CURVES) -> DataFrame:
     """``docs`` with a struct: size, source_size, target, epochs taken, and the training position of each."""
     h = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.select("*", F.struct(F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("no_src"), h.alias("h"), F.substring(h, 1, HEX_DIGITS).alias("cell"), F.col(size).alias("size")).alias(STRUCT))
+    tie = F.xxhash64(*[c for c, f in zip(quoted(docs), docs.schema, strict=True) if "map<" not in f.dataType.simpleString()])
+    # Null ids share one hash: their cells are by size and tie too, in the order of the rows.
+    no_id = F.concat(F.lit("1"), F.lpad(F.col(size).cast("string"), 19, "0"), F.hex(F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(2**63))), 60)))
+    fine = F.when(F.col(doc_id).isNull(), no_id).otherwise(F.when(h < NO_ID, "0").otherwise("2"))
+    keyed = docs.select("*", F.struct(F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(source).isNull().alias("no_src"), h.alias("h"), F.concat(F.substring(h, 1, HEX_DIGITS), fine).alias("cell"), F.col(size).alias("size"), tie.alias("tie")).alias(STRUCT))
     key = [F.col(f"{STRUCT}.{k}").alias(k) for k in ("src", "no_src", "cell")]
     cells = stash(keyed.groupBy(*key).agg(F.sum(f"{STRUCT}.size").alias("cell_size")), "mix-cells")
     goals = targets(cells.groupBy("src", "no_src").agg(F.sum("cell_size").alias("source_size")), weights, budget, max_epochs)
@@ -77,7 +86,7 @@ def mix(docs: DataFrame, size: str, doc_id: str = "doc_id", source: str = "sourc
     cells = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0))).join(goals, ["src", "no_src"])
     cells = cells.select(F.struct("src", "no_src", "cell").alias("__pm_at"), F.struct("offset", "source_size", "target", "place").alias("__pm_goal"))
     at = F.struct(*key)
-    before = W.partitionBy("__pm_at").orderBy(f"{STRUCT}.h", doc_id, f"{STRUCT}.size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("__pm_at").orderBy(f"{STRUCT}.h", doc_id, f"{STRUCT}.size", f"{STRUCT}.tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = keyed.withColumn("__pm_at", at).withColumn("__pm_end", F.sum(f"{STRUCT}.size").over(before)).join(cells, "__pm_at")
     n, goal, total = F.col(f"{STRUCT}.size"), F.col("__pm_goal.target"), F.col("__pm_goal.source_size")
     start = F.col("__pm_goal.offset") + F.col("__pm_end") - n
@@ -95,7 +104,7 @@ def mix(docs: DataFrame, size: str, doc_id: str = "doc_id", source: str = "sourc
 
     places = F.array(*[F.when((n > 0) & (m <= goal), position(m)) for m in middle])
     mixed = F.struct(n.alias("size"), total.alias("source_size"), goal.alias("target"), epochs.alias("epochs"), F.array_compact(places).alias("positions"))
-    return run.select(*docs.columns, mixed.alias(STRUCT))
+    return run.select(*quoted(docs), mixed.alias(STRUCT))
 
 
 def training_order(mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from proofmill.llm.textscan import add_columns, buffers, slices
+from proofmill.llm.textscan import add_columns, buffers, over_batches, slices
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 Span = tuple[int, int, int]
@@ -289,7 +289,7 @@ def redact(df: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
                     part = part.set_column(at, text, pa.array(new, texts.type))
                 yield part
 
-    return df.mapInArrow(run, schema)
+    return over_batches(df, run, schema)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,8 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -140,6 +139,21 @@ def word_hashes(column: pa.Array, fold: np.ndarray = AS_IS) -> Iterator[np.ndarr
         yield np.concatenate(runs)
 
 
+def over_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` whatever the names of the columns: dots in them too."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"__pm_{i}" for i in range(len(names))]).mapInArrow(named, schema)
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[pa.Array], list[pa.Array]], most: int = CHUNK_BYTES) -> DataFrame:
     """``df`` with the columns that ``make`` computes from runs of its text column."""
     schema = T.StructType([*df.schema.fields, *fields])
@@ -150,4 +164,4 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Cal
                 added = make(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return over_batches(df, run, schema)
