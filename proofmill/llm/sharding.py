@@ -1,6 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has ``CELLS`` cells; a row's cell comes from the MD5 of its id.  Each
+The ring has ``CELLS`` cells; a row's cell comes from the MD5 of its id and text,
+so that ids that are null or repeated spread as others do.  Each
 shard has virtual nodes on the ring.  A row goes to the shard of the next node
 clockwise; where that shard is full, it continues to the next node of another
 shard, and so on.  Shards hold floor or ceil of rows / shards, so the law is
@@ -15,7 +16,9 @@ and at most ``CELLS`` x shards intervals come back as a broadcast table.
 
 Defined results: a null text has size 1 and the CRC of the empty text; a null id
 is hashed as the empty string.  Repeated rows are counted together before the
-shuffle and get slots of their own.  An empty table gives an empty result.
+shuffle and get slots of their own, laid out in blocks of ``BLOCK`` that are
+dealt anew.  Ties are repeated rows and need no order.  Whole texts are read, of
+any length.  An empty table gives an empty result.
 Further columns are not read.
 """
 
@@ -31,6 +34,7 @@ from proofmill.session import stash
 HEX_DIGITS = 3
 CELLS = 16**HEX_DIGITS
 VIRTUAL_NODES = 32
+BLOCK = 1 << 14
 
 
 def ring(n_shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -74,12 +78,20 @@ def shard(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id", text: str
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
     keyed = keyed.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    keyed = keyed.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    keyed = keyed.withColumn("h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32"), F.col("size")).cast("binary")))
     keyed = stash(keyed.withColumn("cell", F.conv(F.substring("h", 1, HEX_DIGITS), 16, 10).cast("int")), "ring")
     counts = {r.cell: r.n for r in keyed.groupBy("cell").agg(F.sum("copies").alias("n")).collect()}
     rows = [dict(zip(("cell", "lo", "hi", "shard", "slot_lo"), x, strict=True)) for x in allot(counts, n_shards, virtual_nodes)]
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<cell int, lo long, hi long, shard int, slot_lo long>>")))
     before = W.partitionBy("cell").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = keyed.withColumn("end", F.sum("copies").over(before)).withColumn("rank", F.explode(F.sequence(F.col("end") - F.col("copies"), F.col("end") - 1)))
-    at = ranked.join(F.broadcast(plan), "cell").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return at.select("doc_id", "size", "text_crc32", "shard", (F.col("slot_lo") + F.col("rank") - F.col("lo")).alias("slot"))
+    ranked = keyed.withColumn("end", F.sum("copies").over(before))
+    # The part of a row's copies that falls in an interval of the plan, as ranks from ``first`` to ``last``.
+    first, last = F.greatest(F.col("end") - F.col("copies"), F.col("lo")), F.least(F.col("end"), F.col("hi")) - 1
+    parts = ranked.join(F.broadcast(plan), "cell").withColumn("first", first).withColumn("last", last).filter("first <= last")
+    slots = parts.select("doc_id", "size", "text_crc32", "shard", (F.col("slot_lo") + F.col("first") - F.col("lo")).alias("slot"), (F.col("last") - F.col("first") + 1).alias("n"))
+    one = slots.filter("n = 1").select("doc_id", "size", "text_crc32", "shard", "slot")
+    many = slots.filter("n > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))))
+    many = many.repartition("doc_id", "text_crc32", "block")
+    spread = F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK) - 1))
+    many = many.select("doc_id", "size", "text_crc32", "shard", "slot", "block", spread.alias("i")).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("block") * BLOCK + F.col("i")).alias("slot"))
+    return one.unionByName(many)
