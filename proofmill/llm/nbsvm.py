@@ -114,18 +114,20 @@ def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float =
     """
     part = np.ones(len(rows)) if weight is None else weight / weight.mean()
     w, bias, alpha = np.zeros(SPACE), 0.0, np.zeros(len(rows))
-    x = [r[f] / (np.sqrt(r[f] @ r[f]) or 1.0) for f in rows]
-    diagonal = np.array([v @ v + 1.0 for v in x])
+    norms = np.array([np.sqrt(r[f] @ r[f]) for f in rows])
+    scale = np.where(norms > 0, 1 / np.maximum(norms, 1e-300), 1.0)
+    diagonal = np.where(norms > 0, 2.0, 1.0)
     rng = np.random.Generator(np.random.PCG64(11))
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            grad = y[i] * (w[rows[i]] @ x[i] + bias) - 1
+            x = r[rows[i]] * scale[i]  # made anew: only places of the sample are held
+            grad = y[i] * (w[rows[i]] @ x + bias) - 1
             new = min(max(alpha[i] - grad / diagonal[i], 0.0), cost * part[i])
             if step := (new - alpha[i]) * y[i]:
-                w[rows[i]] += step * x[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
-    margin = np.array([w[f] @ v for f, v in zip(rows, x, strict=True)]) + bias
+    margin = np.array([w[f] @ r[f] for f in rows]) * scale + bias
     slope, t = 1.0, (y > 0).astype(float)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(slope * margin, -30, 30)))
@@ -145,7 +147,7 @@ def fit(rows: DataFrame) -> dict[str, np.ndarray | float] | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, weights = [], [], []
         for batch in batches:
-            xs += [np.array(x, np.int64) for x in batch.column("places").to_numpy(zero_copy_only=False)]
+            xs += [np.array(x, np.int32) for x in batch.column("places").to_numpy(zero_copy_only=False)]
             ys += batch.column("label").to_pylist()
             weights += batch.column("weight").to_pylist()
         order = sorted(range(len(xs)), key=lambda i: (ys[i], len(xs[i]), xs[i].tobytes()))
