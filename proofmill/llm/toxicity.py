@@ -51,6 +51,7 @@ WINDOW_WORDS = 6
 #: The part of a term's weight that is left with each edit.
 EDIT_SHARE = 0.8
 CACHE = 400_000
+STATES = 200_000
 WORD = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 
 #: Letters behind look-alike signs, reporting and address words, quotation marks: fixed values.
@@ -92,13 +93,17 @@ class Lexicon:
             else:
                 self.whole[node] = (weight, edits)
                 self.names[node] = term
+        self.cache: dict[str, tuple[float, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin the product anew: states are made as words ask for them, and go when they are too many."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.accept: list[tuple[float, int] | None] = []
         self.begin: list[float | None] = []
         self.start = self._state({(0, 0)})
-        self.cache: dict[str, tuple[float, int] | None] = {}
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         todo = list(pairs)
@@ -174,6 +179,8 @@ class Lexicon:
 
     def hits(self, words: set[str]) -> dict[str, tuple[float, int]]:
         out, cache = {}, self.cache
+        if len(self.states) >= STATES:
+            self._forget()
         for w in words:
             try:
                 found = cache[w]
