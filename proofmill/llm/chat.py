@@ -9,7 +9,8 @@ that a loss counts.  All offsets are code points.
 
 A dialogue stays a set of rows, joined to its participants by conversation, so
 a conversation with a third of all rows is never gathered into one task; its
-offsets are running sums within blocks of ``BLOCK`` turns plus the blocks before.
+offsets are running sums within blocks of ``BLOCK`` turns plus the blocks before;
+turns without a number have blocks by their speaker and first characters.
 
 Defined results: a null text is an empty turn.  A turn with a null or empty role
 is a user's without a name, and no participant.  A null conv_id is a
@@ -38,14 +39,17 @@ def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     name = F.when((F.col("as_role") == "user"), F.col("speaker"))
     head = F.concat(F.lit(OPEN), F.col("as_role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
     both = both.withColumn("as_role", as_role).withColumn("name", name).withColumn("head", F.length(head)).withColumn("segment", F.concat(head, F.col("content"), F.lit(CLOSE)))
-    both = both.withColumn("n", F.length("segment").cast("long")).withColumn("late", F.col("turn").isNull()).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = W.partitionBy("conv_id", "perspective", "late", "block").orderBy("turn", "speaker", "content").rowsBetween(W.unboundedPreceding, W.currentRow)
-    blocks = both.groupBy("conv_id", "perspective", "late", "block").agg(F.sum("n").alias("block_n"))
-    earlier = W.partitionBy("conv_id", "perspective").orderBy("late", "block").rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("n", F.length("segment").cast("long")).withColumn("late", F.col("turn").isNull())
+    # Turns without a number are in blocks by speaker and the first characters, which is their order.
+    both = both.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("spoken", F.when(F.col("late"), F.struct(F.col("speaker"), F.substring("content", 1, 4).alias("start"))))
+    keys = ("conv_id", "perspective", "late", "block", "spoken")
+    inside = W.partitionBy("conv_id", "perspective", "late", "block", "spoken").orderBy("turn", "speaker", "content").rowsBetween(W.unboundedPreceding, W.currentRow)
+    blocks = both.groupBy("conv_id", "perspective", "late", "block", "spoken").agg(F.sum("n").alias("block_n"))
+    earlier = W.partitionBy("conv_id", "perspective").orderBy("late", "block", "spoken").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("offset", F.coalesce(F.sum("block_n").over(earlier), F.lit(0)))
-    blocks = blocks.select(*[F.col(k).alias(f"b_{k}") for k in ("conv_id", "perspective", "late", "block")], "offset")
+    blocks = blocks.select(*[F.col(k).alias(f"b_{k}") for k in keys], "offset")
     same = F.lit(True)
-    for k in ("conv_id", "perspective", "late", "block"):
+    for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
     run = both.withColumn("end", F.sum("n").over(inside)).join(blocks, same)
     mask = lambda at: F.when(F.col("as_role") == "assistant", at)
