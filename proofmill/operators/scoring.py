@@ -9,14 +9,19 @@ from proofmill.functions import texts as X
 LEAST_ANCHOR = 2
 
 
-def _agreement(form, label: str) -> list[tuple[str, Column]]:
+def _agreement(form: str, label: str) -> list[tuple[str, Column]]:
     """(how, condition) of one normal form, the stronger first."""
-    pb, pa, hb, ha = form(F.col("p.before")), form(F.col("p.after")), form(F.col("h.before")), form(F.col("h.after"))
+    pb, pa, hb, ha = (F.col(f"{side}.{c}_{form}") for side in "ph" for c in ("before", "after"))
     within = (pb != "") & (pa != "") & F.contains(hb, pb) & F.contains(ha, pa)
     covers = (hb != "") & (ha != "") & F.contains(pb, hb) & F.contains(pa, ha)
     return [(f"{label}exact", (pb == hb) & (pa == ha)), (f"{label}inside-hunk", within), (f"{label}covers-hunk", covers)]
 
 
+def _formed(df: DataFrame, *more: str | Column) -> DataFrame:
+    """Both texts in both normal forms, made once a row and not once a pair."""
+    return df.select("paper", *more, *[form(F.col(c)).alias(f"{c}_{name}") for name, form in (("norm", X.norm), ("loose", X.loose)) for c in ("before", "after")])
+
+
 def judge(proposals: DataFrame, hunks: DataFrame) -> DataFrame:
     """Each row of ``proposals`` (paper, pid, before, after, further columns) with ``how``, ``hunk`` and ``editors_did``.
 
@@ -27,20 +32,21 @@ def judge(proposals: DataFrame, hunks: DataFrame) -> DataFrame:
     partial minimum, so that no paper's pairs are gathered.  Null texts are empty.
     """
     levels = []
-    for form, label in ((X.norm, ""), (X.loose, "near ")):
-        (exact, is_exact), inside, covers = _agreement(form, label)
-        levels += [[(exact, is_exact)], [inside, covers]]
-    pb, hb = X.norm(F.col("p.before")), X.norm(F.col("h.before"))
-    against = ~X.is_large(F.col("h.before"), F.col("h.after")) & (hb != "") & ((hb == pb) | (F.contains(hb, pb) & (F.length(hb) <= 2 * F.length(pb) + 8)))
+    for form, label in (("norm", ""), ("loose", "near ")):
+        exact, inside, covers = _agreement(form, label)
+        levels += [[exact], [inside, covers]]
+    pb, hb = F.col("p.before_norm"), F.col("h.before_norm")
+    against = ~F.col("h.large") & (hb != "") & ((hb == pb) | (F.contains(hb, pb) & (F.length(hb) <= 2 * F.length(pb) + 8)))
     levels.append([("contradicted", against)])
     best = None
     for rank, level in enumerate(levels):
         for how, holds in level:
             found = F.struct(F.lit(rank).alias("rank"), F.col("h.idx").alias("hunk"), F.lit(how).alias("how"))
             best = F.when(holds, found) if best is None else best.when(holds, found)
-    anchored = (F.length(X.norm(F.col("p.before"))) >= LEAST_ANCHOR) | (F.length(X.norm(F.col("p.after"))) >= LEAST_ANCHOR)
-    met = proposals.alias("p").join(hunks.alias("h"), (F.col("p.paper") == F.col("h.paper")) & anchored)
-    met = met.select(F.col("p.paper").alias("paper"), F.col("p.pid").alias("pid"), best.alias("best"), F.substring(X.norm(F.col("h.after")), 1, 120).alias("put")).filter("best is not null")
+    p = _formed(proposals, "pid").filter((F.length("before_norm") >= LEAST_ANCHOR) | (F.length("after_norm") >= LEAST_ANCHOR))
+    h = _formed(hunks, "idx", X.is_large(F.col("before"), F.col("after")).alias("large"))
+    met = p.alias("p").join(h.alias("h"), F.col("p.paper") == F.col("h.paper"))
+    met = met.select(F.col("p.paper").alias("paper"), F.col("p.pid").alias("pid"), best.alias("best"), F.substring("h.after_norm", 1, 120).alias("put")).filter("best is not null")
     won = met.groupBy("paper", "pid").agg(F.min(F.struct("best", "put")).alias("won"))
     how, contradicted = F.coalesce("won.best.how", F.lit("")), F.col("won.best.how") == "contradicted"
     return proposals.join(won, ["paper", "pid"], "left").withColumns({"how": how, "hunk": F.col("won.best.hunk"), "editors_did": F.when(contradicted, F.col("won.put")).otherwise("")}).drop("won")
