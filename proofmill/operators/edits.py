@@ -70,7 +70,7 @@ class Claims:
         return True
 
 
-def resolve(edits: DataFrame) -> DataFrame:
+def claimed(edits: DataFrame) -> DataFrame:
     """``edits`` with ``kept``: the first of equal ones (span and result), and of overlapping ones that with the smaller priority, then the first.
 
     Duplicates are dropped before the shuffle to their file; a file's edits are one
@@ -89,6 +89,11 @@ def resolve(edits: DataFrame) -> DataFrame:
     return once.groupBy("file").applyInPandas(pick, f"{schema}, kept: boolean".replace(":", " "))
 
 
+def resolve(edits: DataFrame) -> DataFrame:
+    """The kept ones of ``edits``."""
+    return claimed(edits).filter("kept").drop("kept")
+
+
 def numbered(kept: DataFrame, sources: DataFrame) -> DataFrame:
     """Kept edits with ids by position in their file, their line, and 40 characters on both sides."""
     place = F.row_number().over(W.partitionBy("file").orderBy("start", "end", "after"))

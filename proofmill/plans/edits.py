@@ -39,7 +39,7 @@ kept AS (SELECT * FROM ing UNION ALL SELECT * FROM comma UNION ALL SELECT * FROM
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sources(spark, sf_dir)
-    return edits.resolve(edits.sound(proposals(docs), docs))
+    return edits.claimed(edits.sound(proposals(docs), docs))
 
 
 @query(f"WITH {WORDS} SELECT file, s AS start, e AS \"end\", before, after, check_id FROM kept")

@@ -19,13 +19,13 @@ def one(spark, column):
 
 def test_edits_at_boundaries_all_stay(spark):
     rows = [("f", 2, 4, "cd", "X", "a", 10), ("f", 2, 2, "", "!", "b", 20), ("f", 6, 6, "", "?", "c", 30), ("f", 6, 6, "", ";", "d", 30)]
-    found = edits.resolve(spark.createDataFrame(rows, EDIT))
+    found = edits.claimed(spark.createDataFrame(rows, EDIT))
     assert {r.check_id: r.kept for r in found.collect()} == dict.fromkeys("abcd", True)
 
 
 def test_edits_inside_and_repeated(spark):
     rows = [("f", 0, 5, "abcde", "X", "low", 80), ("f", 2, 2, "", "!", "point", 60), ("f", 6, 8, "gh", "Y", "one", 40), ("f", 6, 8, "gh", "Y", "two", 50), ("f", 7, 9, "hi", "Z", "over", 41), ("f", 9, 9, "", "+", "edge", 90)]
-    found = {r.check_id: r.kept for r in edits.resolve(spark.createDataFrame(rows, EDIT)).collect()}
+    found = {r.check_id: r.kept for r in edits.claimed(spark.createDataFrame(rows, EDIT)).collect()}
     assert found == {"low": False, "point": True, "one": True, "over": False, "edge": True}
 
 
@@ -36,7 +36,7 @@ def test_resolve_equals_a_walk_over_all_claims(spark):
         for i in range(30):
             start = rng.randrange(60)
             rows.append((f"f{f}", start, start + rng.choice([0, 0, 1, 3, 8]), "", str(i), "c", rng.choice([10, 40, 80])))
-    got = {(r.file, r.after): r.kept for r in edits.resolve(spark.createDataFrame(rows, EDIT)).collect()}
+    got = {(r.file, r.after): r.kept for r in edits.claimed(spark.createDataFrame(rows, EDIT)).collect()}
     for f in {r[0] for r in rows}:
         kept = []
         for r in sorted((r for r in rows if r[0] == f), key=lambda r: (r[6], r[1], r[2], r[4])):
