@@ -16,6 +16,7 @@ class Check(NamedTuple):
     put: str
 
 
+# Units, and the forms that the checks find and write.
 UNITS = "MeV|GeV|keV|TeV|MHz|GHz|kHz|mm|cm|µm|pC|nC|mA|kV|MV|ms|ns|fs"
 CHECKS = [
     Check("DOI-FMT-02", "auto", r"\\url\{\s*doi:\s*(10\.[^}]*)\}", r"\\doi{$1}"),

@@ -16,12 +16,14 @@ class Rule(NamedTuple):
     put: str  # groups as $1
 
 
+# Short forms of months.
 MONTHS = {"Jan.": "January|Jan", "Feb.": "February|Feb", "Mar.": "March|Mar", "Apr.": "April|Apr", "Jun.": "June|Jun", "Jul.": "July|Jul", "Aug.": "August|Aug", "Sep.": "September|Sept|Sep", "Oct.": "October|Oct", "Nov.": "November|Nov", "Dec.": "December|Dec"}
 # Postal codes of states as they occur before USA.
 STATES = {"AZ": "Arizona", "CA": "California", "CO": "Colorado", "FL": "Florida", "IL": "Illinois", "MA": "Massachusetts", "MD": "Maryland", "MI": "Michigan", "NM": "New Mexico", "NY": "New York", "OR": "Oregon", "PA": "Pennsylvania", "TN": "Tennessee", "TX": "Texas", "VA": "Virginia", "WA": "Washington", "WI": "Wisconsin"}
+# Cyrillic letters and the Latin ones they look like.
 LOOKALIKE = ("аеорсхуАВЕНКМОРСТХУ", "aeopcxyABEHKMOPCTXY")
 
-# A rule finds its pattern and writes ``put``; what that leaves as it is was right.  The order is the order of fixing.
+# The forms that the rules find and write.  A rule finds its pattern and writes ``put``; what that leaves as it is was right.  The order is the order of fixing.
 RULES = [
     Rule("REF-DOI-URL", "error", r"(?i)(?:\bdoi:\s*)?(?:https?://)?\b(?:dx\.)?doi\.org/(10\.[0-9]{4,9}/)", "doi:$1"),
     Rule("REF-DOI-FORM", "error", r"\b[Dd][Oo][Ii](?:\s*:\s*/{0,2}\s*|\s+)(10\.[0-9])", "doi:$1"),
@@ -108,7 +110,7 @@ def fixed(c: Column) -> Column:
     return end_stop(without_repeats(out))
 
 
-# Kinds by the first mark that is found.
+# Kinds by the first mark that is found.
 KINDS = [
     ("private_comm", r"(?i)\bprivate communication\b"),
     ("conference_current", r"(?i)\bthis conference\b"),
@@ -136,7 +138,7 @@ def kind(c: Column) -> Column:
     return out.otherwise("")
 
 
-# Fields a layout needs, and its pieces in order: commas between, and what comes after the full stop (link: the DOI, else the address).
+# Fields a layout needs, and its pieces in order: commas between, and what comes after the full stop (link: the DOI, else the address).
 LAYOUTS = {
     "conference": ("authors title conference city country month year pages", "authors quoted in_proc place date paper_unless_doi pages", "doi"),
     "conference_unpublished": ("authors title conference city country month year", "authors quoted presented place date paper =unpublished", ""),

@@ -129,6 +129,7 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("paper", L.class_version(c).alias("version"), F.array_join(L.class_options(c), " ").alias("options"), F.array_join(L.resources(c), " ").alias("resources"), (F.size(L.bibitems(c)) > 0).alias("has_list"))
 
 
+# Marks of the types of entries.
 TYPES = [("proceedings_unpublished", "presented at|this conference|unpublished"), ("proceedings", r"in proc\.|proc\.\s+\w"), ("journal", r"phys\. rev|j\. phys|nucl\. instrum|ieee trans"), ("thesis", r"ph\.?d\.?\s+thesis|master.s?\s+thesis"), ("report", r"rep\.|technical report"), ("online", r"\\url\{http|https?://"), ("arxiv", "arxiv")]
 
 

@@ -178,3 +178,22 @@ def test_windows_and_bursts_of_a_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     got = {(r.k, r.n) for r in spark.table("bursts").collect()}
     assert got <= {(1, 2), (1, 1), (2, 1), (9, 1)} and {(1, 2), (1, 1), (2, 1)} <= got
+
+
+def test_title_similarity_is_the_better_of_two(spark):
+    from difflib import SequenceMatcher
+
+    from proofmill.operators import registry
+
+    pairs = [("Beam dynamics in rings", "Beam dynamics of the ring"), ("Étude of <i>beams</i>", "etude of beams"), ("", "x"), ("a b c", "c b a"), (None, "x")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", registry.similarity(F.col("a"), F.col("b")).alias("s")).collect()
+
+    def plain(a, b):
+        import re
+        import unicodedata
+
+        x, y = (re.findall("[a-z0-9]+", "".join(c for c in unicodedata.normalize("NFKD", re.sub("<[^>]*>?", " ", t or "")) if not unicodedata.combining(c)).lower()) for t in (a, b))
+        return max(SequenceMatcher(None, " ".join(x), " ".join(y)).ratio(), len(set(x) & set(y)) / len(set(x) | set(y))) if x and y else 0.0
+
+    for r in rows:
+        assert abs(r.s - plain(r.a, r.b)) < 1e-9
