@@ -40,9 +40,9 @@ def finding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%.0f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f kB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824.0::DOUBLE) ELSE printf('%.1f TB', n / 1099511627776.0::DOUBLE) END AS size
-FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) * CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 3001 ELSE 90000001 END AS n FROM orders)""")
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 3001 ELSE 90000001 END AS n FROM orders)""")
 def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.round("o_totalprice").cast("long") * F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 3001).otherwise(90000001)
+    n = F.floor("o_totalprice").cast("long") * F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 3001).otherwise(90000001)
     return table(spark, sf_dir, "orders").select("o_orderkey", S.human_size(n).alias("size"))
 
 
