@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from proofmill.llm import ann, bpe, chat, conversation_repair, decontamination, mixing, nbsvm, near_duplicates, pii, quality_rules, sharding, toxicity
+from proofmill.llm import ann, bpe, chat, conversation_repair, decontamination, divergence, mixing, nbsvm, near_duplicates, pii, quality_rules, sharding, toxicity
 from proofmill.session import stash, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,10 @@ def op10_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_survivor_coalescence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
     return conversation_repair.repair(rows)
@@ -73,8 +77,8 @@ def op13_benchmark_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES |= {f.__name__: f for f in (op1_naive_bayes_svm, op2_bounded_ring_shards, op3_curriculum_mix, op4_levenshtein_toxicity, op5_perspective_rotation, op6_grouped_prefix_join, op7_host_quality_rules, op8_weak_supervision_pii, op9_adaptive_dimension_scan, op10_forced_boundary_bpe, op12_survivor_coalescence, op13_benchmark_automaton)}
-SQL |= {"op3_curriculum_mix": mixing.SQL, "op5_perspective_rotation": chat.SQL, "op7_host_quality_rules": quality_rules.SQL, "op13_benchmark_automaton": decontamination.SQL}
+QUERIES |= {f.__name__: f for f in (op1_naive_bayes_svm, op2_bounded_ring_shards, op3_curriculum_mix, op4_levenshtein_toxicity, op5_perspective_rotation, op6_grouped_prefix_join, op7_host_quality_rules, op8_weak_supervision_pii, op9_adaptive_dimension_scan, op10_forced_boundary_bpe, op11_source_divergence, op12_survivor_coalescence, op13_benchmark_automaton)}
+SQL |= {"op3_curriculum_mix": mixing.SQL, "op5_perspective_rotation": chat.SQL, "op7_host_quality_rules": quality_rules.SQL, "op11_source_divergence": divergence.SQL, "op13_benchmark_automaton": decontamination.SQL}
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
