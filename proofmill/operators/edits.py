@@ -2,6 +2,12 @@
 
 Spans are half-open and count code points.  Every table of edits has file, start,
 end, before, after, check_id and priority; further columns are kept.
+
+A text is cut once into blocks of ``BLOCK`` characters with what an edit needs
+around them.  Edits meet the block in which they start, by an equi-join on (file,
+block): work is in proportion to texts and edits, and a file with a third of all
+edits is as many keys as it has blocks.  What runs along a file (reach of earlier
+edits, places, lines) runs within blocks, on top of a carry from one row per block.
 """
 
 from __future__ import annotations
@@ -10,10 +16,15 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 FIELDS = ["file", "start", "end", "before", "after", "check_id", "priority"]
 CONTEXT = 40
+#: Characters of a block, and of edits that blocks can hold; a longer edit meets its whole text.
+BLOCK, LONG = 2048, 512
+#: Rows of a batch that a scan of texts passes on.
+ROWS = 1 << 14
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:
@@ -33,11 +44,70 @@ def well_formed(edits: DataFrame) -> DataFrame:
     return edits.withColumn("fault", fault)
 
 
-def sound(edits: DataFrame, sources: DataFrame, file: str = "file") -> DataFrame:
+def scanned(sources: DataFrame, scan, fields: str) -> DataFrame:
+    """(file, ``fields``) of the rows that ``scan`` yields for each text; null texts have none."""
+    kind = sources.schema["file"].dataType
+    schema = T.StructType([T.StructField("file", kind), *T.StructType.fromDDL(fields).fields])
+    arrow = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in schema.fields[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        own = None
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [own, *arrow], strict=True)], names=schema.names)
+            rows.clear()
+            return out
+
+        for b in batches:
+            own = b.column(0).type
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                for row in scan(text):
+                    rows.append((file, *row))
+                    if len(rows) >= ROWS:
+                        yield batch()
+        if rows:
+            yield batch()
+
+    return sources.select("file", "text").mapInArrow(run, schema)
+
+
+def _blocks_of(text: str) -> Iterator[tuple]:
+    line = 1
+    for at in range(0, len(text) + 1, BLOCK):
+        base = max(0, at - CONTEXT)
+        yield at // BLOCK, base, at, line, text[base : at + BLOCK + LONG + CONTEXT]
+        line += text.count("\n", at, at + BLOCK)
+
+
+def blocks(sources: DataFrame) -> DataFrame:
+    """(file, block, base, at, line, piece): each text in blocks from ``at``, with the characters around it from ``base``, and the line that ``at`` is in."""
+    return scanned(sources, _blocks_of, "block long, base long, at long, line long, piece string")
+
+
+def block_of(start: Column) -> Column:
+    return F.floor(start / BLOCK)
+
+
+def beside(edits: DataFrame, sources: DataFrame, made: dict[str, Column], how: str = "inner") -> DataFrame:
+    """``edits`` with the columns ``made`` of piece, base, at and line: those of their block, or of their whole text if they are long."""
+    short = F.col("end") - F.col("start") <= LONG
+    near = edits.filter(short).withColumn("block", block_of(F.col("start"))).join(blocks(sources), ["file", "block"], how).select(*edits.columns, *[c.alias(k) for k, c in made.items()])
+    whole = sources.select("file", F.col("text").alias("piece"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("line"))
+    far = edits.filter(~short).join(whole, "file", how).select(*edits.columns, *[c.alias(k) for k, c in made.items()])
+    return near.unionByName(far)
+
+
+def _at_span() -> Column:
+    return piece(F.col("piece"), F.col("start") - F.col("base"), F.col("end") - F.col("base"))
+
+
+def sound(edits: DataFrame, sources: DataFrame) -> DataFrame:
     """Edits whose span holds ``before`` in its source and that change something."""
-    both = edits.join(sources.select(file, "text"), file)
-    at = piece(F.col("text"), F.col("start"), F.col("end"))
-    return both.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("before") != F.col("after")) & (at == F.col("before"))).drop("text")
+    good = edits.filter((F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("before") != F.col("after")))
+    return beside(good, sources, {"__held": _at_span() == F.col("before")}).filter("__held").drop("__held")
 
 
 class Claims:
@@ -70,23 +140,54 @@ class Claims:
         return True
 
 
+def carried(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` (with file and block) with ``name``: the aggregate ``value`` of all earlier blocks of the file, by one row per block."""
+    each = df.groupBy("file", "block").agg(value.alias("__own"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum("__own").over(before) if name == "places" else F.max("__own").over(before)
+    return df.join(each.select("file", "block", total.alias(name)), ["file", "block"])
+
+
+def clustered(edits: DataFrame) -> DataFrame:
+    """``edits`` with ``cluster``: edits of a file that overlap, at once or through others, have one, the start of the first of them.
+
+    A point counts as a character, as a span that begins there can't hold it.
+    """
+    e = edits.withColumn("block", block_of(F.col("start")))
+    reach = F.greatest("end", F.col("start") + 1)
+    here = W.partitionBy("file", "block").orderBy("start", "end", "after")
+    e = carried(e, F.max(reach), "reach").withColumn("reach", F.greatest("reach", F.max(reach).over(here.rowsBetween(W.unboundedPreceding, -1))))
+    e = e.withColumn("head", F.when(F.col("reach").isNull() | (F.col("start") >= F.col("reach")), F.col("start")))
+    e = carried(e, F.max("head"), "first")
+    return e.withColumn("cluster", F.greatest("first", F.max("head").over(here.rowsBetween(W.unboundedPreceding, W.currentRow)))).select(*edits.columns, "cluster")
+
+
 def claimed(edits: DataFrame) -> DataFrame:
     """``edits`` with ``kept``: the first of equal ones (span and result), and of overlapping ones that with the smaller priority, then the first.
 
-    Duplicates are dropped before the shuffle to their file; a file's edits are one
-    group, as long as the file has edits.  Of equal edits the smallest check stays.
+    Duplicates are dropped before the shuffle.  Clusters of overlapping edits don't
+    depend on one another: one of a single edit keeps it, the others stream through
+    their tasks in order of priority.  Of equal edits the smallest check stays.
     """
     keys = ["file", "start", "end", "after"]
     best = edits.groupBy(*keys).agg(F.min(F.struct("priority", *[c for c in edits.columns if c not in (*keys, "priority")])).alias("best"))
     once = best.select("file", "start", "end", "after", "best.*").select(*edits.columns)
+    dealt = clustered(once).repartition("file", "cluster")
+    dealt = dealt.sortWithinPartitions("file", "cluster", "priority", "start", "end", "after")
+    names = [*edits.columns, "kept"]
+    file, start, end, cluster = (dealt.columns.index(c) for c in ("file", "start", "end", "cluster"))
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["priority", "start", "end", "after"], kind="stable")
-        claims = Claims()
-        return rows.assign(kept=[claims.claim(s, e) for s, e in zip(rows["start"].tolist(), rows["end"].tolist(), strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, claims = None, Claims()
+        for b in batches:
+            kept = []
+            for key, s, e in zip(zip(b.column(file).to_pylist(), b.column(cluster).to_pylist(), strict=True), b.column(start).to_pylist(), b.column(end).to_pylist(), strict=True):
+                if key != now:
+                    now, claims = key, Claims()
+                kept.append(claims.claim(s, e))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(kept)], names=names)
 
-    schema = edits.schema.simpleString()[len("struct<") : -1]
-    return once.groupBy("file").applyInPandas(pick, f"{schema}, kept: boolean".replace(":", " "))
+    return dealt.mapInArrow(run, T.StructType([*edits.schema.fields, T.StructField("kept", T.BooleanType())]))
 
 
 def resolve(edits: DataFrame) -> DataFrame:
@@ -96,13 +197,14 @@ def resolve(edits: DataFrame) -> DataFrame:
 
 def numbered(kept: DataFrame, sources: DataFrame) -> DataFrame:
     """Kept edits with ids by position in their file, their line, and 40 characters on both sides."""
-    place = F.row_number().over(W.partitionBy("file").orderBy("start", "end", "after"))
-    both = kept.withColumn("id", F.concat(F.lit("E"), F.when(place < 1000, F.lpad(place.cast("string"), 3, "0")).otherwise(place.cast("string")))).join(sources.select("file", "text"), "file")
-    text, start, end = F.col("text"), F.col("start"), F.col("end")
-    head = piece(text, F.lit(0), start)
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+    placed = carried(kept.withColumn("block", block_of(F.col("start"))), F.count(F.lit(1)), "places")
+    place = F.coalesce("places", F.lit(0)) + F.row_number().over(W.partitionBy("file", "block").orderBy("start", "end", "after"))
+    named = placed.withColumn("id", F.concat(F.lit("E"), F.when(place < 1000, F.lpad(place.cast("string"), 3, "0")).otherwise(place.cast("string")))).select(*kept.columns, "id")
+    text, base, start, end = (F.col(c) for c in ("piece", "base", "start", "end"))
+    head = piece(text, F.col("at") - base, start - base)
+    line = F.col("line") + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
     low = F.greatest(start - CONTEXT, F.lit(0))
-    return both.withColumns({"line": line, "context_before": piece(text, low, start), "context_after": piece(text, end, end + CONTEXT)}).drop("text")
+    return beside(named, sources, {"line": line, "context_before": piece(text, low - base, start - base), "context_after": piece(text, end - base, end - base + CONTEXT)})
 
 
 def anchor(before: Column, at: Column, after: Column) -> Column:
@@ -117,41 +219,59 @@ def accepted(edits: DataFrame, decisions: DataFrame) -> DataFrame:
     return both.filter((auto & ~F.coalesce(F.col("decision") == "reverted", F.lit(False))) | (~auto & (F.col("decision") == "accepted")))
 
 
+@F.pandas_udf(T.StringType())
+def _spliced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, edits in zip(texts, spans, strict=True):
+        if text is None or edits is None or not len(edits):
+            out.append(text)
+            continue
+        parts, at = [], 0
+        for s in edits:
+            parts += (text[at : s["start"]], s["after"])
+            at = s["end"]
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
 def apply(edits: DataFrame, sources: DataFrame) -> DataFrame:
     """(file, text, n_applied): non-overlapping sound edits spliced in; files without edits stay.
 
-    The pieces between edits and the edits' own texts are an array that is joined
-    once, so a file costs its length and not its length for every edit.
+    A text is walked once, from edit to edit; it is one cell before and after, and
+    its edits are fewer than its characters.
     """
     spans = edits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "after"))).alias("spans"))
     both = sources.select("file", "text").join(spans, "file", "left")
-    parts = F.transform("spans", lambda s, i: F.concat(piece(F.col("text"), F.when(i > 0, F.get(F.col("spans"), i - 1)["end"]).otherwise(0), s["start"]), s["after"]))
-    tail = F.substring(F.col("text"), F.element_at("spans", -1)["end"] + 1, F.length("text"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return both.select("file", text.alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_applied"))
+    return both.select("file", _spliced("text", "spans").alias("text"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_applied"))
 
 
 def stale(edits: DataFrame, sources: DataFrame) -> DataFrame:
     """Edits whose source no longer holds ``before`` at their span."""
-    both = edits.join(sources.select("file", "text"), "file", "left")
-    return both.filter(~F.coalesce(piece(F.col("text"), F.col("start"), F.col("end")) == F.col("before"), F.lit(False))).drop("text")
+    return beside(edits, sources, {"__held": F.coalesce(_at_span() == F.col("before"), F.lit(False))}, "left").filter("not __held").drop("__held")
+
+
+def in_blocks(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Each of ``spans`` once for every block that it reaches into."""
+    return spans.withColumn("block", F.explode(F.sequence(block_of(F.col(start)), block_of(F.col(end)))))
 
 
 def inside(edits: DataFrame, spans: DataFrame) -> DataFrame:
     """(file, span, edits, whole): ids of the edits that lie in each span of a file, and the first of those that rewrite it.
 
-    A range join within files: both sides are dealt by file.  ``spans``: file, span, from, to.
+    Spans and edits meet by blocks; an edit is in one.  ``spans``: file, span, from, to.
     """
-    within = spans.alias("s").join(edits.alias("e"), (F.col("s.file") == F.col("e.file")) & (F.col("s.from") <= F.col("e.start")) & (F.col("e.end") <= F.col("s.to")), "left")
-    rewrites = F.col("e.check_id").isin("FMT-REF-01", "BIB-ANNEXB-01")
-    return within.groupBy("s.file", "s.span").agg(F.array_sort(F.collect_list("e.id")).alias("edits"), F.coalesce(F.min(F.when(rewrites, F.col("e.id"))), F.lit("")).alias("whole"))
+    e = edits.select("file", block_of(F.col("start")).alias("block"), "start", "end", "id", F.col("check_id").isin("FMT-REF-01", "BIB-ANNEXB-01").alias("rewrites"))
+    met = in_blocks(spans, "from", "to").join(e, ["file", "block"]).filter((F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")))
+    held = met.groupBy("file", "span").agg(F.array_sort(F.collect_list("id")).alias("edits"), F.min(F.when(F.col("rewrites"), F.col("id"))).alias("whole"))
+    none = F.array().cast("array<string>")
+    return spans.select("file", "span").join(held, ["file", "span"], "left").select("file", "span", F.coalesce("edits", none).alias("edits"), F.coalesce("whole", F.lit("")).alias("whole"))
 
 
 def override(fields: DataFrame, entries: DataFrame) -> DataFrame:
     """All of ``entries`` and those of ``fields`` that lie in none of them."""
-    f, e = fields.alias("f"), entries.alias("e")
-    outside = f.join(e, (F.col("f.file") == F.col("e.file")) & (F.col("e.start") <= F.col("f.start")) & (F.col("f.end") <= F.col("e.end")), "left_anti")
-    return entries.unionByName(outside)
+    f, e = fields.withColumn("block", block_of(F.col("start"))).alias("f"), in_blocks(entries.select("file", "start", "end"), "start", "end").alias("e")
+    outside = f.join(e, (F.col("f.file") == F.col("e.file")) & (F.col("f.block") == F.col("e.block")) & (F.col("e.start") <= F.col("f.start")) & (F.col("f.end") <= F.col("e.end")), "left_anti")
+    return entries.unionByName(outside.drop("block"))
 
 
 def pattern_edits(sources: DataFrame, pattern: str, after: str, check_id: str, priority: int) -> DataFrame:
@@ -169,8 +289,14 @@ def pattern_edits(sources: DataFrame, pattern: str, after: str, check_id: str, p
     return sources.select("file", "text").mapInPandas(run, f"file {kind}, start int, end int, before string, after string, check_id string, priority int")
 
 
+def _words_of(text: str) -> Iterator[tuple]:
+    words, at = text.split(" "), 0
+    for i, word in enumerate(words):
+        end = at + len(word)
+        yield i, word, at, end, words[i + 1] if i + 1 < len(words) else None
+        at = end + 1
+
+
 def word_spans(sources: DataFrame) -> DataFrame:
-    """(file, i, word, start, end) of the pieces between single spaces."""
-    words = sources.select("file", F.split(F.coalesce("text", F.lit("")), " ").alias("w"))
-    ends = F.aggregate("w", F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w) + 1)))
-    return words.select("file", F.posexplode(F.arrays_zip("w", ends.alias("at"))).alias("i", "z")).filter("z.w is not null").select("file", "i", F.col("z.w").alias("word"), F.col("z.at").alias("start"), (F.col("z.at") + F.length("z.w")).alias("end"))
+    """(file, i, word, start, end, next) of the pieces between single spaces, each with the next one, from one scan of each text."""
+    return scanned(sources, _words_of, "i int, word string, start int, end int, next string")

@@ -15,15 +15,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposals(docs: DataFrame) -> DataFrame:
     """Three checks that get in each other's way: words ending in ing, a comma after words of seven letters, and a tie between an even short word and the next."""
-    words = edits.word_spans(docs)
-    ing = words.filter("word rlike 'ing$'").select("file", "start", "end", F.col("word").alias("before"), F.upper("word").alias("after"), F.lit("FMT-UNIT-01").alias("check_id"), F.lit(40).alias("priority"))
-    comma = words.filter("length(word) = 7").select("file", F.col("end").alias("start"), "end", F.lit("").alias("before"), F.lit(",").alias("after"), F.lit("CITE-SPACE-01").alias("check_id"), F.lit(60).alias("priority"))
-    left = words.filter("i % 2 = 0 and length(word) <= 7").alias("l")
-    right = words.filter("i % 2 = 1").alias("r")
-    tied = left.join(right, (F.col("l.file") == F.col("r.file")) & (F.col("r.i") == F.col("l.i") + 1))
-    both = lambda gap: F.concat("l.word", F.lit(gap), "r.word")
-    tie = tied.select("l.file", "l.start", "r.end", both(" ").alias("before"), both("~").alias("after"), F.lit("NEW-01").alias("check_id"), F.lit(80).alias("priority"))
-    return ing.unionByName(comma).unionByName(tie)
+    n, made = F.length("word"), []
+    edit = lambda start, end, before, after, check, priority: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), before.alias("before"), after.alias("after"), F.lit(check).alias("check_id"), F.lit(priority).alias("priority"))
+    start, end, word, then = (F.col(c) for c in ("start", "end", "word", "next"))
+    made.append(F.when(F.endswith(word, F.lit("ing")), edit(start, end, word, F.upper(word), "FMT-UNIT-01", 40)))
+    made.append(F.when(n == 7, edit(end, end, F.lit(""), F.lit(","), "CITE-SPACE-01", 60)))
+    tie = edit(start, end + 1 + F.length(then), F.concat(word, F.lit(" "), then), F.concat(word, F.lit("~"), then), "NEW-01", 80)
+    made.append(F.when((F.col("i") % 2 == 0) & (n <= 7) & then.isNotNull(), tie))
+    return edits.word_spans(docs).select("file", F.explode(F.array_compact(F.array(*made))).alias("e")).select("file", "e.*")
 
 
 WORDS = """w AS (SELECT doc_id AS file, text, string_split(coalesce(text, ''), ' ') AS ws FROM documents),
@@ -108,12 +107,12 @@ def overridden_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.override(made.filter("check_id = 'FMT-UNIT-01'"), made.filter("check_id = 'NEW-01'")).select("file", "start", "end", "check_id")
 
 
-@query(f"""WITH {WORDS} SELECT file, s AS start, e AS "end", check_id FROM ing k JOIN documents d ON d.doc_id = k.file WHERE substr(upper(left(d.text, 500)) || substr(d.text, 501), s + 1, e - s) <> before""")
+@query(f"""WITH {WORDS} SELECT file, s AS start, e AS "end", check_id FROM ing k JOIN documents d ON d.doc_id = k.file WHERE s < 500 AND translate(before, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') <> before AND (e <= 500 OR translate(left(before, 500 - s), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') <> left(before, 500 - s))""")
 def stale_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits that a changed source no longer holds: its first 500 characters are upper case now."""
+    """Edits that a changed source no longer holds: letters a to z of its first 500 characters are upper case now, which keeps all places."""
     docs = sources(spark, sf_dir)
     made = edits.sound(proposals(docs), docs).filter("check_id = 'FMT-UNIT-01'")
-    moved = docs.withColumn("text", F.concat(F.upper(F.substring("text", 1, 500)), F.substring(F.col("text"), 501, 2**30)))
+    moved = docs.withColumn("text", F.concat(F.translate(F.substring("text", 1, 500), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(F.col("text"), 501, 2**30)))
     return edits.stale(made, moved).select("file", "start", "end", "check_id")
 
 
