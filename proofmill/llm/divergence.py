@@ -27,14 +27,13 @@ cut, and is one document.  An empty table gives no rows.  Further columns are no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from proofmill.llm.textscan import CHUNK_BYTES, LOWER, U64, buffers, over_batches, slices
+from proofmill.llm.textscan import CHUNK_BYTES, LOWER, U64, buffers, over_batches, slices, span_hashes
 from proofmill.session import stash
 
 MIN_DOCS = 3
@@ -51,8 +50,8 @@ IS_TERM[97:123] = True
 IS_TERM[128:] = True
 
 
-def encoded(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each term of some texts its text and its place in the distinct terms; and those."""
+def found_terms(at: np.ndarray, data: np.ndarray, bits: int, spell: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array | None]:
+    """Of each term of some texts its text and its place in the distinct ones; their digests, and their strings if they are to be spelled."""
     folded = LOWER[data]
     inside = IS_TERM[folded]
     edge = np.zeros(len(data) + 1, bool)
@@ -60,10 +59,17 @@ def encoded(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, p
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     start = np.flatnonzero(first)
-    kept = np.concatenate(([0], np.cumsum(inside)))
-    offsets = np.append(kept[start], kept[-1]).astype(np.int32)
-    terms = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(folded[inside])]).dictionary_encode()
-    return np.searchsorted(at, start, "right") - 1, terms.indices.to_numpy(), terms.dictionary
+    doc = np.searchsorted(at, start, "right") - 1
+    kept, letters = np.concatenate(([0], np.cumsum(inside))), folded[inside]
+    offsets = np.append(kept[start], kept[-1])
+    if not spell:
+        distinct, code = np.unique(digests(letters, offsets, bits), return_inverse=True)
+        return doc, code, distinct, None
+    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters)]).dictionary_encode()
+    _, ends, body = words.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int32)[: len(words.dictionary) + 1].astype(np.int64)
+    body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+    return doc, words.indices.to_numpy(), digests(body, ends, bits), words.dictionary
 
 
 def runs(data: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
@@ -87,30 +93,31 @@ def summed(t: pa.Table, keys: list[str], values: list[str]) -> pa.Table:
     return out.rename_columns([c.removesuffix("_sum") if c.endswith("_sum") else c for c in out.column_names]).select([*keys, *values])
 
 
-def counted(texts: pa.Array, group: np.ndarray) -> pa.Table:
-    """(g, term, n, docs): occurrences and documents of each term, by the documents' groups."""
+def counted(texts: pa.Array, group: np.ndarray, bits: int, spell: bool) -> pa.Table:
+    """(g, digest, term if spelled, n, docs): occurrences and documents of each term, by the documents' groups."""
     at, data = buffers(texts)
+    keys = ["digest", "term"] if spell else ["digest"]
     if len(at) == 2 and len(data) > CHUNK_BYTES:
         parts = []
         for run in runs(data):
-            _, code, terms = encoded(np.array([0, len(run)]), run)
-            parts.append(pa.table({"term": terms, "n": np.bincount(code, minlength=len(terms))}))
-        whole = summed(pa.concat_tables(parts), ["term"], ["n"])
-        return pa.table({"g": np.full(len(whole), group[0]), "term": whole["term"], "n": whole["n"], "docs": np.ones(len(whole), np.int64)})
-    doc, code, terms = encoded(at, data)
-    width = max(len(terms), 1)
+            _, code, distinct, terms = found_terms(np.array([0, len(run)]), run, bits, spell)
+            parts.append(pa.table({"digest": distinct, **({"term": terms} if spell else {}), "n": np.bincount(code, minlength=len(distinct))}))
+        whole = summed(pa.concat_tables(parts), keys, ["n"])
+        return pa.table({"g": np.full(len(whole), group[0]), **{k: whole[k] for k in keys}, "n": whole["n"], "docs": np.ones(len(whole), np.int64)})
+    doc, code, distinct, terms = found_terms(at, data, bits, spell)
+    width = max(len(distinct), 1)
     pair, n = np.unique(doc.astype(np.int64) * width + code, return_counts=True)
     key, where = np.unique(group[pair // width] * width + pair % width, return_inverse=True)
+    term = key % width
     return pa.table({
-        "g": key // width, "term": terms.take(pa.array(key % width)),
+        "g": key // width, "digest": distinct[term], **({"term": terms.take(pa.array(term))} if spell else {}),
         "n": np.bincount(where, n, len(key)).astype(np.int64), "docs": np.bincount(where, minlength=len(key)),
     })
 
 
-def digests(terms: pa.ChunkedArray | pa.Array, bits: int) -> np.ndarray:
-    """The first ``bits`` bits of each term's hash, as signed 64-bit numbers."""
-    found = np.fromiter((xxhash.xxh64_intdigest(t) for t in terms.cast(pa.binary()).to_pylist()), np.uint64, len(terms))
-    return (found >> U64(64 - bits)).view(np.int64)
+def digests(letters: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of the hash of each run of letters, as signed 64-bit numbers."""
+    return (span_hashes(letters, offsets) >> U64(64 - bits)).view(np.int64)
 
 
 class Groups:
@@ -128,13 +135,13 @@ class Groups:
         return [pa.array([p[i] for p in self.known], pa.string()).take(at) for i in (0, 1)]
 
 
-def _tables(batches: Iterator[pa.RecordBatch], groups: Groups, keys: list[str], make) -> Iterator[pa.Table]:
+def _tables(batches: Iterator[pa.RecordBatch], groups: Groups, keys: list[str], make: Callable[[pa.Array, np.ndarray], pa.Table]) -> Iterator[pa.Table]:
     """Counts of all batches, added up by ``keys`` while they are fewer than ``HELD``."""
     held: list[pa.Table] = []
     rows = 0
     for batch in batches:
         for part in slices(batch, "text"):
-            t = make(counted(part.column("text"), groups.of(part)))
+            t = make(part.column("text"), groups.of(part))
             held.append(t)
             rows += len(t)
             if rows > HELD:
@@ -152,7 +159,7 @@ def tally(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
-        make = lambda t: pa.table({"g": t["g"], "digest": digests(t["term"], bits), "n": t["n"], "docs": t["docs"]})
+        make = lambda texts, g: counted(texts, g, bits, spell=False)
         for t in _tables(batches, groups, ["g", "digest"], make):
             yield from pa.table([*groups.columns(t["g"]), t["digest"], t["n"], t["docs"]], names=["lang", "source", "digest", "n", "docs"]).to_batches(1 << 16)
 
@@ -176,11 +183,11 @@ def spelled(docs: DataFrame, wanted: bytes, bits: int, by_source: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, bitmap = Groups(), np.frombuffer(sent.value, np.uint8)
 
-        def make(t: pa.Table) -> pa.Table:
-            d = digests(t["term"], bits)
-            low = d.view(np.uint64) & U64((1 << FILTER_BITS) - 1)
+        def make(texts: pa.Array, g: np.ndarray) -> pa.Table:
+            t = counted(texts, g, bits, spell=True)
+            low = np.asarray(t["digest"]).view(np.uint64) & U64((1 << FILTER_BITS) - 1)
             passes = (bitmap[(low >> U64(3)).astype(np.int64)] >> (low & U64(7)).astype(np.uint8)) & 1
-            return pa.table({"g": t["g"], "digest": d, "term": t["term"], "n": t["n"], "docs": t["docs"]}).filter(pa.array(passes.astype(bool)))
+            return t.filter(pa.array(passes.astype(bool)))
 
         if not by_source:
             batches = (b.set_column(b.schema.get_field_index("source"), "source", pa.array([""] * b.num_rows)) for b in batches)

@@ -97,6 +97,13 @@ class Words:
         return mix((total[self.end] - total[self.start]) * down[self.start])
 
 
+def span_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes between neighbouring offsets."""
+    up, down = _power(len(data))
+    total = np.concatenate(([U64(0)], np.cumsum(_BYTE[data] * up[: len(data)])))[offsets]
+    return mix((total[1:] - total[:-1]) * down[offsets[:-1]])
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` word hashes."""
     if len(h) < k:

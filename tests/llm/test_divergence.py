@@ -70,5 +70,5 @@ def test_long_texts_are_one_document():
     import pyarrow as pa
 
     text = " ".join(f"w{chr(97 + i % 26)}" for i in range(400_000)) + " " + "é" * 700_000
-    t = divergence.counted(pa.array([text]), np.zeros(1, np.int64))
+    t = divergence.counted(pa.array([text]), np.zeros(1, np.int64), 64, spell=True)
     assert len(t) == 27 and set(t["docs"].to_pylist()) == {1} and sum(t["n"].to_pylist()) == 400_001
