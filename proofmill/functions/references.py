@@ -147,15 +147,15 @@ LAYOUTS = {
     "accepted": ("authors title journal", "authors quoted journal =to_be_published", ""),
     "submitted": ("authors title", "authors quoted =submitted_for_publication", ""),
     "arxiv": ("authors title month year doi", "authors quoted date", "doi"),
-    "online": ("title url", "authors title url", "none"),
-    "book_chapter": ("authors title book publisher city country year pages", "authors quoted in_book. publisher date pages", "link"),
-    "book": ("authors book publisher city country year", "authors book. publisher date", "link"),
+    "online": ("title url", "authors named url", "none"),
+    "book_chapter": ("authors title book publisher city country year pages", "authors quoted in_book editors. publisher date pages", "link"),
+    "book": ("authors book publisher city country year", "authors book edition editors. publisher date", "link"),
     "report": ("authors title institution city country report year", "authors quoted institution place rep date", "link"),
-    "technical_report": ("title institution city country report year", "title institution place rep date", "link"),
-    "thesis": ("authors title thesis institution city country year", "authors quoted thesis institution place date", "link"),
-    "handbook": ("title organization country year", "title organization place date pages", ""),
+    "technical_report": ("title institution city country report year", "title edition editors institution place rep date", "link"),
+    "thesis": ("authors title thesis institution city country year", "authors quoted thesis department institution place date", "link"),
+    "handbook": ("title organization country year", "title edition organization place date pages url", "bare"),
     "manual": ("title organization city country year", "title organization place date", "link"),
-    "patent": ("authors title patent year", "authors quoted patent date", ""),
+    "patent": ("authors title patent year", "authors quoted patent day_or_pending", ""),
     "unpublished": ("authors title", "authors quoted =unpublished", ""),
     "private": ("authors year", "authors =private_communication date", ""),
 }
@@ -188,6 +188,9 @@ def _piece(name: str, f: dict[str, Column]) -> Column:
         "paper": lambda: with_("paper ", f["paper_id"]),
         "paper_unless_doi": lambda: F.when(f["doi"] == "", with_("paper ", f["paper_id"])).otherwise(""),
         "pages": lambda: F.when(f["pages"] == "", "").when(f["pages"].rlike("[-,]"), F.concat(F.lit("pp. "), f["pages"])).otherwise(F.concat(F.lit("p. "), f["pages"])),
+        "editors": lambda: F.when(f["editors"] == "", "").otherwise(F.concat(f["editors"], F.when(f["editors"].contains(" and "), ", Eds.").otherwise(", Ed."))),
+        "named": lambda: F.when(f["title"] != "", f["title"]).otherwise(f["organization"]),
+        "day_or_pending": lambda: F.when(f["status"] == "pending", "patent pending").otherwise(F.when(f["year"] == "", "").when(f["month"] != "", F.concat(f["month"], F.lit(" "), f["year"])).otherwise(f["year"])),
         "vol": lambda: with_("vol. ", f["volume"]),
         "no": lambda: with_("no. ", f["issue"]),
         "rep": lambda: with_("Rep. ", f["report"]),
@@ -201,14 +204,14 @@ def joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), ", ")
 
 
-FIELDS = "authors title conference city state country month year pages paper_id journal volume issue doi url book publisher institution report thesis organization patent".split()
+FIELDS = "authors title conference city state country month year pages paper_id journal volume issue doi url book publisher institution report thesis organization patent editors edition department status".split()
 
 
 def render(category: Column, fields: Column) -> Column:
     """The reference in its category's layout; pieces without a field are left out."""
     f = {name: F.coalesce(fields[name], F.lit("")) for name in FIELDS}
     link = F.when(f["doi"] != "", F.concat(F.lit(" doi:"), f["doi"])).otherwise(F.when(f["url"] != "", F.concat(F.lit(" "), f["url"])).otherwise(""))
-    after = {"": F.lit("."), "none": F.lit(""), "doi": F.concat(F.lit("."), F.when(f["doi"] != "", F.concat(F.lit(" doi:"), f["doi"])).otherwise("")), "link": F.concat(F.lit("."), link)}
+    after = {"": F.lit("."), "none": F.lit(""), "bare": F.when(f["url"] != "", "").otherwise("."), "doi": F.concat(F.lit("."), F.when(f["doi"] != "", F.concat(F.lit(" doi:"), f["doi"])).otherwise("")), "link": F.concat(F.lit("."), link)}
     out = None
     for name, (_, pieces, end) in LAYOUTS.items():
         head, _, tail = pieces.rpartition(". ")

@@ -88,13 +88,13 @@ NAMES = list(R.LAYOUTS)
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of references: each part has those that its number picks, in a category that its size picks."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    made = [F.when((key * (i + 3)) % 7 > 1, F.concat(F.lit(name), F.lit("-"), (key % 5).cast("string"))).otherwise("") for i, name in enumerate(R.FIELDS)]
-    entries = [x for name, c in zip(R.FIELDS, made, strict=True) for x in (F.lit(name), c)]
+    made = [F.when((key * (i + 3)) % 7 > 1, F.concat(F.lit(name), F.lit("-"), (key % 5).cast("string"))).otherwise("") for i, name in enumerate(R.FIELDS) if name != "status"]
+    entries = [x for name, c in zip([n for n in R.FIELDS if n != "status"], made, strict=True) for x in (F.lit(name), c)]
     status = F.when(key % 4 == 0, "pending").otherwise("")
     return table(spark, sf_dir, "part").select(key.alias("ref"), F.element_at(F.array(*map(F.lit, NAMES)), (size % len(NAMES) + 1).cast("int")).alias("category"), F.create_map(*entries, F.lit("status"), status, F.lit("proceedings"), F.when(key % 3 == 0, "p").otherwise("")).alias("fields"))
 
 
-FIELD_SQL = "f AS (SELECT p_partkey AS ref, " + _list(NAMES) + f"[p_size % {len(NAMES)} + 1] AS category, " + ", ".join(f"CASE WHEN (p_partkey * {i + 3}) % 7 > 1 THEN '{name}-' || (p_partkey % 5) ELSE '' END AS \"{name}\"" for i, name in enumerate(R.FIELDS)) + ", CASE WHEN p_partkey % 4 = 0 THEN 'pending' ELSE '' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 'p' ELSE '' END AS proceedings FROM part)"
+FIELD_SQL = "f AS (SELECT p_partkey AS ref, " + _list(NAMES) + f"[p_size % {len(NAMES)} + 1] AS category, " + ", ".join(f"CASE WHEN (p_partkey * {i + 3}) % 7 > 1 THEN '{name}-' || (p_partkey % 5) ELSE '' END AS \"{name}\"" for i, name in enumerate(R.FIELDS) if name != "status") + ", CASE WHEN p_partkey % 4 = 0 THEN 'pending' ELSE '' END AS status, CASE WHEN p_partkey % 3 = 0 THEN 'p' ELSE '' END AS proceedings FROM part)"
 
 
 def _missing_sql() -> str:
@@ -121,7 +121,7 @@ def _render_sql() -> str:
     own = {
         "quoted": w("“", "title", "”"), "in_proc": w("in Proc. ", "conference"), "presented": w("presented at ", "conference"), "in_book": w("in ", "book"), "place": f"nullif({place}, '')",
         "date": "CASE WHEN year = '' THEN NULL WHEN month <> '' THEN month || ' ' || year ELSE year END", "paper": w("paper ", "paper_id"), "paper_unless_doi": "CASE WHEN doi = '' AND paper_id <> '' THEN 'paper ' || paper_id END",
-        "pages": "CASE WHEN pages = '' THEN NULL WHEN regexp_matches(pages, '[-,]') THEN 'pp. ' || pages ELSE 'p. ' || pages END", "vol": w("vol. ", "volume"), "no": w("no. ", "issue"), "rep": w("Rep. ", "report"), "thesis": w("", "thesis", " thesis"),
+        "pages": "CASE WHEN pages = '' THEN NULL WHEN regexp_matches(pages, '[-,]') THEN 'pp. ' || pages ELSE 'p. ' || pages END", "vol": w("vol. ", "volume"), "editors": "CASE WHEN editors <> '' THEN editors || CASE WHEN contains(editors, ' and ') THEN ', Eds.' ELSE ', Ed.' END END", "named": "coalesce(nullif(title, ''), nullif(organization, ''))", "day_or_pending": "CASE WHEN status = 'pending' THEN 'patent pending' WHEN year = '' THEN NULL WHEN month <> '' THEN month || ' ' || year ELSE year END", "no": w("no. ", "issue"), "rep": w("Rep. ", "report"), "thesis": w("", "thesis", " thesis"),
         "publisher": f"nullif(concat_ws(': ', nullif({place}, ''), nullif(publisher, '')), '')",
     }
     piece = lambda p: "'" + p[1:].replace("_", " ") + "'" if p[0] == "=" else own.get(p, f"nullif(\"{p}\", '')")
@@ -131,7 +131,7 @@ def _render_sql() -> str:
         body = f"concat_ws(', ', {', '.join(map(piece, tail.split()))})"
         if head:
             body = f"concat_ws('. ', nullif(concat_ws(', ', {', '.join(map(piece, head.split()))}), ''), nullif({body}, ''))"
-        after = {"": "'.'", "none": "''", "doi": "'.' || CASE WHEN doi <> '' THEN ' doi:' || doi ELSE '' END", "link": "'.' || CASE WHEN doi <> '' THEN ' doi:' || doi WHEN url <> '' THEN ' ' || url ELSE '' END"}[end]
+        after = {"": "'.'", "none": "''", "bare": "CASE WHEN url <> '' THEN '' ELSE '.' END", "doi": "'.' || CASE WHEN doi <> '' THEN ' doi:' || doi ELSE '' END", "link": "'.' || CASE WHEN doi <> '' THEN ' doi:' || doi WHEN url <> '' THEN ' ' || url ELSE '' END"}[end]
         cases.append(f"WHEN category = '{name}' THEN regexp_replace({body} || {after}, '\\.\\.($|\\s)', '.\\1', 'g')")
     return "CASE " + " ".join(cases) + " END"
 
