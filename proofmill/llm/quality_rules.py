@@ -3,11 +3,16 @@
 Every text is measured and held against the rules.  Failures are summed by
 host; each host's failure rate of each rule is shrunk toward the rate of all
 hosts with a beta prior fitted to the hosts, so that a host with few documents
-isn't condemned by two of them.  A host whose shrunk rate of any rule is above
-the limit is rejected, and the verdict goes back to its documents.
+isn't condemned by two of them.  The posterior goes back to the host's documents
+in two ways.  A host whose shrunk rate of any rule is above the limit is rejected
+with all it has.  Else it says what a document's own failure of a soft rule means:
+the document's rate is read as if ``PSEUDO`` more of its words or lines failed at
+its host's posterior rate, and only if it is still above the rule's bound the
+document is rejected.  So a host that often fails makes a thin failure count, and one
+that seldom does clears a repeated line in a text of three.
 
 Defined results: a null or empty text has zeros for all measures and fails the
-rule on few words.  A null host is a group like any other in the counts, but is
+rule on few words.  A null host is a group like any other in counts and rates, but is
 never rejected as a host.  Repeated rows count as often as they occur.  An empty
 table gives an empty result.  Further columns pass through; the measures come in
 one struct column, under a name that starts with __pm_, which is reserved.
@@ -29,7 +34,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 HOST_LIMIT = 0.5
 #: The prior counts as so many documents at least and at most.
 PRIOR_DOCS = (1.0, 10_000.0)
-#: Rejected hosts are broadcast while their names have at most so many bytes; beyond, they meet documents by shuffle.
+#: What a document's own rate of a soft rule is mixed with: so many words or lines at its host's rate.
+PSEUDO = {"symbols": 10, "dup_lines": 4}
+#: Soft rules: the measures whose rate is bounded, and the bound in tenths.
+SOFT = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_lines", 3)}
+#: Hosts are broadcast while their names have at most so many bytes; beyond, they meet documents by shuffle.
 BROADCAST_BYTES = 64 << 20
 STRUCT = "__pm_quality"
 
@@ -72,8 +81,7 @@ def rules(m: str = STRUCT) -> dict[str, Column]:
     return {
         "few_words": c["n_words"] < 50,
         "repeats": 100 * c["n_repeat_words"] > 50 * c["n_words"],
-        "symbols": 10 * c["n_symbols"] > c["n_words"],
-        "dup_lines": 10 * c["n_dup_lines"] > 3 * c["n_lines"],
+        **{k: 10 * c[part] > tenths * c[whole] for k, (part, whole, tenths) in SOFT.items()},
     }
 
 
@@ -105,31 +113,40 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) ->
     return both.select("host", "n", *[f"f_{k}" for k in names], *[f"r_{k}" for k in names], (rejected & F.col("host").isNotNull()).alias("host_rejected"))
 
 
-def rejected_hosts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """(bad_host) of each rejected host, for broadcast if a sum of their bytes finds them few."""
-    bad = stash(host_verdicts(measured, host, limit).filter("host_rejected").select(F.col("host").alias("bad_host")), "bad-hosts")
-    size = bad.agg(F.sum(F.octet_length("bad_host") + 64)).first()[0] or 0
-    return F.broadcast(bad) if size <= BROADCAST_BYTES else bad
+def posteriors(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
+    """(p_host, host_rejected, p_ of each soft rule) of each host, for broadcast if a sum of their bytes finds them few."""
+    hosts = stash(host_verdicts(measured, host, limit).select(F.col("host").alias("p_host"), "host_rejected", *[F.col(f"r_{k}").alias(f"p_{k}") for k in SOFT]), "hosts")
+    size = hosts.agg(F.sum(F.coalesce(F.octet_length("p_host"), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
+
+
+def own_failed(m: str = STRUCT) -> Column:
+    """True where a document fails a soft rule and its host's posterior doesn't clear it."""
+    failed = F.lit(False)
+    for k, (part, whole, tenths) in SOFT.items():
+        shrunk = (F.col(f"{m}.{part}") + PSEUDO[k] * F.col(f"p_{k}")) / (F.col(f"{m}.{whole}") + PSEUDO[k])
+        failed = failed | (rules(m)[k] & (10 * shrunk > tenths))
+    return failed
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """One row per document: id, host, measures, ``base_failed``, ``host_rejected`` and ``kept``."""
+    """One row per document: id, host, measures, ``base_failed``, ``host_rejected``, ``own_failed`` and ``kept``."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     measured = stash(measure(picked).select("doc_id", "host", STRUCT), "quality")
-    verdicts = rejected_hosts(measured, "host", limit)
-    failed = base_failed()
-    return measured.join(verdicts, F.col("host") == F.col("bad_host"), "left").select(
-        "doc_id", "host", f"{STRUCT}.*", failed.alias("base_failed"), F.col("bad_host").isNotNull().alias("host_rejected"),
-        (~failed & F.col("bad_host").isNull()).alias("kept"),
+    both = measured.join(posteriors(measured, "host", limit), F.col("host").eqNullSafe(F.col("p_host")))
+    return both.select(
+        "doc_id", "host", f"{STRUCT}.*", base_failed().alias("base_failed"), "host_rejected", own_failed().alias("own_failed"),
+        (~base_failed() & ~F.col("host_rejected") & ~own_failed()).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that the rules and the host verdicts keep, with their own columns."""
+    """The rows of ``docs`` that the rules and the hosts' posteriors keep, with their own columns."""
     slim = measure(docs.select(F.col(text).alias("text"), F.col(host).alias("host"))).select("host", STRUCT)
-    bad = rejected_hosts(slim, "host", limit)
-    good = measure(docs, text).filter(~base_failed()).drop(STRUCT)
-    return good.join(bad, good[host] == bad["bad_host"], "left_anti")
+    hosts = posteriors(slim, "host", limit)
+    good = measure(docs, text).filter(~base_failed())
+    kept = good.join(hosts, good[host].eqNullSafe(hosts["p_host"])).filter(~F.col("host_rejected") & ~own_failed())
+    return kept.select(*[good[q] for q in (f"`{c.replace('`', '``')}`" for c in docs.columns)])
 
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,13 +171,14 @@ def verdicts_sql(limit: float = HOST_LIMIT) -> str:
     return f"""
 hosts AS (SELECT host, count(*) AS n, {', '.join(f'sum(CAST({t} AS INT)) AS f_{k}' for k, t in tests.items())} FROM m GROUP BY host),
 prior AS (SELECT avg(1.0::DOUBLE / n) AS per_doc, {', '.join(f'sum(f_{k})::DOUBLE / sum(n) AS m_{k}, var_pop(f_{k}::DOUBLE / n) AS v_{k}' for k in tests)} FROM hosts),
-bad AS (SELECT host FROM hosts, prior WHERE host IS NOT NULL AND ({' OR '.join(f'(f_{k} + m_{k} * {d}) / (n + {d}) > {limit}' for k, d in docs.items())}))
+posterior AS (SELECT host, {', '.join(f'(f_{k} + m_{k} * {d}) / (n + {d}) AS r_{k}' for k, d in docs.items())} FROM hosts, prior),
+verdict AS (SELECT host AS p_host, host IS NOT NULL AND ({' OR '.join(f'r_{k} > {limit}' for k in tests)}) AS rejected, r_symbols, r_dup_lines FROM posterior)
 """
 
 
 SQL = f"""
-WITH {MEASURES_SQL}, {verdicts_sql()}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(host NOT IN (SELECT host FROM bad), true) AS kept
-FROM m
+WITH {MEASURES_SQL}, {verdicts_sql()},
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AND 10 * (n_symbols + {PSEUDO['symbols']} * r_symbols) / (n_words + {PSEUDO['symbols']}) > 1
+  OR 10 * n_dup_lines > 3 * n_lines AND 10 * (n_dup_lines + {PSEUDO['dup_lines']} * r_dup_lines) / (n_lines + {PSEUDO['dup_lines']}) > 3 AS own_failed FROM m JOIN verdict ON host IS NOT DISTINCT FROM p_host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AND NOT own_failed AS kept FROM b
 """
