@@ -9,9 +9,10 @@ edits so far), so a word that no term is near dies after a few letters.  Whole
 terms allow one edit from 5 letters and two from 9, and fewer where their hits
 with edits occur in clean documents of the sample; stems must match exactly.
 
-Around every hit a window of ``WINDOW_WORDS`` words either side and the marks at
-the hit are read: quotation marks and reporting words speak for quotation,
-address words for abuse.  The sums of term weights, less for each edit, by kind
+Around every hit a window of ``WINDOW_WORDS`` words either side and the marks
+around it are read: a hit between paired quotation marks, however many words they
+hold up to ``QUOTED_CHARS`` characters, and one among reporting words is quoted;
+address words outside of quotations speak for abuse.  The sums of term weights, less for each edit, by kind
 of hit are the features of a logistic regression, fitted to the same sample; no
 hit but a quoted one can lower a score.
 
@@ -28,6 +29,7 @@ get equal scores; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -59,6 +61,10 @@ LOOKALIKE = str.maketrans("013457@$!*", "oieastasii")
 REPORTING = frozenset("called calling quote quoted said says slur term word words wrote".split())
 ADDRESS = frozenset("are du eres es tu u ur you your youre".split())
 QUOTES = "\"'“”‘’«»„"
+#: A quotation: paired marks around words, on one line, of at most QUOTED_CHARS characters; apostrophes inside words are no marks.
+QUOTED_CHARS = 400
+CLOSED_BY = {"“": "”", "„": "“”", "«": "»", "»": "«", '"': '"', "‘": "’", "'": "'"}
+MARK = re.compile("[" + QUOTES + "\n]")
 DEAD = -1
 
 
@@ -194,6 +200,30 @@ class Lexicon:
         return out
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The spans between paired quotation marks, in one walk over the marks; a line's end closes nothing and ends all."""
+    opened: dict[str, int] = {}
+    out = []
+    for m in MARK.finditer(text):
+        at, c = m.start(), m.group()
+        if c == "\n":
+            opened.clear()
+            continue
+        after_word, before_word = at > 0 and text[at - 1].isalnum(), text[at + 1 : at + 2].isalnum()
+        if c in "'’‘" and after_word and before_word:
+            continue  # an apostrophe
+        own = next((o for o in opened if c in CLOSED_BY[o] and not (c in "'’" and before_word)), None)
+        if own is not None:
+            start = opened.pop(own)
+            if at - start <= QUOTED_CHARS:
+                out.append((start, at + 1))
+                opened.clear()
+                continue
+        if c in CLOSED_BY and not (c == "'" and after_word):
+            opened[c] = at
+    return out
+
+
 FEATURES = ("hits", "addressed", "quoted", "kinds", "weak")
 #: Those that can only speak for abuse.
 FOR_ABUSE = tuple(name != "quoted" for name in FEATURES)
@@ -208,13 +238,17 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     found = list(WORD.finditer(low))
     words = [m.group() for m in found]
     sums = dict.fromkeys(FEATURES, 0.0)
+    spans = quotations(low)
+    starts = [s for s, _ in spans]
     for i, m in enumerate(found):
         if (hit := hits.get(words[i])) is None:
             continue
         weight, edits = hit
         near = words[max(0, i - WINDOW_WORDS) : i] + words[i + 1 : i + 1 + WINDOW_WORDS]
         marks = low[max(0, m.start() - 1) : m.start()] + low[m.end() : m.end() + 1]
-        quoted = sum(c in QUOTES for c in marks) == 2 or len(REPORTING.intersection(near)) > 1
+        at = bisect.bisect_right(starts, m.start()) - 1
+        inside = at >= 0 and m.end() <= spans[at][1]
+        quoted = inside or sum(c in QUOTES for c in marks) == 2 or len(REPORTING.intersection(near)) > 1
         if weight < LEAST_ODDS:
             sums["weak"] += weight * (not quoted)
             continue
