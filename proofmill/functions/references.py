@@ -1,115 +1,16 @@
-"""References: rules as a table of patterns, kinds by their marks, and layouts as lists of pieces."""
+"""References: kinds by their marks, and layouts as lists of pieces."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from proofmill.functions import texts as X
 
-
-class Rule(NamedTuple):
-    code: str
-    severity: str
-    pattern: str
-    put: str  # groups as $1
-
-
-# Short forms of months.
-MONTHS = {"Jan.": "January|Jan", "Feb.": "February|Feb", "Mar.": "March|Mar", "Apr.": "April|Apr", "Jun.": "June|Jun", "Jul.": "July|Jul", "Aug.": "August|Aug", "Sep.": "September|Sept|Sep", "Oct.": "October|Oct", "Nov.": "November|Nov", "Dec.": "December|Dec"}
 # Postal codes of states as they occur before USA.
 STATES = {"AZ": "Arizona", "CA": "California", "CO": "Colorado", "FL": "Florida", "IL": "Illinois", "MA": "Massachusetts", "MD": "Maryland", "MI": "Michigan", "NM": "New Mexico", "NY": "New York", "OR": "Oregon", "PA": "Pennsylvania", "TN": "Tennessee", "TX": "Texas", "VA": "Virginia", "WA": "Washington", "WI": "Wisconsin"}
 # Cyrillic letters and the Latin ones they look like.
 LOOKALIKE = ("аеорсхуАВЕНКМОРСТХУ", "aeopcxyABEHKMOPCTXY")
 
-# The forms that the rules find and write.  A rule finds its pattern and writes ``put``; what that leaves as it is was right.  The order is the order of fixing.
-RULES = [
-    Rule("REF-DOI-URL", "error", r"(?i)(?:\bdoi:\s*)?(?:https?://)?\b(?:dx\.)?doi\.org/(10\.[0-9]{4,9}/)", "doi:$1"),
-    Rule("REF-DOI-FORM", "error", r"\b[Dd][Oo][Ii](?:\s*:\s*/{0,2}\s*|\s+)(10\.[0-9])", "doi:$1"),
-    Rule("REF-DOI-FORM", "error", r"(^|[\s(,;])(10\.[0-9]{4,9}/)", "$1doi:$2"),
-    Rule("REF-ARXIV-URL", "error", r"https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?:\.pdf)?", "arXiv:$1"),
-    Rule("REF-ARXIV-PREPRINT", "warning", r"(?i)\barxiv\s+(?:e-)?preprint\s*,?\s*(arxiv:)", "$1"),
-    Rule("REF-URL-ONLINE", "warning", r"\[\s*[Oo]nline\s*\]\.?\s*(?:[Aa]vailable\s*(?:at|from)?:?\s*)?", ""),
-    Rule("REF-ETAL", "error", r"\bet\.?\s*al\b\.?", "et al."),
-    Rule("REF-ETAL-COMMA", "error", r"^((?:[A-Z]\.[ -]?)+[A-Z]\w+),\s*et al\.", "$1 et al."),
-    Rule("REF-AUTH-INITIALS", "error", r"\b([A-Z])\.([A-Z])\.", "$1. $2."),
-    Rule("REF-AUTH-AND", "error", r"\s*&\s*([A-Z]\.)", " and $1"),
-    Rule("REF-TITLE-QUOTES", "error", r"\"([^\"]*)\"", "“$1”"),
-    Rule("REF-TITLE-COMMA", "error", r"\s*[,.;:]\s*”,?", "”,"),
-    Rule("REF-PROC-LABEL", "error", r"\b(IPAC|LINAC|FEL|IBIC|SRF|HIAT|NAPAC)\s*[-’]?\s?(?:20)([0-9]{2})\b", "$1'$2"),
-    *[Rule("REF-MONTH", "error", rf"\b(?:{names})\b\.?\s*,?\s+((?:[0-9]{{1,2}},\s+)?[0-9]{{4}}\b)", f"{short} $1") for short, names in MONTHS.items()],
-    Rule("REF-MONTH", "error", r"\bMay\s*,\s+([0-9]{4}\b)", "May $1"),
-    Rule("REF-PAGES", "error", r"\b(pp?),\s*([0-9])", "$1. $2"),
-    Rule("REF-PAGES", "error", r"\bp\.\s*([0-9]+)\s*[-–]\s*([0-9]+)", "pp. $1-$2"),
-    Rule("REF-PAGES", "error", r"\bpp\.\s*([0-9]{5,})(\s*[,.]\s)", "p. $1$2"),
-    Rule("REF-VOLUME", "error", r"\b(?:Vol\b\.?|Volume|volume)\s*([0-9])", "vol. $1"),
-    Rule("REF-VOLUME", "error", r"([A-Za-z.])\s+(vol\.\s*[0-9])", "$1, $2"),
-    Rule("REF-VOLUME", "error", r"(\bvol\.\s*[0-9]+\s*,\s*)(?:Issue|issue|No\.|Nr\.|Number|number|N\.)\s*([0-9])", "$1no. $2"),
-    Rule("REF-YEAR", "error", r",?\s*\(([0-9]{4})\)(\s*\.?\s*)(doi:|https?://|$)", ", $1$2$3"),
-    Rule("REF-STATUS", "warning", r",?\s*\b[Aa]ccepted(?:\s+for\s+publication)?(?:\s+in\s+[0-9]{4})?", ", to be published"),
-    Rule("REF-PUNCT", "info", r"\s+([,;])", "$1"),
-    Rule("REF-PUNCT", "info", r"([A-Za-z0-9)”])\s+\.(\s|$)", "$1.$2"),
-    Rule("REF-PUNCT", "info", r",(\s*,)+", ","),
-    Rule("REF-PUNCT", "info", r"([a-z])\.(,\s*https?://)", "$1$2"),
-    Rule("REF-PUNCT", "info", r"(\S)\s{2,}(\S)", "$1 $2"),
-    *[Rule("REF-PLACE", "warning", rf"(,\s){name}(,\s*(?:USA|U\.S\.A\.|US|United States)\b)", f"$1{code}$2") for code, name in STATES.items()],
-    Rule("REF-DOI-SEP", "error", r"([^\s.,;:])[\s,;]+doi:(10\.)", "$1. doi:$2"),
-    Rule("REF-DOI-END", "error", r"(\bdoi:10\.\S*[^\s.])[\s.]+$", "$1"),
-    Rule("REF-LATEX", "warning", r"\\[A-Za-z]+\*?", "$0"),
-]
-
-
-def _has_cyrillic(c: Column) -> Column:
-    return c.rlike("[\u0400-\u04ff]")
-
-
-def lookalike(c: Column) -> Column:
-    """Cyrillic letters that look Latin as the Latin ones, in a reference that is mostly Latin."""
-    n = lambda letters: F.length(F.regexp_replace(c, f"[^{letters}]", ""))
-    return F.when((n("\u0400-\u04ff") > 0) & (n("A-Za-z") >= 3 * n("\u0400-\u04ff")), F.translate(c, *LOOKALIKE)).otherwise(c)
-
-
-def end_stop(c: Column) -> Column:
-    """A full stop at the end, but for references that end with a link, a mark of their own or nothing."""
-    bare = F.rtrim(c)
-    linked = bare.rlike(r"(\bdoi:\S+|https?://\S+)$")
-    return F.when((bare == "") | linked | bare.rlike(r"[.?!”]$"), bare).otherwise(F.concat(bare, F.lit(".")))
-
-
-def without_repeats(c: Column) -> Column:
-    """A capitalised word of two letters at least that is written twice, with a comma between, once."""
-    parts = F.split(c, ", ")
-    last = lambda p: F.regexp_extract(p, r"\b([A-Z][A-Za-z]+\.?)$", 1)
-    first = lambda p: F.regexp_extract(p, r"^([A-Z][A-Za-z]+\.?)($|[\s.])", 1)
-    cut = lambda p, i: F.when((i > 0) & (first(p) != "") & (first(p) == last(F.get(parts, i - 1))), F.substring(p, F.length(first(p)) + 1, F.length(p))).otherwise(F.when(i > 0, F.concat(F.lit(", "), p)).otherwise(p))
-    return F.array_join(F.transform(parts, cut), "")
-
-
-def lint(refs: DataFrame, ref: str, text: str) -> DataFrame:
-    """(ref, code, severity) of each rule that would change a reference, or only reports what it finds."""
-    c = X.text(F.col(text))
-    hits = []
-    for code in dict.fromkeys(r.code for r in RULES):
-        own = [r for r in RULES if r.code == code]
-        hit = None
-        for r in own:
-            one = c.rlike(r.pattern) if r.put == "$0" else F.regexp_replace(c, r.pattern, r.put) != c
-            hit = one if hit is None else hit | one
-        hits.append(F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(own[0].severity).alias("severity"))))
-    more = [("REF-LOOKALIKE", "error", lookalike(c) != c), ("REF-END", "info", end_stop(c) != F.rtrim(c)), ("REF-REPEATED", "error", without_repeats(c) != c)]
-    hits += [F.when(hit, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, hit in more]
-    return refs.select(ref, F.explode(F.array_compact(F.array(*hits))).alias("i")).select(ref, "i.code", "i.severity")
-
-
-def fixed(c: Column) -> Column:
-    """The reference with every rule's form written, in their order."""
-    out = lookalike(X.text(c))
-    for r in RULES:
-        out = out if r.put == "$0" else F.regexp_replace(out, r.pattern, r.put)
-    return end_stop(without_repeats(out))
-
-
 # Kinds by the first mark that is found.
 KINDS = [
     ("private_comm", r"(?i)\bprivate communication\b"),

@@ -72,14 +72,14 @@ ORDERED = {
 PENDING = "patent pending"
 
 _CUT = re.compile(
-    rf"(?P<quote>“[^“”]*”|\"[^\"]*\")|(?P<mask>\([^()]*\)|\[[^\[\]]*\]|https?://\S*[^\s.,;]|\bdoi:\s?\S*[^\s.,;]|\b{MONTH} [0-9]{{1,2}}, (?=[0-9]{{4}}\b))"
-    r"|(?P<cut>,\s+|,$|\.\s*$|(?<=[\w)]{2})\.\s+(?=(?:(?!\.\s)[^:“”])*:\s)|\.?\s+(?=doi:|https?://))|(?P<colon>:\s+)"
+    r"(?P<quote>“[^“”]*”|\"[^\"]*\")|(?P<mask>\([^()]*\)|\[[^\[\]]*\]|https?://\S*[^\s.,;]|\b(?i:doi)\b[:\s]*/{0,2}\s?10\.\S*[^\s.,;]|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.? [0-9]{1,2}, (?=[0-9]{4}\b))"
+    r"|(?P<cut>[,;]\s+|[,;]$|\.\s*$|(?<=[\w)]{2})\.\s+(?=(?:(?!\.\s)[^:“”])*:\s)|[.:]?\s+(?=(?i:doi)\b[:\s]|https?://))|(?P<colon>:\s+)"
 )
 _PLACE = re.compile(rf"(?:{COUNTRIES}|[A-Z]{{2}})\Z")
 
 
 def _pieces_of(text: str) -> Iterator[tuple]:
-    """(k, lead, gap, start, end, piece): the sign before a piece, and all that lies between it and the last one."""
+    """(k, lead, gap, start, end, piece, tail): the sign before a piece, all that lies between it and the last one, and after the last of them what is left."""
     found: list[tuple[str, int, int]] = []
     lead, begin, last = "", 0, 0
 
@@ -101,18 +101,18 @@ def _pieces_of(text: str) -> Iterator[tuple]:
         elif m["cut"]:
             # The stop of an edition is its own, though a sentence ends there.
             own = m["cut"][0] == "." and text.endswith(" ed", begin, m.start())
-            close(m.start() + own, m["cut"].strip()[:1], m.end())
+            close(m.start() + own, m["cut"].strip(" :")[:1], m.end())
         elif m["colon"] and (lead == "." or _PLACE.match(text[begin : m.start()].strip())):
             close(m.start(), ":", m.end())
     close(len(text), "", len(text))
     for k, (sign, start, end) in enumerate(found):
-        yield k, sign, text[last:start], start, end, text[start:end]
+        yield k, sign, text[last:start], start, end, text[start:end], text[end:] if k == len(found) - 1 else None
         last = end
 
 
 def pieces(refs: DataFrame, ref: str = "ref", text: str = "text") -> DataFrame:
     """(ref, k, lead, gap, start, end, piece) of every piece of every reference."""
-    made = scanned(refs.select(F.col(ref).alias("file"), F.col(text).alias("text")), _pieces_of, "k int, lead string, gap string, start int, end int, piece string")
+    made = scanned(refs.select(F.col(ref).alias("file"), F.col(text).alias("text")), _pieces_of, "k int, lead string, gap string, start int, end int, piece string, tail string")
     return made.withColumnRenamed("file", "ref")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus
-from proofmill.plans import dataset, desk, edits, latex, layout, names, papers, parsing, references, registry_records, review, scalars, scoring  # noqa: F401  they register their queries
+from proofmill.plans import bib, dataset, desk, edits, latex, layout, names, papers, parsing, references, registry_records, review, scalars, scoring  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.functions import references as R, texts as X, vocabulary as V
+from proofmill.operators import rules
 from proofmill.plans.registry import query
 from proofmill.session import table
 
@@ -36,42 +37,62 @@ def _list(words: list[str]) -> str:
 REFS = f"refs AS (SELECT p_partkey AS ref, {_list(AUTHORS)}[p_size % {len(AUTHORS)} + 1] || ', ' || replace({_list(TITLES)}[p_partkey % {len(TITLES)} + 1], '%s', p_name) || ' ' || {_list(ENDS)}[p_partkey % {len(ENDS)} + 1] AS text FROM part)"
 
 
-def _sub(c: str, r: R.Rule) -> str:
-    quote = lambda s: s.replace("'", "''")
-    return f"regexp_replace({c}, '{quote(r.pattern)}', '{quote(r.put).replace('$', chr(92))}', 'g')"
+# What each part of a made reference is to become, and what is wrong with it, written down and not derived from the rules.
+FIXED_AUTHORS = ["A. Alpha", "A. Alpha et al.", "A. B. Alpha and B. Beta", "A. Alpha and C. Gamma", "A. Beta"]
+FIXED_ENDS = [
+    "Phys. Rev. Lett., vol. 7, no. 3, pp. 12-19, Sep. 2001. doi:10.1103/PhysRevLett.7",
+    "in Proc. IPAC’23, Venice, Italy, May 2023, pp. 5-9. doi:10.18429/JACoW-IPAC23-X",
+    "2019. doi:10.48550/arXiv.2001.01234",
+    "https://example.org/a",
+    "Ph.D. thesis, Houston, TX, USA, May 1996, unpublished.",
+    "code. https://x.org/y. doi:10.48550/arXiv.2101.00001",
+    "Nucl. Instrum. Methods, to be published \\emph.",
+    "Rep. 12, p. 123456, Jan. 3, 2020, presented at LINAC’18. doi:10.1000/abc",
+]
+AUTHOR_ISSUES = [(1, "REF-ETAL-COMMA", "A. Alpha, et al", "A. Alpha et al."), (1, "REF-ETAL", "et al", "et al."), (2, "REF-AUTH-INITIALS", "A.B. Alpha & B. Beta", "A. B. Alpha & B. Beta"), (2, "REF-AUTH-AND", "A.B. Alpha & B. Beta", "A.B. Alpha and B. Beta"), (4, "REF-LOOKALIKE", "А. Beta", "A. Beta")]
+TITLE_ISSUES = [(0, "REF-TITLE-QUOTES", '"%s,"', "“%s,”"), (0, "REF-PUNCT", " ", ", "), (1, "REF-TITLE-COMMA", "“%s.”", "“%s”"), (1, "REF-PUNCT", " ", ", ")]
+END_ISSUES = [
+    (0, "REF-PUNCT", "Phys. Rev. Lett.  Vol. 7", "Phys. Rev. Lett. Vol. 7"), (0, "REF-VOLUME", "Phys. Rev. Lett.  Vol. 7", "Phys. Rev. Lett., vol. 7"), (0, "REF-VOLUME", "Issue 3", "no. 3"), (0, "REF-PAGES", "p. 12 - 19", "pp. 12-19"), (0, "REF-MONTH", "Sept 2001", "Sep. 2001"), (0, "REF-DOI-FORM", "DOI: 10.1103/PhysRevLett.7", "doi:10.1103/PhysRevLett.7"),
+    (1, "REF-PROC-LABEL", "in Proc. IPAC 2023", "in Proc. IPAC’23"), (1, "REF-MONTH", "May, 2023", "May 2023"), (1, "REF-PAGES", "pp, 5-9", "pp. 5-9"), (1, "REF-DOI-URL", "https://doi.org/10.18429/JACoW-IPAC23-X", "doi:10.18429/JACoW-IPAC23-X"),
+    (2, "REF-ARXIV-PREPRINT", "arXiv preprint arXiv:2001.01234", "arXiv:2001.01234"), (2, "REF-YEAR", "(2019)", "2019"), (2, "REF-END", "", "."),
+    (3, "REF-URL-ONLINE", "[Online]. Available", ""), (3, "REF-PUNCT", ": ", ". "),
+    (4, "REF-PLACE", "Texas", "TX"), (4, "REF-PUNCT", " , ", ", "), (4, "REF-REPEATED", "May, May 1996", "May 1996"), (4, "REF-END", "", "."),
+    (5, "REF-ARXIV-URL", "https://arxiv.org/abs/2101.00001v2", "arXiv:2101.00001"), (5, "REF-PUNCT", "code.", "code"),
+    (6, "REF-STATUS", "accepted for publication in 2020 \\emph", "to be published \\emph"), (6, "REF-LATEX", "accepted for publication in 2020 \\emph", None), (6, "REF-END", "", "."),
+    (7, "REF-PAGES", "pp. 123456", "p. 123456"), (7, "REF-MONTH", "January 3, 2020", "Jan. 3, 2020"), (7, "REF-DOI-FORM", "10.1000/abc", "doi:10.1000/abc"), (7, "REF-PROC-LABEL", "presented at LINAC-2018", "presented at LINAC’18"), (7, "REF-END", "", "."),
+]
+SEVERITY = {"REF-PUNCT": "info", "REF-END": "info", "REF-LATEX": "warning", "REF-ARXIV-PREPRINT": "warning", "REF-URL-ONLINE": "warning", "REF-STATUS": "warning", "REF-PLACE": "warning"}
 
 
-LATIN = "(CASE WHEN regexp_matches({c}, '[\u0400-\u04ff]') AND length(regexp_replace({c}, '[^A-Za-z]', '', 'g')) >= 3 * length(regexp_replace({c}, '[^\u0400-\u04ff]', '', 'g')) THEN translate({c}, '%s', '%s') ELSE {c} END)" % R.LOOKALIKE
-STOP = r"(CASE WHEN rtrim({c}) = '' OR regexp_matches(rtrim({c}), '(\bdoi:\S+|https?://\S+)$') OR regexp_matches(rtrim({c}), '[.?!”]$') THEN rtrim({c}) ELSE rtrim({c}) || '.' END)"
-# These texts repeat one word only.
-ONCE = "replace({c}, 'May, May', 'May')"
+def _rows(rows: list[tuple]) -> str:
+    q = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + ") AS v(i, code, excerpt, put)"
 
 
-def _hits() -> str:
-    out = []
-    for code in dict.fromkeys(r.code for r in R.RULES):
-        own = [r for r in R.RULES if r.code == code]
-        hit = " OR ".join(f"regexp_matches(text, '{r.pattern}')" if r.put == "$0" else f"{_sub('text', r)} <> text" for r in own)
-        out.append(f"SELECT ref, '{code}' AS code, '{own[0].severity}' AS severity FROM refs WHERE {hit}")
-    for code, severity, form in (("REF-LOOKALIKE", "error", LATIN), ("REF-REPEATED", "error", ONCE)):
-        out.append(f"SELECT ref, '{code}', '{severity}' FROM refs WHERE {form.format(c='text')} <> text")
-    out.append(f"SELECT ref, 'REF-END', 'info' FROM refs WHERE {STOP.format(c='text')} <> rtrim(text)")
-    return " UNION ALL ".join(out)
+ISSUES = " UNION ALL ".join(
+    f"SELECT p_partkey AS ref, code, replace(excerpt, '%s', p_name) AS excerpt, replace(put, '%s', p_name) AS put FROM part JOIN {_rows(rows)} ON {n} % {of} = i"
+    for rows, n, of in ((AUTHOR_ISSUES, "p_size", len(AUTHORS)), (TITLE_ISSUES, "p_partkey", len(TITLES)), (END_ISSUES, "p_partkey", len(ENDS)))
+)
 
 
-@query(f"WITH {REFS} {_hits()}")
-def reference_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule finds in each reference."""
-    return R.lint(_references(spark, sf_dir), "ref", "text")
+@query(f"SELECT *, true AS held FROM ({ISSUES})")
+def reference_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules find in each reference, by span, and what they would put there."""
+    refs = _references(spark, sf_dir)
+    both = rules.issues(refs).join(refs, "ref")
+    return both.select("ref", "code", "excerpt", "put", (F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("excerpt")).alias("held"))
 
 
-STEPS = ", ".join(f"s{i + 1} AS (SELECT ref, {_sub('text', r)} AS text FROM s{i})" for i, r in enumerate(r for r in R.RULES if r.put != "$0"))
-LAST = sum(r.put != "$0" for r in R.RULES)
+@query(f"SELECT DISTINCT ref, code, CASE code {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {chr(39)}{s}{chr(39)}' for c, s in SEVERITY.items())} ELSE 'error' END AS severity FROM ({ISSUES})")
+def reference_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of what the rules find in each reference."""
+    return rules.lint(_references(spark, sf_dir))
 
 
-@query(f"WITH {REFS}, s0 AS (SELECT ref, {LATIN.format(c='text')} AS text FROM refs), {STEPS}, o AS (SELECT ref, {ONCE.format(c='text')} AS text FROM s{LAST}) SELECT ref, {STOP.format(c='text')} AS text FROM o")
+@query(f"SELECT p_partkey AS ref, {_list(FIXED_AUTHORS)}[p_size % {len(AUTHORS)} + 1] || ', “' || p_name || '”, ' || {_list(FIXED_ENDS)}[p_partkey % {len(ENDS)} + 1] AS text FROM part")
 def reference_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _references(spark, sf_dir).select("ref", R.fixed(F.col("text")).alias("text"))
+    """References after all rounds of fixing."""
+    return rules.solved(_references(spark, sf_dir)).select("ref", "text")
 
 
 KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{mark}')" + (r" AND NOT regexp_matches(text, '\bvol\.')" if name in R.NOT_WITH_VOLUME else "") + f" THEN '{name}'" for name, mark in R.KINDS) + " ELSE '' END"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from proofmill.functions import references, scalars, texts
+from proofmill.functions import scalars, texts
 from proofmill.operators import dataset, edits, hunks, ordered, scoring
 from proofmill.plans import dataset as dataset_plans
 from proofmill.streaming import claims
@@ -129,18 +129,6 @@ def test_order_and_numbers(spark):
     assert [(r.n, r.expected) for r in ordered.misnumbered(cited, "paper", "n", "pos").orderBy("expected").collect()] == [(3, 2), (2, 3), (1, 4), (4, 5)]
 
 
-@pytest.mark.parametrize("text, want", [
-    ("A. Alpha, “On beams,” Phys. Rev., Vol. 5, p. 3-9, 1999. doi: 10.1/x.", "A. Alpha, “On beams”, Phys. Rev., vol. 5, pp. 3-9, 1999. doi: 10.1/x."),
-    ("A. Alpha, “T”, J. X, vol. 1, 2001. https://doi.org/10.1103/ab.", "A. Alpha, “T”, J. X, vol. 1, 2001. doi:10.1103/ab"),
-    ("Smith et. al, “T”, May, May 1996", "Smith et al., “T”, May 1996."),
-    ("Austin, Texas, USA, Sept. 2020.", "Austin, TX, USA, Sep. 2020."),
-])
-def test_fixed_references(spark, text, want):
-    if "doi: 10.1/x" in text:
-        want = want.replace("doi: 10.1/x.", "doi:10.1/x")
-    assert one(spark, references.fixed(F.lit(text))) == want
-
-
 def test_small_functions(spark):
     assert one(spark, scalars.clean_doi(F.lit("https://doi.org/10.1/a(b)c).,"))) == "10.1/a(b)c"
     assert one(spark, scalars.citation_range(F.lit("1, 3-5; x, 9 – 8"))) == [1, 3, 4, 5]
