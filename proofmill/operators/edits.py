@@ -13,7 +13,7 @@ edits, places, lines) runs within blocks, on top of a carry from one row per blo
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -44,34 +44,38 @@ def well_formed(edits: DataFrame) -> DataFrame:
     return edits.withColumn("fault", fault)
 
 
-def scanned(sources: DataFrame, scan, fields: str) -> DataFrame:
+def scanned(sources: DataFrame, scan: Callable[[str], Iterator[tuple]], fields: str) -> DataFrame:
     """(file, ``fields``) of the rows that ``scan`` yields for each text; null texts have none."""
-    kind = sources.schema["file"].dataType
-    schema = T.StructType([T.StructField("file", kind), *T.StructType.fromDDL(fields).fields])
+    return scanned_pairs(sources.select("file", "text"), scan, fields)
+
+
+def scanned_pairs(rows: DataFrame, scan: Callable[..., Iterator[tuple]], fields: str) -> DataFrame:
+    """The first column of ``rows``, and ``fields`` of the rows that ``scan`` yields for the others; a null among them has none."""
+    schema = T.StructType([rows.schema.fields[0], *T.StructType.fromDDL(fields).fields])
     arrow = [{"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[tuple] = []
         own = None
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [own, *arrow], strict=True)], names=schema.names)
-            rows.clear()
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [own, *arrow], strict=True)], names=schema.names)
+            held.clear()
             return out
 
         for b in batches:
             own = b.column(0).type
-            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text is None:
+            for key, *given in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if any(x is None for x in given):
                     continue
-                for row in scan(text):
-                    rows.append((file, *row))
-                    if len(rows) >= ROWS:
+                for row in scan(*given):
+                    held.append((key, *row))
+                    if len(held) >= ROWS:
                         yield batch()
-        if rows:
+        if held:
             yield batch()
 
-    return sources.select("file", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _blocks_of(text: str) -> Iterator[tuple]:

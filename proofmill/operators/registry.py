@@ -7,24 +7,24 @@ Candidates come from an equi-join on a blocking key; scores stay columns.
 
 from __future__ import annotations
 
-import unicodedata
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from proofmill.operators.align import likeness
+
 
 @F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Without accents, in lower case; Spark has no decomposition of its own."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+    apart = texts.str.normalize("NFKD").str.lower()
+    return apart.str.replace("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]", "", regex=True)
 
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How alike two sequences of tokens are, as text."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    """How alike two titles are as sequences of letters, by their longest common subsequence."""
+    return pd.Series([likeness(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def tokens(c: Column) -> Column:
@@ -37,7 +37,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """The better of token overlap and sequence ratio of two titles, markup and accents aside; 0 without tokens."""
+    """The better of token overlap and letters in common order of two titles, markup and accents aside; 0 without tokens."""
     x, y = tokens(folded(a)), tokens(folded(b))
     return F.greatest(overlap(x, y), ratio(F.array_join(x, " "), F.array_join(y, " ")))
 
