@@ -83,7 +83,8 @@ def citations(c: Column) -> Column:
 
 def bibitems(c: Column) -> Column:
     """(key, body) of each entry of the list of references, in order."""
-    parts = F.slice(F.split(F.element_at(F.split(X.text(c), r"\\end\{thebibliography\}"), 1), r"\\bibitem"), 2, 1_000_000)
+    parts = F.split(F.element_at(F.split(X.text(c), r"\\end\{thebibliography\}"), 1), r"\\bibitem")
+    parts = F.slice(parts, 2, F.size(parts))
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), X.norm(F.regexp_replace(p, r"^(?:\[[^\]]*\])?\{[^}]*\}", "")).alias("body")))
 
 

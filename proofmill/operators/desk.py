@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from proofmill.functions import texts as X
 
@@ -76,23 +79,38 @@ def holders(claims: DataFrame, assignments: DataFrame) -> DataFrame:
 def carry_over(decided: DataFrame, after: DataFrame) -> DataFrame:
     """(paper, old_id, new_id, how): where the decisions on old edits go.
 
-    Both sides: paper, id, file, check_id, before, after, left, right.  An equal
-    fingerprint of all six fields pairs the nth old with the nth new id; what is
-    left pairs by the first four where just one new id is left for the fields and
-    the old id is the first to ask.  The rest is dropped.
+    Both sides: paper, id, file, check_id, before, after, left, right.  Old ids ask in
+    their order: each takes the first free new id whose six fields are equal, else
+    the one free new id with its first four fields, if there is just one at that
+    moment, though a later old id would take it exactly; else it is dropped.  What
+    shares the four fields streams through a task together, new ids first; they are the
+    copies of one edit in a paper.
     """
-    exact, near = ["file", "check_id", "before", "after", "left", "right"], ["file", "check_id", "before", "after"]
-
-    def nth(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("_n", F.row_number().over(W.partitionBy("paper", *exact).orderBy("id"))).withColumnRenamed("id", name)
-
-    old, new = nth(decided, "old_id"), nth(after, "new_id")
-    paired = old.join(new, ["paper", *exact, "_n"]).select("paper", "old_id", "new_id", F.lit("exact").alias("how"))
-    free = new.join(paired, ["paper", "new_id"], "left_anti").groupBy("paper", *near).agg(F.count(F.lit(1)).alias("m"), F.min("new_id").alias("new_id"))
-    asking = old.join(paired, ["paper", "old_id"], "left_anti").groupBy("paper", *near).agg(F.min("old_id").alias("old_id"))
-    loose = asking.join(free.filter("m = 1"), ["paper", *near]).select("paper", "old_id", "new_id", F.lit("near").alias("how"))
-    found = paired.unionByName(loose)
-    return decided.select("paper", F.col("id").alias("old_id")).join(found, ["paper", "old_id"], "left").withColumn("how", F.coalesce("how", F.lit("dropped")))
+    near, fine = ["paper", "file", "check_id", "before", "after"], ["left", "right"]
+    side = lambda df, n: df.select(*near, F.lit(n).alias("side"), "id", *fine)
+    both = side(after, 0).unionByName(side(decided, 1)).repartition(*near).sortWithinPartitions(*near, "side", "id")
+    schema = T.StructType([both.schema["paper"], T.StructField("old_id", both.schema["id"].dataType), T.StructField("new_id", both.schema["id"].dataType), T.StructField("how", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = None, {}
+        for b in batches:
+            rows = []
+            for *key, which, own, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
+                    now, free = key, {}
+                if which == 0:
+                    free[own] = (left, right)
+                    continue
+                took = next((n for n, x in free.items() if x == (left, right)), None)
+                how = "dropped" if took is None else "exact"
+                if took is None and len(free) == 1:
+                    took, how = next(iter(free)), "near"
+                free.pop(took, None)
+                rows.append((key[0], own, took, how))
+            kinds = [b.column(0).type, b.column(6).type, b.column(6).type, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=schema.names)
+
+    return both.mapInArrow(run, schema)
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

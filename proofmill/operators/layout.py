@@ -54,10 +54,14 @@ def split_dois(links: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def over_limit(pages: DataFrame, limit: int) -> DataFrame:
-    """(paper, n_pages, body_pages, over): the references may run beyond the limit, the text may not.  ``pages``: paper, page, has_references."""
-    n = pages.groupBy("paper").agg(F.max("page").alias("n_pages"), F.min(F.when(F.col("has_references"), F.col("page"))).alias("refs_at"))
+    """(paper, n_pages, body_pages, over): one page beyond the limit is allowed, for references that begin within it.
+
+    Where no list of references is found, a heading on that page speaks for text.
+    ``pages``: paper, page, has_references, has_heading.
+    """
+    n = pages.groupBy("paper").agg(F.max("page").alias("n_pages"), F.min(F.when(F.col("has_references"), F.col("page"))).alias("refs_at"), F.max(F.when(F.col("has_heading"), F.col("page"))).alias("heading_at"))
     body = F.coalesce("refs_at", "n_pages")
-    return n.select("paper", "n_pages", body.alias("body_pages"), F.when(F.col("n_pages") <= limit, "").when(body <= limit, "references only").otherwise("too long").alias("over"))
+    return n.select("paper", "n_pages", body.alias("body_pages"), F.when(F.col("n_pages") <= limit, "").when(F.col("n_pages") > limit + 1, "too long").when(F.col("refs_at") <= limit, "references only").when(F.col("refs_at").isNotNull() | F.coalesce(F.col("heading_at") > limit, F.lit(False)), "too long").otherwise("references only").alias("over"))
 
 
 def rolled_up(found: DataFrame, most: int = 5) -> DataFrame:

@@ -97,18 +97,18 @@ def reference_sameness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    head = F.substring(F.coalesce("text", F.lit("")), 1, 12)
-    return docs.select("source", "doc_id", head.alias("raw"), F.when(F.length("text") % 3 == 0, head).otherwise(F.concat(head, F.lit("!"))).alias("final"))
+    whole = F.coalesce("text", F.lit(""))
+    return docs.select("source", "doc_id", whole.alias("raw"), F.when(F.length("text") % 3 == 0, whole).otherwise(F.concat(whole, F.lit("!"))).alias("final"))
 
 
-ROWS = r"""rows_ AS (SELECT source, doc_id, left(coalesce(text, ''), 12) AS raw, CASE WHEN length(text) % 3 = 0 THEN left(coalesce(text, ''), 12) ELSE left(coalesce(text, ''), 12) || '!' END AS final FROM documents),
+ROWS = r"""rows_ AS (SELECT source, doc_id, coalesce(text, '') AS raw, CASE WHEN length(text) % 3 = 0 THEN coalesce(text, '') ELSE coalesce(text, '') || '!' END AS final FROM documents),
 forms AS (SELECT *, sha256(lower(trim(regexp_replace(raw, '\s+', ' ', 'g'))) || chr(0) || lower(trim(regexp_replace(final, '\s+', ' ', 'g')))) AS fingerprint FROM rows_),
 once AS (SELECT * FROM forms QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY source, doc_id) = 1)"""
 
 
 @query(f"WITH {ROWS} SELECT * FROM once")
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of equal pairs; the first characters of documents play references, and two of three get a mark in the second revision."""
+    """The first of equal pairs; whole documents play references, and two of three get a mark in the second revision."""
     return dataset.dedupe(_rows(spark, sf_dir), ["source", "doc_id"])
 
 

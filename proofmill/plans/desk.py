@@ -81,14 +81,14 @@ def _edits(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     return items.groupBy(F.col("l_suppkey").alias("paper"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")).agg(F.max("l_partkey").alias("k")).select("paper", "id", F.lit("f").alias("file"), word("k", 3).alias("check_id"), word("k", 4).alias("before"), word("k", 5).alias("after"), word("k", 2).alias("left"), word("k", 7).alias("right"))
 
 
-@query("""WITH e AS (SELECT l_returnflag AS flag, l_suppkey AS paper, l_orderkey || '-' || l_linenumber AS id, max(l_partkey) AS k FROM lineitem GROUP BY 1, 2, 3),
-f AS (SELECT *, k % 3 || '/' || k % 4 || '/' || k % 5 AS loose, k % 3 || '/' || k % 4 || '/' || k % 5 || '/' || k % 2 || '/' || k % 7 AS fine FROM e),
-n AS (SELECT *, row_number() OVER (PARTITION BY flag, paper, fine ORDER BY id) AS n FROM f),
-x AS (SELECT o.paper, o.id AS old_id, w.id AS new_id FROM n o JOIN n w ON o.flag = 'A' AND w.flag = 'R' AND o.paper = w.paper AND o.fine = w.fine AND o.n = w.n),
-free AS (SELECT paper, loose, count(*) AS m, min(id) AS new_id FROM f WHERE flag = 'R' AND (paper, id) NOT IN (SELECT (paper, new_id) FROM x) GROUP BY 1, 2),
-ask AS (SELECT paper, loose, min(id) AS old_id FROM f WHERE flag = 'A' AND (paper, id) NOT IN (SELECT (paper, old_id) FROM x) GROUP BY 1, 2),
-y AS (SELECT paper, old_id, new_id FROM ask JOIN free USING (paper, loose) WHERE m = 1)
-SELECT f.paper, f.id AS old_id, coalesce(x.new_id, y.new_id) AS new_id, CASE WHEN x.new_id IS NOT NULL THEN 'exact' WHEN y.new_id IS NOT NULL THEN 'near' ELSE 'dropped' END AS how FROM f LEFT JOIN x ON x.paper = f.paper AND x.old_id = f.id LEFT JOIN y ON y.paper = f.paper AND y.old_id = f.id WHERE flag = 'A'""")
+@query("""WITH RECURSIVE e AS (SELECT l_returnflag AS flag, l_suppkey AS paper, l_orderkey || '-' || l_linenumber AS id, max(l_partkey) AS k FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT *, k % 3 || '/' || k % 4 || '/' || k % 5 AS loose, k % 2 || '/' || k % 7 AS fine FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY paper, loose ORDER BY id) AS n FROM f WHERE flag = 'A'),
+w AS (SELECT paper, loose, list({'id': id, 'fine': fine} ORDER BY id) AS free FROM f WHERE flag = 'R' GROUP BY 1, 2),
+h AS (SELECT o.paper, o.loose, 0::BIGINT AS n, ''::VARCHAR AS old_id, coalesce(w.free, []) AS free, NULL::VARCHAR AS new_id, ''::VARCHAR AS how FROM o LEFT JOIN w USING (paper, loose) WHERE o.n = 1
+  UNION ALL SELECT paper, loose, n, old_id, list_filter(free, lambda x: x.id IS DISTINCT FROM took), took, CASE WHEN took IS NULL THEN 'dropped' WHEN equal IS NOT NULL THEN 'exact' ELSE 'near' END
+  FROM (SELECT *, CASE WHEN equal IS NOT NULL THEN equal WHEN len(free) = 1 THEN free[1].id END AS took FROM (SELECT h.paper, h.loose, o.n, o.id AS old_id, h.free, list_filter(h.free, lambda x: x.fine = o.fine)[1].id AS equal FROM h JOIN o ON o.paper = h.paper AND o.loose = h.loose AND o.n = h.n + 1)))
+SELECT paper, old_id, new_id, how FROM h WHERE n > 0""")
 def carried_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on returned lines, carried over to refused ones."""
     return desk.carry_over(_edits(spark, sf_dir, "A"), _edits(spark, sf_dir, "R"))

@@ -53,10 +53,10 @@ def split_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.split_dois(links, lines)
 
 
-@query("""WITH n AS (SELECT l_orderkey AS paper, max(l_linenumber) AS n_pages, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) AS refs_at FROM lineitem GROUP BY 1)
-SELECT paper, n_pages, coalesce(refs_at, n_pages) AS body_pages, CASE WHEN n_pages <= 4 THEN '' WHEN coalesce(refs_at, n_pages) <= 4 THEN 'references only' ELSE 'too long' END AS over FROM n""")
+@query("""WITH n AS (SELECT l_orderkey AS paper, max(l_linenumber) AS n_pages, min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) AS refs_at, max(CASE WHEN l_linestatus = 'F' THEN l_linenumber END) AS heading_at FROM lineitem GROUP BY 1)
+SELECT paper, n_pages, coalesce(refs_at, n_pages) AS body_pages, CASE WHEN n_pages <= 4 THEN '' WHEN n_pages > 5 THEN 'too long' WHEN refs_at IS NULL AND coalesce(heading_at, 0) < 5 OR refs_at < 5 THEN 'references only' ELSE 'too long' END AS over FROM n""")
 def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.over_limit(_items(spark, sf_dir, (F.col("l_returnflag") == "A").alias("has_references")), 4)
+    return layout.over_limit(_items(spark, sf_dir, (F.col("l_returnflag") == "A").alias("has_references"), (F.col("l_linestatus") == "F").alias("has_heading")), 4)
 
 
 @query("""WITH f AS (SELECT l_orderkey AS paper, l_quantity::INT || 'MeV' AS original FROM lineitem)

@@ -55,10 +55,13 @@ def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", S.safe_filename(name).alias("name"))
 
 
-@query("""SELECT doc_id, regexp_matches(h, '[A-Za-z]') AND length(h) < 80 AND upper(regexp_replace(h, '[^A-Za-z]', '', 'g')) = regexp_replace(h, '[^A-Za-z]', '', 'g') AS heading FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(left(coalesce(text, ''), 40)) ELSE left(coalesce(text, ''), 90) END AS h FROM documents)""")
+@query("""SELECT doc_id, line, regexp_matches(h, '[A-Za-z]') AND length(h) < 80 AND upper(regexp_replace(h, '[^A-Za-z]', '', 'g')) = regexp_replace(h, '[^A-Za-z]', '', 'g') AS heading
+FROM (SELECT doc_id, i::INT - 1 AS line, CASE WHEN i % 2 = 1 THEN translate(lines[i], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE lines[i] END AS h FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))""")
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.when(F.col("doc_id") % 2 == 0, F.upper(F.substring(X.text(F.col("text")), 1, 40))).otherwise(F.substring(X.text(F.col("text")), 1, 90))
-    return table(spark, sf_dir, "documents").select("doc_id", S.looks_like_heading(h).alias("heading"))
+    """Every line of every document, every other one in capitals."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(X.text(F.col("text")), "\n")).alias("line", "h"))
+    h = F.when(F.col("line") % 2 == 0, F.translate("h", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("h"))
+    return lines.select("doc_id", "line", S.looks_like_heading(h).alias("heading"))
 
 
 @query(r"""WITH j AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'The ' || p_name || ' & <i>' || p_type || '</i>' WHEN 1 THEN 'Phys. Rev. ' || p_brand WHEN 2 THEN p_type ELSE p_name || ' - Accel., Beams' END AS name FROM part)
@@ -116,10 +119,10 @@ def line_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", S.excerpt(F.col("text"), (2 + F.col("doc_id") % 3).cast("int")).alias("lines"))
 
 
-@query(r"""SELECT doc_id, 'see (0) and 0 in text ' || t || chr(10) AS flat, t AS abstract, '\begin{document} ' || t || ' ' AS body FROM (SELECT doc_id, replace(left(coalesce(text, ''), 20), '%', '') AS t FROM documents)""")
+@query(r"""SELECT doc_id, 'see (0) and 0 in text ' || replace(t, '~', ' ') || chr(10) AS flat, t AS abstract, '\begin{document} ' || t || ' ' AS body FROM (SELECT doc_id, replace(coalesce(text, ''), '%', '') AS t FROM documents)""")
 def latex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flattened source, its abstract and its body."""
-    t = F.regexp_replace(F.substring(X.text(F.col("text")), 1, 20), "%", "")
+    t = F.regexp_replace(X.text(F.col("text")), "%", "")
     source = F.concat(F.lit("see \\eqref{a} and \\ref{b}~in text "), t, F.lit("% gone\n"))
     whole = F.concat(F.lit("\\usepackage{x}\n\\begin{abstract}"), t, F.lit("\\end{abstract}\\begin{document} "), t, F.lit(" \\printbibliography \\bibliography{x}"))
     return table(spark, sf_dir, "documents").select("doc_id", S.flat_latex(source).alias("flat"), S.abstract(whole).alias("abstract"), S.body(whole).alias("body"))

@@ -51,9 +51,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends there, so what follows survives lost executors without
-    repeating the work, and joins plan with real sizes.
+    repeating the work, and joins plan with real sizes.  The table goes when the
+    driver's process ends.
     """
-    return _written(df, f"{shared_dir(df.sparkSession)}/proofmill/{label}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(df.sparkSession)}/proofmill/{label}-{uuid.uuid4().hex}"
+    out = _written(df, path)
+    where, fs = _located(df.sparkSession, path)
+    fs.deleteOnExit(where)
+    return out
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -79,5 +89,5 @@ def scratch(spark: SparkSession) -> Iterator[tuple[Callable[[DataFrame, str], Da
         yield passing, stash
     finally:
         spark.conf.set(FILE_CLEANUP, before)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        where, fs = _located(spark, folder)
+        fs.delete(where, True)
