@@ -30,31 +30,6 @@ def initials(given: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(F.coalesce(given, F.lit("")), r"[\s.\-]+"), lambda w: w != ""), lambda w: F.upper(F.substring(w, 1, 1))), "")
 
 
-def key(family: Column) -> Column:
-    return F.lower(F.regexp_replace(family, r"[\s'’\-]", ""))
-
-
-def match_authors(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(paper, ours, theirs): names of two lists that can be one person, and those left on either side.
-
-    Both: paper, pos, name.  Family names agree and one's initials begin the
-    other's.  Within a paper and family name people pair in the order of their
-    initials and places, so no paper's list is gathered.
-    """
-
-    def side(df: DataFrame, at: str) -> DataFrame:
-        p = split_name(F.col("name"))
-        named = df.select("paper", F.col("name").alias(at), key(p["family"]).alias("family"), initials(p["given"]).alias("i"), "pos")
-        first = F.substring("i", 1, 1)
-        return named.withColumn("first", first).withColumn("n", F.row_number().over(Window.partitionBy("paper", "family", "first").orderBy("i", "pos"))).withColumnRenamed("i", f"i_{at}").drop("pos")
-
-    both = side(ours, "ours").join(side(theirs, "theirs"), ["paper", "family", "first", "n"], "full")
-    agree = F.coalesce(F.startswith("i_ours", F.col("i_theirs")) | F.startswith("i_theirs", F.col("i_ours")), F.lit(True))
-    apart = F.array(F.struct(F.col("ours").alias("ours"), F.lit(None).cast("string").alias("theirs")), F.struct(F.lit(None).cast("string").alias("ours"), F.col("theirs").alias("theirs")))
-    pair = F.array(F.struct(F.col("ours").alias("ours"), F.col("theirs").alias("theirs")))
-    return both.select("paper", F.explode(F.when(agree, pair).otherwise(apart)).alias("p")).select("paper", "p.ours", "p.theirs")
-
-
 def listed(names: Column) -> Column:
     """A list of authors as it is printed: two joined by and, three to six with commas, more as the first et al."""
     n = F.size(names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.functions import names
+from proofmill.operators import authors
 from proofmill.plans.registry import query
 from proofmill.session import table
 
@@ -28,12 +29,15 @@ def author_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("paper", names.listed(F.col("l")).alias("authors"))
 
 
-@query("""WITH o AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS k FROM lineitem WHERE l_returnflag <> 'A'), t AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS k FROM lineitem WHERE l_returnflag <> 'R')
-SELECT paper, CASE WHEN o.k IS NOT NULL THEN 'Anna Name' || k END AS ours, CASE WHEN t.k IS NOT NULL THEN 'Name' || k || ', A. B.' END AS theirs FROM o FULL JOIN t USING (paper, k)""")
+@query("""WITH o AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS k FROM lineitem WHERE l_returnflag <> 'A'), t AS (SELECT DISTINCT l_orderkey AS paper, l_suppkey AS k FROM lineitem WHERE l_returnflag <> 'R'),
+b AS (SELECT paper, k, o.k IS NOT NULL AS here, t.k IS NOT NULL AS there FROM o FULL JOIN t USING (paper, k))
+SELECT paper, CASE WHEN here THEN 'Anna Näme' || k END AS ours, CASE WHEN there THEN CASE k % 4 WHEN 0 THEN 'Name' || k || ', A. B.' WHEN 1 THEN 'A. Name' || k || ' Jr.' WHEN 2 THEN 'Anna NAME' || k ELSE 'Name' || k || ' Anna' END END AS theirs,
+  CASE WHEN here AND there THEN CASE k % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 1 END ELSE 0 END AS grade FROM b""")
 def matched_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lists of authors against each other, with what either lacks."""
+    """Two lists of authors against each other, in four spellings, with what either lacks."""
     people = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper"), F.col("l_suppkey").alias("pos"), "l_returnflag")
-    k = F.col("pos").cast("string")
-    ours = people.filter("l_returnflag <> 'A'").select("paper", "pos", F.concat(F.lit("Anna Name"), k).alias("name")).distinct()
-    theirs = people.filter("l_returnflag <> 'R'").select("paper", "pos", F.concat(F.lit("Name"), k, F.lit(", A. B.")).alias("name")).distinct()
-    return names.match_authors(ours, theirs)
+    k, n = F.col("pos").cast("string"), F.col("pos") % 4
+    ours = people.filter("l_returnflag <> 'A'").select("paper", "pos", F.concat(F.lit("Anna Näme"), k).alias("name")).distinct()
+    name = F.when(n == 0, F.concat(F.lit("Name"), k, F.lit(", A. B."))).when(n == 1, F.concat(F.lit("A. Name"), k, F.lit(" Jr."))).when(n == 2, F.concat(F.lit("Anna NAME"), k)).otherwise(F.concat(F.lit("Name"), k, F.lit(" Anna")))
+    theirs = people.filter("l_returnflag <> 'R'").select("paper", "pos", name.alias("name")).distinct()
+    return authors.match(ours, theirs)
