@@ -15,10 +15,13 @@ from __future__ import annotations
 import bisect
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from proofmill.session import spread, stash
+
 FIELDS = ["file", "start", "end", "before", "after", "check_id", "priority"]
 CONTEXT = 40
 #: Characters of a block, and of edits that blocks can hold; a longer edit meets its whole text.
@@ -75,7 +78,7 @@ def scanned_pairs(rows: DataFrame, scan: Callable[..., Iterator[tuple]], fields:
         if held:
             yield batch()
 
-    return rows.mapInArrow(run, schema)
+    return (rows if rows.isStreaming else spread(rows)).mapInArrow(run, schema)
 
 
 def _blocks_of(text: str) -> Iterator[tuple]:
@@ -175,7 +178,8 @@ def claimed(edits: DataFrame) -> DataFrame:
     """
     keys = ["file", "start", "end", "after"]
     best = edits.groupBy(*keys).agg(F.min(F.struct("priority", *[c for c in edits.columns if c not in (*keys, "priority")])).alias("best"))
-    once = best.select("file", "start", "end", "after", "best.*").select(*edits.columns)
+    # Carries read the edits twice, so what they come from is made once.
+    once = stash(best.select("file", "start", "end", "after", "best.*").select(*edits.columns), "edits")
     dealt = clustered(once).repartition("file", "cluster")
     dealt = dealt.sortWithinPartitions("file", "cluster", "priority", "start", "end", "after")
     names = [*edits.columns, "kept"]
@@ -201,7 +205,7 @@ def resolve(edits: DataFrame) -> DataFrame:
 
 def numbered(kept: DataFrame, sources: DataFrame) -> DataFrame:
     """Kept edits with ids by position in their file, their line, and 40 characters on both sides."""
-    placed = carried(kept.withColumn("block", block_of(F.col("start"))), F.count(F.lit(1)), "places")
+    placed = carried(stash(kept.withColumn("block", block_of(F.col("start"))), "kept-edits"), F.count(F.lit(1)), "places")
     place = F.coalesce("places", F.lit(0)) + F.row_number().over(W.partitionBy("file", "block").orderBy("start", "end", "after"))
     named = placed.withColumn("id", F.concat(F.lit("E"), F.when(place < 1000, F.lpad(place.cast("string"), 3, "0")).otherwise(place.cast("string")))).select(*kept.columns, "id")
     text, base, start, end = (F.col(c) for c in ("piece", "base", "start", "end"))
@@ -293,14 +297,21 @@ def pattern_edits(sources: DataFrame, pattern: str, after: str, check_id: str, p
     return sources.select("file", "text").mapInPandas(run, f"file {kind}, start int, end int, before string, after string, check_id string, priority int")
 
 
-def _words_of(text: str) -> Iterator[tuple]:
-    words, at = text.split(" "), 0
-    for i, word in enumerate(words):
-        end = at + len(word)
-        yield i, word, at, end, words[i + 1] if i + 1 < len(words) else None
-        at = end + 1
-
-
 def word_spans(sources: DataFrame) -> DataFrame:
     """(file, i, word, start, end, next) of the pieces between single spaces, each with the next one, from one scan of each text."""
-    return scanned(sources, _words_of, "i int, word string, start int, end int, next string")
+    schema = T.StructType([sources.schema["file"], *T.StructType.fromDDL("i int, word string, start int, end int, next string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                text = b.column(1)[at].as_py()
+                if text is None:
+                    continue
+                words = text.split(" ")
+                size = np.fromiter(map(len, words), np.int32, len(words))
+                end = np.cumsum(size + 1, dtype=np.int32) - 1
+                spelled = pa.array(words, pa.string())
+                then = pa.concat_arrays([spelled.slice(1), pa.nulls(1, pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[at], len(words)), pa.array(np.arange(len(words), dtype=np.int32)), spelled, pa.array(end - size), pa.array(end), then], names=schema.names)
+
+    return spread(sources.select("file", "text")).mapInArrow(run, schema)

@@ -54,13 +54,12 @@ def _sides(name: str) -> tuple[Column, Column]:
     return F.col(f"f.{name}"), F.col(f"w.{name}")
 
 
-def disagreement(likeness: Column, strict: bool = True) -> Column:
+def disagreement(likeness: Column, short: Column, strict: bool = True) -> Column:
     """Why a record isn't the one, by the first thing that speaks against it; empty if nothing does.
 
     Strict: for taking a DOI that the author didn't give.  Else: for doubting one that they gave.
     """
     (ft, wt), (fs, ws), (fy, wy), (fv, wv), (fp, wp) = map(_sides, ("title", "surname", "year", "volume", "page"))
-    short = F.size(tokens(ft)) < 4
     need = F.when(short, 0.95).otherwise(0.85) if strict else F.lit(0.5)
     titled = said(ft) & said(wt)
     out = F.when(titled & (likeness < need), "title")
@@ -86,10 +85,19 @@ def agreement(likeness: Column) -> Column:
     return 2 * point(likeness >= 0.85) + point(said(fs) & (F.lower(fs) == F.lower(ws))) + point(fy == wy) + point(said(fv) & (digits(fv) == digits(wv))) + point(said(fp) & (digits(fp) == digits(F.element_at(F.split(wp, "[-–]"), 1))))
 
 
-def compared(refs: DataFrame, works: DataFrame, keys: list[str], likeness: Column) -> DataFrame:
-    """(ref, doi, likeness, reason, doubt, points) of each pair of a reference and a record with one blocking key."""
-    both = refs.alias("f").join(works.alias("w"), [F.col(f"f.{k}") == F.col(f"w.{k}") for k in keys])
-    return both.select("f.ref", "w.doi", likeness.alias("likeness"), disagreement(likeness).alias("reason"), disagreement(likeness, strict=False).alias("doubt"), agreement(likeness).alias("points"))
+def compared(refs: DataFrame, works: DataFrame, keys: list[str]) -> DataFrame:
+    """(ref, doi, likeness, reason, doubt, points) of each pair of a reference and a record with one blocking key.
+
+    Titles become words once a row, and their likeness one column of a pair, before
+    anything is decided on it.
+    """
+    f, w = (df.withColumn("words", tokens(F.col("title"))).withColumn("set", F.array_distinct("words")) for df in (refs, works))
+    both = f.alias("f").join(w.alias("w"), [F.col(f"f.{k}") == F.col(f"w.{k}") for k in keys])
+    shared = F.size(F.array_intersect("f.set", "w.set"))
+    n, m = F.size("f.set"), F.size("w.set")
+    both = both.withColumn("shared", shared).withColumn("likeness", F.when((n > 0) & (m > 0), F.col("shared") / (n + m - F.col("shared"))).otherwise(0.0))
+    likeness, short = F.col("likeness"), F.size("f.words") < 4
+    return both.select("f.ref", "w.doi", "likeness", disagreement(likeness, short).alias("reason"), disagreement(likeness, short, strict=False).alias("doubt"), agreement(likeness).alias("points"))
 
 
 def found(pairs: DataFrame) -> DataFrame:

@@ -88,11 +88,15 @@ def papers_by_title(refs: DataFrame, works: DataFrame, with_label: float = 0.85,
     """
     named = refs.filter(F.coalesce("doi", F.lit("")) != "").join(works.select("doi"), "doi").select("ref", "doi", F.lit(1.0).alias("likeness"))
     rest = refs.join(named.select("ref"), "ref", "left_anti")
-    met = candidates(rest.select("ref", "title"), works, min(with_label, without))
-    both = met.join(rest.select("ref", "label"), "ref").join(works.select("doi", F.col("label").alias("own")), "doi")
+    # Records and references of one title and label are alike, so titles meet and not rows.
+    pairs = similar_titles(rest, works, min(with_label, without))
+    asked = rest.select(F.col("title").alias("left"), F.coalesce("label", F.lit("")).alias("label")).distinct()
+    had = works.groupBy(F.col("title").alias("right"), F.coalesce("label", F.lit("")).alias("own")).agg(F.min("doi").alias("doi"))
+    both = pairs.join(asked, "left").join(had, "right")
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     same = given("label") & given("own") & (F.col("label") == F.col("own"))
     other = given("label") & given("own") & (F.col("label") != F.col("own"))
     fits = ~other & (F.col("likeness") >= F.when(same, with_label).otherwise(without))
-    best = both.filter(fits).groupBy("ref").agg(F.min(F.struct((-F.col("likeness")).alias("order"), "doi")).alias("best"))
-    return named.unionByName(best.select("ref", "best.doi", (-F.col("best.order")).alias("likeness")))
+    best = both.filter(fits).groupBy("left", "label").agg(F.min(F.struct((-F.col("likeness")).alias("order"), "doi")).alias("best"))
+    found = rest.select("ref", F.col("title").alias("left"), F.coalesce("label", F.lit("")).alias("label")).join(best, ["left", "label"])
+    return named.unionByName(found.select("ref", "best.doi", (-F.col("best.order")).alias("likeness")))

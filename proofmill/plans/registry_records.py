@@ -28,8 +28,7 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    likeness = R.overlap(R.tokens(F.col("f.title")), R.tokens(F.col("w.title")))
-    return R.compared(refs(spark, sf_dir), works(spark, sf_dir), ["p_brand", "p_name"], likeness)
+    return R.compared(refs(spark, sf_dir), works(spark, sf_dir), ["p_brand", "p_name"])
 
 
 PAIRS = """f AS (SELECT p_partkey AS ref, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_name || ' ' || p_type || ' of the beam line' END AS title, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS surname, CASE WHEN p_partkey % 5 > 0 THEN 1990 + p_size % 9 END AS year, CASE WHEN p_partkey % 3 > 0 THEN (p_size % 4)::VARCHAR END AS volume, CASE WHEN p_partkey % 4 > 0 THEN (p_partkey % 6)::VARCHAR END AS page, CASE WHEN p_partkey % 8 = 0 THEN 'Proc. X' WHEN p_partkey % 11 = 0 THEN '' ELSE 'Phys. Rev.' END AS container, CASE WHEN p_partkey % 8 = 0 THEN 'conference' ELSE 'journal' END AS kind, p_brand, p_name FROM part),

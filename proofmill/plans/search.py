@@ -25,10 +25,10 @@ c AS (SELECT ref, doi, count(*) AS n FROM (SELECT ref, unnest(a) AS t FROM fw) J
 alike AS (SELECT ref, doi, n / (len(a) + len(b) - n) AS likeness FROM c JOIN fw USING (ref) JOIN ww USING (doi) WHERE n * 1000 >= 800 * (len(a) + len(b) - n))"""
 
 
-@query(f"WITH {ALIKE} SELECT ref, doi, likeness FROM alike")
+@query(f"WITH {ALIKE} SELECT DISTINCT f.title AS \"left\", w.title AS \"right\", likeness FROM alike JOIN f USING (ref) JOIN w USING (doi)")
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References and records whose titles share four fifths of their words."""
-    return search.candidates(refs(spark, sf_dir), works(spark, sf_dir), 0.8)
+    """Titles of references and of records that share four fifths of their words."""
+    return search.similar_titles(refs(spark, sf_dir), works(spark, sf_dir), 0.8)
 
 
 @query(f"""WITH {ALIKE}, l AS (SELECT ref, CASE WHEN ref % 3 > 0 THEN 'IPAC' || ref % 4 ELSE '' END AS label, CASE WHEN ref % 10 = 0 THEN '10.1/' || ref END AS doi FROM f), o AS (SELECT doi, CASE WHEN length(doi) % 2 = 0 THEN 'IPAC' || right(doi, 1)::INT % 4 ELSE '' END AS own FROM w),
