@@ -45,7 +45,7 @@ FIXED_ENDS = [
     "2019. doi:10.48550/arXiv.2001.01234",
     "https://example.org/a",
     "Ph.D. thesis, Houston, TX, USA, May 1996, unpublished.",
-    "code. https://x.org/y. doi:10.48550/arXiv.2101.00001",
+    "code, https://x.org/y. doi:10.48550/arXiv.2101.00001",
     "Nucl. Instrum. Methods, to be published \\emph.",
     "Rep. 12, p. 123456, Jan. 3, 2020, presented at LINAC’18. doi:10.1000/abc",
 ]
