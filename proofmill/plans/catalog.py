@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import corpus
-from proofmill.plans import bib, dataset, deliveries, desk, edits, journals, latex, latex_text, layout, names, papers, parsing, protected, references, registry_records, review, scalars, scoring, search  # noqa: F401  they register their queries
+from proofmill.plans import bib, conferences, dataset, deliveries, desk, edits, journals, latex, latex_text, layout, names, papers, parsing, protected, references, registry_records, review, scalars, scoring, search  # noqa: F401  they register their queries
 from proofmill.plans.registry import QUERIES, SQL
 from proofmill.session import table
 
