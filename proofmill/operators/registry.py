@@ -1,7 +1,8 @@
 """References against records of a registry: which record is meant, which might be, and where the two disagree.
 
-References: ref, title, surname, year, volume, page, container, kind.  Records: doi,
-title, surname, year, volume, page, type.  Empty or null fields say nothing.
+References: ref, title, surname, year, volume, page, container, kind, and publisher, if there
+is one.  Records: doi, title, surname, year, volume, page, type, and, if they are there,
+surnames (all authors), container and publisher.  Empty or null fields say nothing.
 Candidates come from an equi-join on a blocking key; scores stay columns.
 """
 
@@ -54,7 +55,44 @@ def _sides(name: str) -> tuple[Column, Column]:
     return F.col(f"f.{name}"), F.col(f"w.{name}")
 
 
-def disagreement(likeness: Column, short: Column, strict: bool = True) -> Column:
+# Words of containers, and what records call their types.
+MEETINGS = ["proc", "proceedings", "conference", "conf", "workshop", "symposium", "meeting"]
+PERIODICALS = ["Rev", "J", "Lett", "Phys", "Sci", "Instrum", "Instr", "Nucl", "Commun", "Trans", "Journal", "Letters", "Review"]
+PAPER_TYPES = ["proceedings-article", "ConferencePaper"]
+BOOK_TYPES = ["book", "monograph", "edited-book", "reference-book", "Book", ""]
+CHAPTER_TYPES = ["book-chapter", "BookChapter"]
+LOOSE_TYPES = ["report", "posted-content", "dataset", "Report", "Preprint", "Dataset", "Software"]
+
+
+def _holds(c: Column, words: list[str], flags: str = "") -> Column:
+    return c.rlike(rf"{flags}\b({'|'.join(words)})\b")
+
+
+def other_author(extra: set[str]) -> Column:
+    """Whether no author of the record has the reference's surname; one of several words has each of them."""
+    fs, ws = _sides("surname")
+    if "w.surnames" not in extra:
+        return said(fs) & said(ws) & (F.lower(fs) != F.lower(ws))
+    mine = F.col("f.folded")
+    return said(fs) & (F.size("w.folded") > 0) & ~F.exists("w.folded", lambda s: (s == mine) | F.array_contains(F.split(s, " "), mine))
+
+
+def other_kind(extra: set[str]) -> Column:
+    """Whether the record is another kind of work: an article and a paper of one title are two, a book is no article."""
+    kind, kept, made = F.coalesce("f.kind", F.lit("")), F.coalesce("f.container", F.lit("")), F.coalesce("w.type", F.lit(""))
+    met = _holds(kept, MEETINGS, "(?i)")
+    held = _holds(F.coalesce("w.container", F.lit("")), MEETINGS, "(?i)") if "w.container" in extra else F.lit(False)
+    article = kind.isin("journal", "accepted") | ((kept != "") & ~met & (said(F.col("f.volume")) | _holds(kept, PERIODICALS)))
+    paper = kind.startswith("conference") | met
+    out = (article & (made.isin(PAPER_TYPES) | held)) | (paper & (((made == "journal-article") & ~held) | made.isin(LOOSE_TYPES)))
+    out = out | ((kind == "book") & ~made.isin(BOOK_TYPES)) | ((kind == "book_chapter") & ~made.isin(BOOK_TYPES + CHAPTER_TYPES))
+    if {"f.publisher", "w.publisher"} <= extra:
+        ours, theirs = _sides("publisher")
+        out = out | (said(ours) & said(theirs) & ~F.contains(F.lower(theirs), F.lower(F.get(F.split(F.trim(ours), r"\s+"), F.lit(0)))))
+    return out
+
+
+def disagreement(likeness: Column, short: Column, strict: bool = True, extra: set[str] = frozenset()) -> Column:
     """Why a record isn't the one, by the first thing that speaks against it; empty if nothing does.
 
     Strict: for taking a DOI that the author didn't give.  Else: for doubting one that they gave.
@@ -67,14 +105,12 @@ def disagreement(likeness: Column, short: Column, strict: bool = True) -> Column
         thin = ~(said(fy) | said(F.col("f.container")) | said(fv))
         out = F.when(thin, "too little to check").when(~said(ft) & ~(said(wv) & said(wp)), "record without pages").when(titled & (likeness < need), "title")
         out = out.when(~titled & ~(said(fv) & said(fp) & said(fs) & said(fy)), "too little to be sure")
-    other_author = said(fs) & said(ws) & (F.lower(fs) != F.lower(ws))
-    out = out.when(other_author if strict else other_author & ~said(ft), "author")
+    out = out.when(other_author(extra) if strict else other_author(extra) & ~said(ft), "author")
     out = out.when(said(fy) & said(wy) & (F.abs(fy - wy) > 1), "year")
     out = out.when(said(fv) & said(wv) & (digits(fv) != digits(wv)), "volume")
     out = out.when(said(fp) & said(wp) & (digits(fp) != digits(F.element_at(F.split(wp, "[-–]"), 1))), "page")
     if strict:
-        proceedings = F.col("f.container").rlike(r"(?i)\b(proc|proceedings|conf|conference|workshop|symposium|meeting)\b")
-        out = out.when(proceedings & (F.col("w.type") == "journal-article"), "kind").when((F.col("f.kind") == "journal") & (F.col("w.type") == "proceedings-article"), "kind")
+        out = out.when(other_kind(extra), "kind")
     return out.otherwise("")
 
 
@@ -92,12 +128,16 @@ def compared(refs: DataFrame, works: DataFrame, keys: list[str]) -> DataFrame:
     anything is decided on it.
     """
     f, w = (df.withColumn("words", tokens(F.col("title"))).withColumn("set", F.array_distinct("words")) for df in (refs, works))
+    extra = {f"{side}.{c}" for side, df in (("f", refs), ("w", works)) for c in df.columns}
+    if "surnames" in works.columns:
+        f = f.withColumn("folded", folded(F.coalesce("surname", F.lit(""))))
+        w = w.withColumn("folded", F.filter(F.split(folded(F.array_join(F.coalesce("surnames", F.array().cast("array<string>")), "\n")), "\n"), lambda s: s != ""))
     both = f.alias("f").join(w.alias("w"), [F.col(f"f.{k}") == F.col(f"w.{k}") for k in keys])
     shared = F.size(F.array_intersect("f.set", "w.set"))
     n, m = F.size("f.set"), F.size("w.set")
     both = both.withColumn("shared", shared).withColumn("likeness", F.when((n > 0) & (m > 0), F.col("shared") / (n + m - F.col("shared"))).otherwise(0.0))
     likeness, short = F.col("likeness"), F.size("f.words") < 4
-    return both.select("f.ref", "w.doi", "likeness", disagreement(likeness, short).alias("reason"), disagreement(likeness, short, strict=False).alias("doubt"), agreement(likeness).alias("points"))
+    return both.select("f.ref", "w.doi", "likeness", disagreement(likeness, short, extra=extra).alias("reason"), disagreement(likeness, short, False, extra).alias("doubt"), agreement(likeness).alias("points"))
 
 
 def found(pairs: DataFrame) -> DataFrame:
