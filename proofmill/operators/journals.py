@@ -197,3 +197,15 @@ def resolved(names: DataFrame, journals: DataFrame, variants: DataFrame | None =
     choices = F.coalesce(*steps, F.array("written"))
     one = F.size("choices") == 1
     return whole.select("name", step.alias("step"), choices.alias("choices")).select("name", F.when(one, F.get("choices", F.lit(0))).alias("short"), F.when(one, F.col("step")).otherwise("tie").alias("how"), "choices")
+
+
+def issues(fields: DataFrame, journals: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """(ref, start, end, before, put, how): journals of references that aren't written as the list has them.
+
+    ``fields``: as ``parsing.parsed`` gives them, with the span of each value in its
+    reference.  ``put`` is null where nothing or more than one form is known, and the issue is a report.
+    """
+    own = fields.filter((F.col("field") == "journal") & F.col("start").isNotNull()).select("ref", "start", "end", F.col("value").alias("name"))
+    known = resolved(own.select("name"), journals, variants)
+    met = own.join(known, "name").withColumn("put", F.when(~F.col("how").isin("tie", "as written"), F.col("short")))
+    return met.filter("put IS NULL OR put <> name").select("ref", "start", "end", F.col("name").alias("before"), "put", "how")

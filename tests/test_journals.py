@@ -86,3 +86,11 @@ def test_by_words_are_all_pairs(spark):
             want[x] = sorted(by[min(by)])
     got = {r.asked: list(r.shorts) for r in J.by_words(grid, rows).collect()}
     assert got == want and len(want) > 20
+
+
+def test_issues_put_what_is_known_and_report_the_rest(spark):
+    journals = spark.createDataFrame(LIST, "full string, short string")
+    names = ["Phys. Rev. Lett.", "Physical Review Letters", "J. Ph.", "Zygote", None]
+    fields = spark.createDataFrame([(i, "journal", "journal", n, 5, 5 + len(n or "")) for i, n in enumerate(names)] + [(9, "book", "title", "Physical Review Letters", 0, 23)], "ref int, category string, field string, value string, start int, end int")
+    got = sorted((r.ref, r.start, r.end, r.before, r.put or "", r.how) for r in J.issues(fields, journals).collect())
+    assert got == [(1, 5, 28, "Physical Review Letters", "Phys. Rev. Lett.", "listed"), (2, 5, 11, "J. Ph.", "", "tie"), (3, 5, 11, "Zygote", "", "as written")]
