@@ -30,6 +30,10 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = ["p_brand", "p_name"]
 
 
+def class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.compared_classes(refs(spark, sf_dir), works(spark, sf_dir), KEYS)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.compared(refs(spark, sf_dir), works(spark, sf_dir), ["p_brand", "p_name"])
 
@@ -58,8 +62,8 @@ def records_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAIRS} SELECT ref, place::INT AS place, doi, points FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY points DESC, likeness DESC, doi) AS place FROM pairs WHERE likeness >= 0.75 AND points >= 3 AND ref NOT IN (SELECT ref FROM found)) WHERE place <= 3""")
 def possible_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
-    return R.possible(p, R.found(p))
+    p = class_pairs(spark, sf_dir)
+    return R.possible_in_classes(p, R.found_in_classes(p))
 
 
 @query(f"""WITH {PAIRS}, given AS (SELECT ref, '10.1/' || CASE ref % 4 WHEN 0 THEN ref + 1 WHEN 1 THEN ref * 100000 ELSE ref END AS doi FROM f)
