@@ -57,7 +57,7 @@ def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT * FROM found")
 def records_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.found(pairs(spark, sf_dir))
+    return R.found_in_classes(class_pairs(spark, sf_dir))
 
 
 @query(f"""WITH {PAIRS} SELECT ref, place::INT AS place, doi, points FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY points DESC, likeness DESC, doi) AS place FROM pairs WHERE likeness >= 0.75 AND points >= 3 AND ref NOT IN (SELECT ref FROM found)) WHERE place <= 3""")
