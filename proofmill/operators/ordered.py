@@ -55,10 +55,10 @@ def unanimous(rows: DataFrame, key: str, value: str, least: int = 3) -> DataFram
 
 
 def reordered(listed: DataFrame, cited: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item, pos, place, moved): where each listed item belongs, cited ones in order of citation, then the rest as listed.  ``listed``: key, item, pos; ``cited``: key, item, rank."""
+    """(key, item, pos, place, moved): where each listed item belongs, cited ones in order of citation, then the rest as listed; items of one place go by their own order.  ``listed``: key, item, pos; ``cited``: key, item, rank."""
     both = listed.join(cited, [key, item], "left")
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("rank").asc_nulls_last(), "pos"))
-    now = F.row_number().over(W.partitionBy(key).orderBy("pos"))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("rank").asc_nulls_last(), "pos", item))
+    now = F.row_number().over(W.partitionBy(key).orderBy("pos", item))
     return both.select(key, item, "pos", place.alias("place"), (place != now).alias("moved"))
 
 
