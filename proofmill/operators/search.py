@@ -33,15 +33,16 @@ def near_spellings(left: DataFrame, right: DataFrame, word: str = "word") -> Dat
     """(left, right): the pairs of distinct words of both sides that are one slip apart."""
     a = _distinct(left, word, "left").withColumn("key", F.explode(slip_keys(F.col("left"))))
     b = _distinct(right, word, "right").withColumn("key", F.explode(slip_keys(F.col("right"))))
-    met = a.join(b, "key").filter(F.abs(F.length("left") - F.length("right")) <= 1).filter(F.col("left") != F.col("right")).select("left", "right").distinct()
+    # Words have many keys, which the planner's sizes don't count: neither side may be broadcast.
+    met = a.join(b.hint("merge"), "key").filter(F.abs(F.length("left") - F.length("right")) <= 1).filter(F.col("left") != F.col("right")).select("left", "right").distinct()
     return met.filter(S.one_slip(F.col("left"), F.col("right")))
 
 
 def near_records(refs: DataFrame, works: DataFrame, doi: str = "doi") -> DataFrame:
     """(ref, doi, found): for each reference whose DOI no record has, the records whose DOI is one slip away."""
-    lost = refs.join(works.select(F.col(doi)), doi, "left_anti")
+    lost = refs.join(works.select(F.col(doi)).hint("merge"), doi, "left_anti")
     pairs = near_spellings(lost, works, doi)
-    return lost.select("ref", F.col(doi).alias("left")).join(pairs, "left").select("ref", F.col("left").alias("doi"), F.col("right").alias("found"))
+    return lost.select("ref", F.col(doi).alias("left")).join(pairs.hint("merge"), "left").select("ref", F.col("left").alias("doi"), F.col("right").alias("found"))
 
 
 def _least_shared(n: Column, least: float) -> Column:
