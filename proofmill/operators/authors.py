@@ -15,6 +15,7 @@ are listed.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,62 +98,70 @@ def assign(grades: list[list[int]]) -> list[int]:
     return out
 
 
-def _within_families(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    side = lambda df, n: df.select("paper", "family", F.lit(n).alias("side"), F.col("pos").cast("long").alias("pos"), "name", "given", "initials", "all_given")
-    both = side(ours, 0).unionByName(side(theirs, 1)).repartition("paper", "family").sortWithinPartitions("paper", "family", "side", "pos", "name")
-    whole = T.LongType()
-    schema = T.StructType([both.schema["paper"], *[T.StructField(n, k) for n, k in (("ours", T.StringType()), ("our_pos", whole), ("theirs", T.StringType()), ("their_pos", whole), ("grade", T.IntegerType()))]])
+def swapped(ours: list[tuple], theirs: list[tuple]) -> Iterator[tuple]:
+    """(ours, theirs, grade) of names (pos, name, family, all_given) without a partner: those whose fields are turned, the nth with the nth, and those alone."""
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    waiting: dict[tuple[str, str], deque[str]] = {}
+    for _, name, family, given in sorted(theirs, key=order):
+        if given == "":
+            yield None, name, 0
+        else:
+            waiting.setdefault((given, family), deque()).append(name)
+    for _, name, family, given in sorted(ours, key=order):
+        other = waiting.get((family, given))
+        yield (name, other.popleft(), SWAPPED) if other else (name, None, 0)
+    yield from ((None, name, 0) for names in waiting.values() for name in names)
+
+
+def match(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(paper, ours, theirs, grade) of both lists (paper, pos, name): who is who, and who is in one list alone.
+
+    Names are folded once and dealt once, by paper.  They stream in order of families;
+    a task holds a family, and of one paper the names that no family settled.
+    """
+    side = lambda df, n: named(df).select("paper", "family", F.lit(n).alias("side"), F.col("pos").cast("long").alias("pos"), "name", "given", "initials", "all_given")
+    both = side(ours, 0).unionByName(side(theirs, 1)).repartition("paper").sortWithinPartitions("paper", "family", "side", "pos", "name")
+    schema = T.StructType([both.schema["paper"], *T.StructType.fromDDL("ours string, theirs string, grade int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides, kind, out = None, ([], []), None, []
+        now, sides, alone, kind, out = None, ([], []), ([], []), None, []
 
         def settle() -> None:
-            a, b = sides
-            if a and b:
-                taken = assign([[grade(*x[2:], *y[2:]) for y in b] for x in a])
-            else:
-                taken = [-1] * len(a)
+            (paper, family), (a, b) = now, sides
+            taken = assign([[grade(*x[2:], *y[2:]) for y in b] for x in a]) if a and b else [-1] * len(a)
             for x, j in zip(a, taken, strict=True):
-                y = b[j] if j >= 0 else (None, None)
-                out.append((now[0], x[1], x[0], y[1], y[0], grade(*x[2:], *y[2:]) if j >= 0 else 0))
-            out.extend((now[0], None, None, y[1], y[0], 0) for j, y in enumerate(b) if j not in taken)
+                if j < 0:
+                    alone[0].append((x[0], x[1], family, x[4]))
+                else:
+                    out.append((paper, x[1], b[j][1], grade(*x[2:], *b[j][2:])))
+            held = set(taken)
+            alone[1].extend((y[0], y[1], family, y[4]) for j, y in enumerate(b) if j not in held)
+
+        def close() -> None:
+            # No paper is no paper in common.
+            for part in [alone] if now[0] is not None else [(alone[0], []), ([], alone[1])]:
+                out.extend((now[0], *row) for row in swapped(*part))
 
         def batch() -> pa.RecordBatch:
-            kinds = [kind, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()]
-            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=schema.names)
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([kind, pa.string(), pa.string(), pa.int32()])], names=schema.names)
             out.clear()
             return made
 
         for b in batches:
             kind = b.column(0).type
             for paper, family, which, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (paper, family) != now:
+                if now is None or (paper, family) != now:
                     if now is not None:
                         settle()
+                        if paper != now[0]:
+                            close()
+                            alone = ([], [])
                     now, sides = (paper, family), ([], [])
                 sides[which].append(rest)
             yield batch()
         if now is not None:
             settle()
+            close()
             yield batch()
 
     return both.mapInArrow(run, schema)
-
-
-def match(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """(paper, ours, theirs, grade) of both lists (paper, pos, name): who is who, and who is in one list alone."""
-    a, b = named(ours), named(theirs)
-    first = _within_families(a, b)
-    met = first.filter("grade > 0").select("paper", "ours", "theirs", "grade")
-    alone = first.filter("grade = 0")
-    ours_left = alone.filter("ours is not null").select("paper", F.col("our_pos").alias("pos"), F.col("ours").alias("name"))
-    theirs_left = alone.filter("theirs is not null").select("paper", F.col("their_pos").alias("pos"), F.col("theirs").alias("name"))
-    # Swapped fields: the family name of one is the given name of the other, and the other way round; the nth meets the nth.
-    turned = named(theirs_left).select("paper", "pos", "name", F.col("all_given").alias("family"), F.col("family").alias("all_given"))
-    nth = F.row_number().over(N.Window.partitionBy("paper", "family", "all_given").orderBy("pos", "name"))
-    x = named(ours_left).select("paper", "name", "family", "all_given", nth.alias("n"))
-    y = turned.filter("family <> ''").select("paper", F.col("name").alias("theirs"), "family", "all_given", nth.alias("n"))
-    last = x.join(y, ["paper", "family", "all_given", "n"], "full")
-    return met.unionByName(last.select("paper", F.col("name").alias("ours"), "theirs", F.when(F.col("name").isNotNull() & F.col("theirs").isNotNull(), SWAPPED).otherwise(0).alias("grade"))).unionByName(
-        turned.filter("family = ''").select("paper", F.lit(None).cast("string").alias("ours"), F.col("name").alias("theirs"), F.lit(0).alias("grade"))
-    )

@@ -32,3 +32,13 @@ def test_lists(spark):
         (1, "A. B. Smith", None, 0), (1, "A. C. Smith", "A. C. Smith", 8), (1, "José García", "J. GARCIA", 4), (1, "Wei Zhang", "Zhang Wei", 1), (1, "J. van der Berg Jr.", "Van der Berg, John", 4),
         (1, "Anna Miller", None, 0), (1, None, "Alice Miller", 0), (2, "X. Yew", "Yew, X.", 8), (2, "X. Yew", None, 0), (3, "Lone", None, 0), (4, None, "Other", 0),
     ], key=repr)
+
+
+def test_turned_names_meet_within_their_paper_the_nth_with_the_nth(spark):
+    people = "paper int, pos int, name string"
+    ours = spark.createDataFrame([(1, 2, "Wei Chen"), (1, 1, "Wei Chen"), (2, 1, "Wei Chen"), (3, 1, "Solo"), (None, 1, "Wei Chen"), (1, 3, "Ann Lee")], people)
+    theirs = spark.createDataFrame([(1, 1, "Chen Wei"), (3, 1, "Wei Chen"), (None, 1, "Chen Wei"), (1, 2, "Ann Lee"), (4, 1, "Only")], people)
+    got = sorted(((r.paper or 0, r.ours or "", r.theirs or "", r.grade) for r in authors.match(ours, theirs).collect()))
+    assert got == [(0, "", "Chen Wei", 0), (0, "Wei Chen", "", 0), (1, "Ann Lee", "Ann Lee", 8), (1, "Wei Chen", "", 0), (1, "Wei Chen", "Chen Wei", 1), (2, "Wei Chen", "", 0), (3, "", "Wei Chen", 0), (3, "Solo", "", 0), (4, "", "Only", 0)]
+    plan = authors.match(ours, theirs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "Join" not in plan
