@@ -8,7 +8,10 @@ from pyspark.sql import Column, functions as F
 
 from proofmill.functions import vocabulary as V
 
-SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_ANY_SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACE = _ANY_SPACE + "+"
+#: White space but a plain space; printing ASCII, most of a text, fails at the first look.
+_OTHER_SPACE = rf"[\x00-\x1F\x7F-\x{{10FFFF}}&&{_ANY_SPACE}]"
 
 
 def text(c: Column) -> Column:
@@ -17,18 +20,23 @@ def text(c: Column) -> Column:
 
 def norm(c: Column) -> Column:
     """White space of any kind collapsed and trimmed; null is empty."""
-    return F.trim(F.regexp_replace(text(c), SPACE, " "))
+    return _single(F.regexp_replace(text(c), _OTHER_SPACE, " "))
+
+
+def _single(c: Column) -> Column:
+    """Plain spaces collapsed and trimmed, where there is no other white space."""
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def loose(c: Column) -> Column:
     """``norm`` with the source's own unbreakable spaces as spaces too."""
     spaced = reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit(" ")), ("~", "\\,", "\\ "), norm(c))
-    return norm(spaced)
+    return _single(spaced)
 
 
 def plain_marks(c: Column) -> Column:
     """Curly quotes, en dash and no-break space as their ASCII forms."""
-    return F.translate(text(c), "“”’–\u00a0", "\"\"'- ")
+    return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), zip("“”’–\u00a0", "\"\"'- ", strict=True), text(c))
 
 
 def dataset_form(c: Column) -> Column:
@@ -41,8 +49,9 @@ def answer_form(c: Column) -> Column:
 
 
 def shape(c: Column) -> Column:
-    """Digits as #, spaces collapsed, 60 characters at most."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.trim(text(c)), r"[0-9]+", "#"), r"\s+", " "), 1, 60)
+    """Digits as #, spaces collapsed, 60 characters at most: what 60 runs of digits, of spaces or other characters become."""
+    front = F.regexp_extract(F.trim(text(c)), r"^(?:[0-9]++|\s++|[^0-9\s]){0,60}", 0)
+    return F.regexp_replace(F.regexp_replace(front, r"[0-9]+", "#"), r"\s+", " ")
 
 
 def signature(before: Column, after: Column) -> Column:
@@ -50,7 +59,7 @@ def signature(before: Column, after: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.size(F.filter(F.split(norm(c), " "), lambda w: w != ""))
+    return F.size(F.array_remove(F.split(norm(c), " "), ""))
 
 
 def hunk_words(before: Column, after: Column) -> Column:
