@@ -29,7 +29,8 @@ def judge(proposals: DataFrame, hunks: DataFrame) -> DataFrame:
     and that before a contradiction; strict spacing comes before loose; then the
     lowest hunk.  A proposal with under two characters on both sides matches
     nothing.  Papers meet by an equi-join and the best match of a proposal is a
-    partial minimum, so that no paper's pairs are gathered.  Null texts are empty.
+    partial minimum, so that no paper's pairs are gathered.  Hunks of a paper with equal
+    texts meet a proposal once, as the lowest of them.  Null texts are empty.
     """
     levels = []
     for form, label in (("norm", ""), ("loose", "near ")):
@@ -44,7 +45,9 @@ def judge(proposals: DataFrame, hunks: DataFrame) -> DataFrame:
             found = F.struct(F.lit(rank).alias("rank"), F.col("h.idx").alias("hunk"), F.lit(how).alias("how"))
             best = F.when(holds, found) if best is None else best.when(holds, found)
     p = _formed(proposals, "pid").filter((F.length("before_norm") >= LEAST_ANCHOR) | (F.length("after_norm") >= LEAST_ANCHOR))
-    h = _formed(hunks, "idx", X.is_large(F.col("before"), F.col("after")).alias("large"))
+    # Dealt by paper before equal texts are found, so that the join needs no further shuffle.
+    texts = hunks.select("paper", "idx", *(X.text(F.col(c)).alias(c) for c in ("before", "after"))).repartition("paper")
+    h = _formed(texts.groupBy("paper", "before", "after").agg(F.min("idx").alias("idx")), "idx", X.is_large(F.col("before"), F.col("after")).alias("large"))
     met = p.alias("p").join(h.alias("h"), F.col("p.paper") == F.col("h.paper"))
     met = met.select(F.col("p.paper").alias("paper"), F.col("p.pid").alias("pid"), best.alias("best"), F.substring("h.after_norm", 1, 120).alias("put")).filter("best is not null")
     won = met.groupBy("paper", "pid").agg(F.min(F.struct("best", "put")).alias("won"))

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofmill.functions import texts as X
 from proofmill.operators import dataset, hunks, scoring
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.plans.scoring import judged_once
+from proofmill.session import spread, stash, table
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two revisions of each document: lines are paragraphs, and the second has ties, a changed word, and a paragraph less."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     before = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     after = F.regexp_replace(F.regexp_replace(before, r" of ", " of~"), r"\bthe ", "The ")
     after = F.regexp_replace(after, r"\n\n[^\n]{1,30}\n\n", "\n\n")
@@ -36,11 +37,10 @@ def hunk_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ties proposed after of, scored by zone against the hunks of real alignments."""
     pairs = revisions(spark, sf_dir)
-    found = hunks.hunks(pairs)
+    found = stash(hunks.hunks(pairs), "hunks")
     words = pairs.select("paper", F.posexplode(F.regexp_extract_all("before", F.lit(r"of [a-z]+"), F.lit(0))).alias("pid", "before"))
     proposals = words.select("paper", "pid", F.lit("FMT-UNIT-01").alias("check_id"), F.lit("auto").alias("tier"), "before", F.replace("before", F.lit(" "), F.lit("~")).alias("after"))
-    judged = scoring.judge(proposals, found)
-    return scoring.by_zone(judged, scoring.explained(judged, found))
+    return scoring.by_zone(*judged_once(proposals, found))
 
 
 @query(r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS unit, p AS paragraph FROM (

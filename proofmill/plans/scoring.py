@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from proofmill.functions import vocabulary as V
 from proofmill.operators import scoring
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.session import stash, table
 
 CHECKS = ["FMT-UNIT-01", "CITE-SPACE-01", "FMT-TITLE-02", "FIG-MISSING-01", "NEW-01", "DOI-FMT-01", "PAGE-LIMIT-01"]
 CONTEXTS = ["\\title{A beam}", "see \\cite{x}", "Fig. 3", "in the text", "\\usepackage{a}", "plain", "et al"]
@@ -100,6 +100,12 @@ def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return judged, scoring.explained(judged, hunks)
 
 
+def judged_once(proposals: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scored`` for results that read both of its tables: what was judged is written, else each of them judges all pairs."""
+    judged = stash(scoring.judge(proposals, hunks).select("paper", "check_id", "how", "hunk"), "judged")
+    return judged, scoring.explained(judged, hunks)
+
+
 BY_ZONE = f"""{HUNKS}, {CHECK_ZONES},
 ours AS (SELECT coalesce(zone, '{V.BODY}') AS zone, count(*) AS proposals, count(*) FILTER (how NOT IN ('', 'contradicted')) AS confirmed, count(*) FILTER (how = 'contradicted') AS contradicted FROM judged LEFT JOIN checks USING (check_id) GROUP BY 1),
 theirs AS (SELECT {ZONE_SQL} AS zone, count(*) AS corrections, count(*) FILTER (explained) AS explained FROM (SELECT *, context || ' ' || before || ' ' || after AS blob FROM seen) WHERE NOT large GROUP BY 1),
@@ -109,13 +115,13 @@ rated AS (SELECT *, CASE WHEN proposals > 0 THEN confirmed / proposals ELSE 0.0
 
 @query(f"WITH {BY_ZONE} SELECT * FROM rated")
 def score_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_zone(*scored(spark, sf_dir))
+    return scoring.by_zone(*judged_once(*parts(spark, sf_dir)))
 
 
 @query(f"""WITH {HUNKS} SELECT (SELECT count(*) FROM judged) AS proposals, (SELECT count(*) FROM judged WHERE how NOT IN ('', 'contradicted')) AS confirmed, (SELECT count(*) FROM judged WHERE how = 'contradicted') AS contradicted,
 (SELECT count(*) FROM judged WHERE how = '') AS unconfirmed, (SELECT count(*) FROM seen WHERE NOT large) AS corrections, (SELECT count(*) FROM seen WHERE NOT large AND explained) AS explained""")
 def score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.totals(*scored(spark, sf_dir))
+    return scoring.totals(*judged_once(*parts(spark, sf_dir)))
 
 
 @query(rf"""WITH {HUNKS} SELECT left(regexp_replace(regexp_replace(trim(before), '[0-9]+', '#', 'g'), '\s+', ' ', 'g'), 60) || ' -> ' || left(regexp_replace(regexp_replace(trim(after), '[0-9]+', '#', 'g'), '\s+', ' ', 'g'), 60) AS signature, count(*) AS n
