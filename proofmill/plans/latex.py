@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from proofmill.functions import latex as L, texts as X
 from proofmill.operators import links
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.session import spread, table
 
 PIECES = [
     ["\\documentclass[a4paper, keeplastbox]{jacow} % jacow v2.7\n", "\\documentclass[letterpaper]{jacow}\n", "\\documentclass{article}\n% JACoW 3.1\n"],
@@ -33,7 +33,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (key * (n + 3) % len(words) + 1).cast("int"))
     made = F.concat(*[F.replace(F.replace(pick(words, n), F.lit("%s"), F.col("p_name")), F.lit("%k"), key.cast("string")) for n, words in enumerate(PIECES)])
-    return table(spark, sf_dir, "part").select(key.alias("paper"), made.alias("text"))
+    return spread(table(spark, sf_dir, "part")).select(key.alias("paper"), made.alias("text"))
 
 
 def _sub(c: str, k: L.Check) -> str:
