@@ -115,8 +115,8 @@ def measured(source: str) -> Iterator[tuple[re.Match, str]]:
         yield m, right
 
 
-def unit_forms(sources: DataFrame) -> DataFrame:
-    """(file, macro, tie, thin, plain, loaded): how often a source writes measurements in each form, and whether its macros are there."""
+def unit_forms(sources: DataFrame, by: str = "file") -> DataFrame:
+    """(``by``, macro, tie, thin, plain, loaded), a row for each source: how often it writes measurements in each form, and whether its macros are there."""
 
     def scan(source: str) -> Iterator[tuple]:
         gaps = [m["gap"] for m, right in measured(source) if right]
@@ -124,7 +124,7 @@ def unit_forms(sources: DataFrame) -> DataFrame:
         tie, thin = gaps.count("~"), gaps.count("\\,")
         yield macros, tie, thin, len(gaps) - tie - thin, int(macros > 0 or _LOADED.search(source) is not None)
 
-    counts = scanned(sources, scan, "macro bigint, tie bigint, thin bigint, plain bigint, loaded int")
+    counts = scanned_pairs(sources.select(by, "text"), scan, "macro bigint, tie bigint, thin bigint, plain bigint, loaded int")
     return counts.withColumn("loaded", F.col("loaded") == 1)
 
 
@@ -133,7 +133,7 @@ def house_styles(sources: DataFrame, by: str, profiles: DataFrame | None = None)
 
     ``sources``: file, text and the column ``by``.  A row of ``profiles`` (by, style) goes first.
     """
-    counts = unit_forms(sources).join(sources.select("file", by), "file").groupBy(by).agg(F.sum("macro").alias("macro"), F.sum("tie").alias("tie"))
+    counts = unit_forms(sources, by).groupBy(by).agg(F.sum("macro").alias("macro"), F.sum("tie").alias("tie"))
     most = F.when(F.col("macro") > F.col("tie"), "macro").when(F.col("tie") > F.col("macro"), "tie").otherwise("auto")
     found = counts.select(by, most.alias("style"))
     if profiles is None:

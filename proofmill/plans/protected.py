@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import edits as E, protected
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.session import spread, table
 
 # Pieces of a source, each with its edit in the form of a tie and of a macro, or without one.
 PIECES = [
@@ -34,7 +34,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.lit(TEXT), F.lit("HEAD"), F.when(key % 2 == 0, HEAD).otherwise(""))
     text = F.replace(text, F.lit("MACRO"), F.when(key % 2 == 0, MACRO).otherwise(TIES))
     text = F.replace(F.replace(text, F.lit("NAME"), F.col("p_name")), F.lit("K"), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").select(key.alias("file"), F.col("p_brand").alias("conference"), text.alias("text"))
+    return spread(table(spark, sf_dir, "part")).select(key.alias("file"), F.col("p_brand").alias("conference"), text.alias("text"))
 
 
 SRC = f"src AS (SELECT p_partkey, p_brand, p_name, p_size, {_duck(TEXT)} AS text FROM part)"
@@ -74,9 +74,9 @@ def unit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SRC}, {STYLES} {_edits(True)}")
 def house_unit_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's edits in the style that most sources of its conference have."""
+    """Each source's edits in the style that most sources of its conference have; the styles, a row for each conference, go to the sources."""
     docs = sources(spark, sf_dir)
-    return protected.unit_edits(docs.join(protected.house_styles(docs, "conference"), "conference").select("file", "text", "style"))
+    return protected.unit_edits(docs.join(F.broadcast(protected.house_styles(docs, "conference")), "conference").select("file", "text", "style"))
 
 
 @query(f"WITH {SRC}, w AS (SELECT p_partkey, text, strpos(text, p_name) - 1 AS i, length(p_name) AS n FROM src) SELECT p_partkey AS file, i::INT AS start, (i + n)::INT AS \"end\" FROM w")
