@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofmill.functions import texts as X, vocabulary as V
+from proofmill.session import dealt
 
 ROLES = ("original", "current")
 
@@ -82,10 +83,16 @@ def to_pull(planned: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def complete(planned: DataFrame, present: DataFrame) -> DataFrame:
-    """(paper, complete): whether every planned file is there in its size."""
-    there = present.select("paper", "name", "size").distinct().withColumn("there", F.lit(True))
-    both = planned.join(there, ["paper", "name", "size"], "left")
-    return both.groupBy("paper").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("complete"))
+    """(paper, complete): whether every planned file is there in its size.
+
+    Both sides are rows of one table, dealt by paper once; a join would hold and sort each of them.
+    """
+    key = ["paper", "name", "size"]
+    sides = planned.select(*key, F.lit(True).alias("asked"), F.lit(False).alias("there"))
+    # What has no name or size is the same as nothing.
+    sides = sides.unionByName(present.select(*key, F.lit(False).alias("asked"), F.lit(True).alias("there")).dropna(subset=key))
+    files = dealt(sides, "paper").groupBy(*key).agg(F.bool_or("asked").alias("asked"), F.bool_or("there").alias("there"))
+    return files.filter("asked").groupBy("paper").agg(F.bool_and("there").alias("complete"))
 
 
 def tag_report(tagged: DataFrame) -> DataFrame:

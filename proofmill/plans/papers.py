@@ -148,7 +148,8 @@ def files_to_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PRESENT} SELECT p.paper, bool_and(q.paper IS NOT NULL) AS complete FROM planned p LEFT JOIN present q USING (paper, name, size) GROUP BY 1")
 def complete_pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers.complete(*_present(spark, sf_dir))
+    files = _files(spark, sf_dir).select("paper", "name", "size")
+    return papers.complete(files, _present(spark, sf_dir)[1])
 
 
 @query(f"""WITH {FILES} SELECT paper, CASE WHEN bool_or(ext = '.tex') THEN 'latex' WHEN bool_or(ext IN ('.docx', '.doc', '.odt', '.rtf')) THEN 'word' ELSE 'unknown' END AS format FROM files GROUP BY 1""")
