@@ -197,7 +197,9 @@ def apart(found: DataFrame) -> DataFrame:
 
 def solved(refs: DataFrame, ref: str = "ref", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(ref, text, rounds): references with all that can be replaced replaced, and the rounds that this took."""
-    now = refs.select(F.col(ref).alias("file"), F.col(text).alias("text"), F.lit(0).alias("rounds"))
+    own = refs.select(F.col(ref).alias("ref"), F.col(text).alias("text"), F.md5(F.col(text)).alias("file"))
+    # What a text becomes depends on the text alone, so equal ones are solved once, under their digest.
+    now = stash(own.filter("text IS NOT NULL").groupBy("file").agg(F.first("text").alias("text")).withColumn("rounds", F.lit(0)), "to-solve")
     done = None
     for n in range(1, rounds + 1):
         chosen = apart(kept_facts(issues(now, "file", "text")))
@@ -210,7 +212,8 @@ def solved(refs: DataFrame, ref: str = "ref", text: str = "text", rounds: int =
             break
     else:
         done = done.unionByName(now)
-    return done.select(F.col("file").alias("ref"), "text", "rounds")
+    found = own.join(done.withColumnRenamed("text", "solved"), "file", "left")
+    return found.select("ref", F.coalesce("solved", "text").alias("text"), F.coalesce("rounds", F.lit(0)).alias("rounds"))
 
 
 #: Reports by the fields that a kind's layout needs and a reference lacks.

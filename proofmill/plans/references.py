@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofmill.functions import references as R, texts as X, vocabulary as V
 from proofmill.operators import rules
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.session import spread, table
 
 AUTHORS = ["A. Alpha", "A. Alpha, et al", "A.B. Alpha & B. Beta", "A. Alpha and C. Gamma", "А. Beta"]
 TITLES = ['"%s,"', "“%s.”", "“%s”,"]
@@ -27,7 +27,7 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), n.cast("int"))
     key = F.col("p_partkey")
     title = F.replace(pick(TITLES, key % len(TITLES) + 1), F.lit("%s"), F.col("p_name"))
-    return table(spark, sf_dir, "part").select(key.alias("ref"), F.concat_ws(" ", F.concat(pick(AUTHORS, F.col("p_size") % len(AUTHORS) + 1), F.lit(",")), title, pick(ENDS, key % len(ENDS) + 1)).alias("text"))
+    return spread(table(spark, sf_dir, "part")).select(key.alias("ref"), F.concat_ws(" ", F.concat(pick(AUTHORS, F.col("p_size") % len(AUTHORS) + 1), F.lit(",")), title, pick(ENDS, key % len(ENDS) + 1)).alias("text"))
 
 
 def _list(words: list[str]) -> str:
