@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from proofmill.functions import scalars as S, texts as X
 from proofmill.operators import registry as R
+from proofmill.session import stash
 
 # Words that short forms leave out.
 MINOR = ["of", "and", "on", "in", "the", "for", "to", "a", "an", "at", "with", "de", "la"]
@@ -176,11 +177,14 @@ def made(asked: DataFrame, forms: DataFrame) -> DataFrame:
 def resolved(names: DataFrame, journals: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """(name, short, how, choices) of the distinct names of ``names`` (name)."""
     written = F.regexp_replace(F.trim(X.norm(F.col("name")), F.lit(" ,;")), "^[iI]n ", "")
-    had = keyed(journals, variants)
+    # Both lists are read by several steps: distinct rows are made and written once.
+    journals = stash(journals.select("full", "short").distinct(), "journals")
+    had = stash(keyed(journals, variants), "journal-keys")
     whole = names.select("name").distinct().withColumn("written", written).filter("written <> ''")
     whole = whole.withColumn("key", S.journal_key(F.col("written"))).withColumn("front", S.journal_key(head(F.col("written"))))
     for column, name in (("key", "listed"), ("front", "head")):
         whole = whole.join(had.select(F.col("key").alias(column), F.col("shorts").alias(name)), column, "left")
+    whole = stash(whole, "journal-names")
     open_ = whole.filter("listed IS NULL AND head IS NULL")
     near = like_keys(open_.select(F.col("key").alias("asked")), had).join(had, "key").groupBy("asked", "likeness").agg(F.array_distinct(F.flatten(F.collect_list("shorts"))).alias("shorts"), F.count(F.lit(1)).alias("n"))
     # The two best keys decide: all those of the best likeness, and of the next if the best is one key.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.operators import journals as J, parsing
 from proofmill.plans.registry import query
-from proofmill.session import table
+from proofmill.session import spread, table
 
 
 def _capital(c):
@@ -21,7 +21,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the words of their journal's name; the last word keeps the names apart."""
     first, second = (_capital(F.get(F.split("p_name", " "), F.lit(i))) for i in (0, 1))
     word = F.left(F.translate(F.md5(F.concat("p_name", "p_type")), "0123456789", "ghijklmnop"), F.lit(16))
-    parts = table(spark, sf_dir, "part").select("p_partkey", first.alias("a"), second.alias("b"), _capital(F.col("p_type")).alias("c"), _capital(word).alias("d"))
+    parts = spread(table(spark, sf_dir, "part")).select("p_partkey", first.alias("a"), second.alias("b"), _capital(F.col("p_type")).alias("c"), _capital(word).alias("d"))
     full = F.concat_ws(" ", F.lit("Journal of"), "a", "b", "c", "d")
     return parts.withColumn("full", full).withColumn("short", F.concat_ws(" ", F.lit("J."), *(_cut(F.col(x)) for x in "abcd")))
 
