@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and reads the columns of ``documents``;
 further columns of ``docs`` end in the first stage, as all but the last return
 just these.  An empty table stays empty through all stages.  Texts are processed
-whole, of any length.  Nulls, ties and repeated rows are said at each stage.
+whole, of any length, and go to Python in batches of a few MB.  Nulls, ties and repeated rows are said at each stage.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from proofmill.llm import bpe, mixing, near_duplicates, pii, quality_rules
-from proofmill.session import stash, table
+from proofmill.session import small_batches, stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null source is no host and can't be rejected as one.  Repeated rows are judged
     alike, so ties don't matter.
     """
+    small_batches(spark)
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
@@ -42,6 +43,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, with n_chars 0.  Other columns may be null.  Of
     overlapping spans the first names what is replaced; repeated rows change alike.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
@@ -59,6 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text: one row for every row, null texts as empty ones, repeated rows repeated."""
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

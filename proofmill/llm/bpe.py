@@ -4,7 +4,7 @@ A pair of neighbouring bytes that occurs inside no token of the vocabulary can't
 be inside any token of an encoding, so every such pair is a certain cut.  Texts
 are split at added tokens, then into the pre-tokens of the tokenizer's pattern,
 then at all certain cuts; the fragments are encoded on their own, all distinct
-ones of a few MB of texts at once, and concatenated; a worker keeps the results
+ones of about a MB of texts at once, and concatenated; a worker keeps the results
 in a bounded cache.
 Decoding concatenates the bytes of the tokens.
 
@@ -37,10 +37,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: The same for texts without the characters of ODD, in the faster standard module, whose letters hold other numbers too and whose white space holds 1C to 1F.
 PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 ODD = r"[\p{Nl}\p{No}\x1c-\x1f]"
-CACHE = 400_000
-CHUNK = 4 << 20
-PIECES = 1_000_000
-LONG = 1 << 20
+#: Entries of a worker's cache, bytes of texts and pre-tokens that are taken at once: workers stay, with the most they ever held.
+CACHE = 200_000
+CHUNK = 1 << 20
+PIECES = 200_000
+LONG = PIECES
 NO_MERGE = 1 << 30
 
 
